@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 BLOCK_BYTES = 2 << 20
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster it is installed or sent with --py-files)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*filter(None, env.get("PYTHONPATH", "").split(os.pathsep)), root]))
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where it is unset, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
