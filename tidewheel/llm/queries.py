@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licences
 from .common import on_workers
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import near_duplicates
+from .sharding import shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -30,10 +40,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_sharding": op6_sharding,
+    "op7_license_scans": op7_license_scans,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES = {
+    "op7_license_scans": licences.oracle_sql(),
     "op9_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as norm from documents),
 g as (select norm, count(*) as group_size, arg_min(doc_id, (-length(t), doc_id)) as keep_id from d group by norm)
