@@ -1 +1 @@
-
+"""Part of tidewheel."""
