@@ -7,8 +7,8 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric. Two kinds of pivots are used.
   into which boundary documents are replicated. The order puts shingles that no other document has first, then rare ones, so
   cells of shared passages are reached only by documents that consist of little else.
 * Documents. In a cell that stays large, every member is compared with one pivot document. Members within the radius are linked to
-  it; two others can only link when their distances to the pivot differ by no more than the radius (triangle inequality).
-  The rest recurs with a new pivot.
+  it; two others can only link when their distances to the pivot differ by no more than the radius (triangle inequality),
+  so the rest recurs into shells by distance, and only near shells are joined.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, Words, blocks, components, mix, pick, signed, stash
 
-#: Cells of up to so many classes are joined directly; larger ones recur by pivot documents.
+#: Cells of up to so many classes are joined directly; larger ones recur.
 CELL_ROWS = 12
 #: Share of the shingles whose frequency is counted, in sixteenths; a little over what the window needs at 0.8.
 COUNTED_16THS = 4
-PIVOT_ROUNDS = 6
+#: Shells by similarity to a pivot, and the most sets and shingles of a block.
+SHELLS, BLOCK_SETS, BLOCK_SHINGLES = 50, 512, 1_000_000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +146,8 @@ def _measure(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> D
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(classes of documents, links between classes).
 
-    The first has doc_id, n (distinct shingles) and cls (null without words) for every row; the second a, b, both, either for every
-    pair of classes that was found to link. A link may be missing only between classes that other links connect.
+    The first has doc_id, n (distinct shingles) and cls (null without words) for every row; the second (a, b) of classes that link or are
+    connected by links within a block. A link may be missing only between classes that others connect.
     Shingles and sets are told apart by 64-bit hashes.
     """
     docs = pick(docs, doc_id=id_col, text=text_col)
@@ -170,59 +171,112 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = small.join(small.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2")), "token").filter("cls < cls2").filter(near).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
 
     large = stash(cells.filter(F.col("size") > CELL_ROWS).select("token", "cls", "n"))
-    many = not large.isEmpty()
-    central = large.groupBy("cls").agg(F.count("*").alias("cells"))
-    large = stash(large.join(central, "cls")) if many else large
-    pivots = _pivots(large.withColumn("free", F.lit(True))) if many else None
-    if many:
-        pairs = pairs.union(_to_pivots(large, pivots, near))
-    measured = _measure(pairs, docs, classes, k)
     linked = F.expr(f"100 * both >= {percent} * either")
-    for turn in range(PIVOT_ROUNDS if many else 0):
-        label = components(measured.filter(linked).select("a", "b"))
-        here = large.join(label, large["cls"] == label["node"], "left").select("token", "cls", "n", "cells", F.coalesce("component", "cls").alias("comp"))
-        here = here.withColumn("lo", F.min("comp").over(cell)).withColumn("hi", F.max("comp").over(cell)).filter("lo < hi")
-        asked = measured.select("a", "b").union(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        here = stash(here.drop("lo", "hi"))
-        if here.isEmpty():
-            break
-        # the largest component of a cell is left to be compared with the others' members
-        by = here.groupBy("token", "comp").agg(F.count("*").alias("m"))
-        main = by.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-        done = pivots.select(F.col("token"), F.col("pivot").alias("cls"), F.lit(True).alias("was"))
-        here = here.join(main, "token").join(done, ["token", "cls"], "left").withColumn("free", (F.col("comp") != F.col("main")) & F.col("was").isNull())
-        here = stash(here.drop("was", "main"))
-        if here.filter("free").isEmpty():
-            break
-        if turn < PIVOT_ROUNDS - 1:
-            fresh = stash(_pivots(here))
-            pairs = _to_pivots(here, fresh, near)
-            pivots = stash(pivots.union(fresh))
-        else:
-            pairs = _rest(here, pivots, measured, near, percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-        measured = stash(measured.union(_measure(pairs, docs, classes, k)))
-    return facts.select("doc_id", "n", "cls"), measured.filter(linked)
-
-
-def _pivots(cells: DataFrame) -> DataFrame:
-    """(token, pivot, n2): of each cell's free members, the one in most large cells."""
-    free = cells.filter("free").groupBy("token").agg(F.max_by(F.struct("cls", "n"), F.struct("cells", "cls")).alias("p"))
-    return free.select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n2"))
-
-
-def _to_pivots(cells: DataFrame, pivots: DataFrame, near) -> DataFrame:
-    return cells.join(pivots, "token").filter("cls <> pivot").filter(near).select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-
-
-def _rest(cells: DataFrame, pivots: DataFrame, measured: DataFrame, near, percent: int) -> DataFrame:
-    """What the pivots could not tell apart: free members against members of other components, where no pivot's distances differ by more than the radius."""
-    far = F.col("both") / F.col("either")
-    sides = measured.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), far.alias("sim")).union(measured.select(F.col("b").alias("cls"), F.col("a").alias("pivot"), far.alias("sim")))
-    known = cells.join(pivots.select("token", "pivot"), "token").join(sides, ["cls", "pivot"], "left").groupBy("token", "cls", "n", "comp", "free").agg(F.map_from_entries(F.collect_list(F.struct("pivot", F.coalesce("sim", F.lit(-1.0))))).alias("sims"))
-    other = known.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("sims").alias("sims2"))
-    ok = F.expr(f"forall(map_keys(sims), p -> sims[p] < 0 or sims2[p] < 0 or abs(sims[p] - sims2[p]) <= {(100 - percent) / 100 + 1e-9}D)")
-    return known.filter("free").join(other, "token").filter("comp <> comp2").filter(near).filter(ok).select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+    regions = None
+    if not large.isEmpty():
+        # A cell's pivot is its member in most large cells. Cells of one pivot are one region, so members meet once however many shingles they share.
+        central = large.join(large.groupBy("cls").agg(F.count("*").alias("cells")), "cls")
+        pivots = central.groupBy("token").agg(F.max_by(F.struct("cls", "n"), F.struct("cells", "cls")).alias("p")).select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n2"))
+        regions = stash(large.join(pivots, "token").select("pivot", "n2", "cls", "n").distinct())
+        pairs = pairs.union(regions.filter("cls <> pivot").filter(near).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+    measured = _measure(pairs, docs, classes, k)
+    links = measured.filter(linked).select("a", "b")
+    if regions is not None:
+        links = links.union(_shells(regions, measured, links, docs, classes, k, percent))
+    return facts.select("doc_id", "n", "cls"), links
+
+
+def _shells(regions: DataFrame, measured: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members of one region that its pivot doesn't connect yet.
+
+    Members lie in shells by their similarity to the pivot, and large shells are dealt into blocks. By the triangle inequality only
+    shells that are no further apart than the radius can hold a link; pairs of blocks of one component hold none that is needed. Each
+    pair of blocks is joined exactly in a task and gives a star for each of its components, never all pairs.
+    """
+    label = components(links)
+    sims = measured.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), (F.col("both") / F.col("either")).alias("sim"))
+    sims = sims.union(sims.select(F.col("pivot").alias("cls"), F.col("cls").alias("pivot"), "sim"))
+    rows = regions.select("pivot", "cls", "n").join(sims, ["pivot", "cls"], "left").join(label, F.col("cls") == F.col("node"), "left")
+    # a member whose size rules the pivot out has no similarity measured; its size bounds it, so it lies in any shell up to that bound
+    rows = rows.select("pivot", "cls", "n", F.coalesce("component", "cls").alias("comp"), F.when(F.col("cls") == F.col("pivot"), 1.0).otherwise(F.col("sim")).alias("sim"))
+    own = Window.partitionBy("pivot")
+    rows = rows.withColumn("lo", F.min("comp").over(own)).withColumn("hi", F.max("comp").over(own)).filter("lo < hi").drop("lo", "hi")
+    rows = stash(rows.withColumn("shell", F.coalesce(F.floor(F.col("sim") * SHELLS), F.lit(-1)).cast("int")))
+    if rows.isEmpty():
+        return links.limit(0)
+    sizes = rows.groupBy("pivot", "shell").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    rows = rows.join(sizes, ["pivot", "shell"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    blocks_ = rows.groupBy("pivot", "shell", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    reach = (100 - percent) * SHELLS // 100 + 1
+    other = blocks_.select("pivot", F.col("shell").alias("shell2"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    ordered = F.expr("(shell < shell2 or (shell = shell2 and part <= part2))")
+    close = F.expr(f"shell = -1 or shell2 - shell <= {reach}")
+    both = blocks_.join(other, "pivot").filter(ordered & close).filter("not (lo = hi and lo2 = hi2 and lo = lo2)")
+    both = both.select("pivot", "shell", "part", "shell2", "part2", F.xxhash64("pivot", "shell", "part", "shell2", "part2").alias("job"))
+    members = rows.select("pivot", "shell", "part", "cls")
+    left = both.join(members, ["pivot", "shell", "part"]).select("job", F.lit(0).alias("side"), F.col("cls").alias("member"))
+    right = both.filter("shell < shell2 or part < part2").select("job", F.col("pivot"), F.col("shell2").alias("shell"), F.col("part2").alias("part")).join(members, ["pivot", "shell", "part"]).select("job", F.lit(1).alias("side"), F.col("cls").alias("member"))
+    jobs = left.union(right)
+    wanted = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("_rep"))
+    sets = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("cls", "text").mapInArrow(_sets(k), "member long, shingles binary")
+    sorted_ = jobs.join(sets, "member").select("job", "side", "member", "shingles").repartition("job").sortWithinPartitions("job", "side")
+    return stash(sorted_.mapInArrow(_join_blocks(percent), "a long, b long").distinct())
+
+
+def _join_blocks(percent: int):
+    """Exact joins of pairs of blocks that come sorted by job; only one job's sets are held. Intersections of all pairs are a product of incidence matrices, made a few thousand shingles at a time."""
+
+    def stars(sides: list[int], names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = count[token] > 1
+        row, (_, token) = row[keep], np.unique(token[keep], return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        one = np.array(sides) == 0
+        first, second = np.flatnonzero(one), np.flatnonzero(~one) if not one.all() else np.arange(len(sets))
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            a, b = np.searchsorted(token, [lo, lo + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[a:b], token[a:b] - lo] = 1
+            both[np.ix_(first, second)] += m[first] @ m[second].T
+        link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        link &= both > 0
+        link |= link.T
+        open_, out = np.ones(len(sets), bool), []
+        for i in range(len(sets)):
+            if open_[i]:
+                open_[i] = False
+                edge = [i]
+                while len(edge):
+                    new = np.flatnonzero(link[edge].any(0) & open_)
+                    open_[new] = False
+                    out += [(names[i], names[j]) for j in new]
+                    edge = new
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, sides, names, sets = None, [], [], []
+
+        def flush():
+            found = stars(sides, names, sets) if len(names) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for j, side, name, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if j != job:
+                    if names:
+                        yield flush()
+                    job, sides, names, sets = j, [], [], []
+                sides.append(side)
+                names.append(name)
+                sets.append(np.frombuffer(s.as_buffer(), np.int64).copy())
+        if names:
+            yield flush()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
