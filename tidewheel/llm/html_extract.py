@@ -150,6 +150,7 @@ def costs(b: Block) -> tuple[float, float]:
     """Terminal capacities: what it costs to call the block boilerplate, and to call it content."""
     e, size = b.element, len(b.text)
     content, boilerplate = e.content, e.boilerplate
+    content += 1.0  # what nothing speaks against is content
     density = min(1.0, b.linked / max(1, sum(map(len, b.parts))))
     tag = e.tag
     if density > 0.5:
