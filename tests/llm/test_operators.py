@@ -252,10 +252,23 @@ def test_sentencepieces(docs, none):
     assert sentencepieces.encode_and_decode(none).count() == 0
 
 
+def test_long_words_by_the_same_rule(spark):
+    """Words beyond 60 characters take the other way to the same pieces."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=model_file("piece_bpe_32k.model"))
+    model = sentencepieces.Model(model_file("piece_bpe_32k.model"))
+    r = random.Random(4)
+    words = ["▁" + "".join(r.choice(["the", "ing", "tion", "a", "x", "é", "漢", "ß"]) for _ in range(n)) for n in (5, 20, 40, 60)]
+    got = sentencepieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()
+    for x in got:
+        assert model.identifiers(np.array(x.places)).tolist() == own.encode(x.word[1:])
+
+
 def test_viterbi(spark):
     """The fold for unigram models against all segmentations."""
     scores = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.2, "bc": -3.1, "abc": -9.0, "ca": -4.0, "cab": -5.5}
-    pieces = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
+    pieces = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(scores.items())], "piece string, place long, score double")
     r = random.Random(1)
     words = list({"".join(r.choice("abc") for _ in range(r.randint(1, 8))) for _ in range(40)})
 

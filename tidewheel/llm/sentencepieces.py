@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import model_file, pick, stash
+from .common import model_file, pick
 
 MARK = "▁"
+#: Letters and punctuation that pieces of common vocabularies keep apart (checked against the pieces).
+LETTER, MARKS = "[A-Za-z\u00C0-\u024F]", "[!-/:-@\\[-`{-~]"
 #: Bytes of text that share a dictionary of their words.
-BUCKET_BYTES = 32 << 20
-#: Positions are below this.
-WIDE = 1 << 24
+BUCKET_BYTES = 16 << 20
+#: An edge is one number: the piece's place by falling score, then start and end, each below 2^20. So edges sort best first, leftmost first.
+BITS = 20
+SPOT = (1 << BITS) - 1
+SPAN = (1 << 2 * BITS) - 1
+LENGTHS = 64
 
 
 class Model:
@@ -33,19 +38,35 @@ class Model:
         self.byte_ids = [own.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(len(p) for p, _, _ in self.normal)
         self.unigram = _is_unigram(path)
+        # pieces of one score have one place; with its length, a place must name one piece
+        scores = {v: i for i, v in enumerate(sorted({x[2] for x in self.normal}, reverse=True))}
+        self.places = [scores[x[2]] for x in self.normal]
+        self.named = {LENGTHS * at + len(p): i for at, (p, i, _) in zip(self.places, self.normal, strict=True)}
+        if len(self.named) < len(self.normal) or self.longest >= LENGTHS:
+            raise ValueError("pieces of one score need lengths of their own")
         inside = [p for p, _, _ in self.normal if MARK in p.lstrip(MARK)]
         if inside or own.is_unknown(self.byte_ids[0]):
             raise ValueError("pieces must not span words, and bytes must be pieces")
         self.newline_apart = not any("\n" in p for p, _, _ in self.normal)
+        joined = re.compile(f"{LETTER}{MARKS}|{MARKS}{LETTER}")
+        self.marks_apart = not any(joined.search(p) for p, _, _ in self.normal)
 
     @property
     def split(self) -> str:
-        """Where a text falls into words that no piece spans: before marks, and around line ends if no piece has one."""
-        return f"(?<=[^{MARK}])(?={MARK})" + ("|(?<=\\n)|(?=\\n)" if self.newline_apart else "")
+        """Where a text falls into words that no piece spans: before marks, around line ends and between letters and punctuation, as far as the pieces allow."""
+        lines = "|(?<=\\n)|(?=\\n)" if self.newline_apart else ""
+        marks = f"|(?<={LETTER})(?={MARKS})|(?<={MARKS})(?={LETTER})" if self.marks_apart else ""
+        return f"(?<=[^{MARK}])(?={MARK}){lines}{marks}"
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score): as large as the vocabulary, whatever the corpus, so it may be broadcast."""
-        return spark.createDataFrame(self.normal, "piece string, id int, score double")
+        """(piece, place, score): as large as the vocabulary, whatever the corpus, so it may be broadcast."""
+        return spark.createDataFrame([(p, i, v) for i, (p, _, v) in zip(self.places, self.normal, strict=True)], "piece string, place long, score double")
+
+    def identifiers(self, names: np.ndarray) -> np.ndarray:
+        """Identifiers of places and lengths; -1 - b stands for byte b."""
+        table = np.zeros(max(self.named) + 1, np.int32)
+        table[list(self.named)] = list(self.named.values())
+        return np.where(names >= 0, table[np.maximum(names, 0)], np.array(self.byte_ids, np.int32)[np.maximum(-1 - names, 0)]).astype(np.int32)
 
 
 def _is_unigram(path: str) -> bool:
@@ -62,16 +83,21 @@ def marked(text):
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise("")
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, n, edges): every substring of up to `longest` characters that is a piece, grouped by word.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(words' columns, n, edges, scores): every substring of up to `longest` characters that is a piece, grouped by word; scores are those of the edges.
 
-    Words come partitioned by word and stay so: substrings meet the broadcast piece table, and edges are grouped where they are.
+    Words come partitioned by their keys and stay so: substrings meet the broadcast piece table, and edges are grouped where they are.
+    An empty substring stands for the word itself, so a word without pieces has a row too.
     """
-    spots = F.expr(f"explode(flatten(transform(sequence(0, length(word) - 1), s -> transform(sequence(1, least({longest}, length(word) - s)), l -> struct(s as s, s + l as e, substring(word, s + 1, l) as piece)))))")
-    edges = words.select("word", spots.alias("x")).select("word", "x.s", "x.e", F.col("x.piece").alias("piece")).join(F.broadcast(pieces), "piece")
-    edge = F.struct((F.col("s").cast("long") * WIDE + F.col("e")).alias("at"), F.struct("id", "score").alias("as"))
-    grouped = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(edge)).alias("edges"))
-    return words.join(grouped, "word", "left").select("word", F.length("word").alias("n"), F.coalesce("edges", F.expr("cast(map() as map<bigint, struct<id: int, score: double>>)")).alias("edges"))
+    words = words.withColumn("at_word", F.monotonically_increasing_id())  # rising, so that grouping sorts what is in order
+    others = [c for c in words.columns if c not in keys and c != "at_word"]
+    table = pieces.unionByName(words.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, place long, score double"))
+    ends = words.select("*", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("s")).select("*", F.expr(f"substring(word, s + 1, {longest})").alias("rest"))
+    spots = ends.select("*", F.explode(F.expr("sequence(if(s = 0, 0, 1), length(rest))")).alias("l")).select(*words.columns, "s", "l", F.expr("substring(rest, 1, l)").alias("piece"))
+    edge = F.when(F.col("place") >= 0, F.expr(f"shiftleft(place, {2 * BITS}) + shiftleft(cast(s as bigint), {BITS}) + s + l"))
+    edges = spots.join(F.broadcast(table), "piece").select(*words.columns, edge.alias("edge"), F.when(F.col("place") >= 0, F.col("score")).alias("score"))
+    grouped = edges.groupBy(*keys, "at_word").agg(*(F.first(c).alias(c) for c in others), F.collect_list("edge").alias("edges"), F.collect_list("score").alias("scores"))
+    return grouped.drop("at_word").withColumn("n", F.length("word"))
 
 
 def best_bounds(unigram: bool):
@@ -81,34 +107,40 @@ def best_bounds(unigram: bool):
     models: the neighbours whose union scores best are joined, the leftmost first, until none can be.
     """
     if unigram:
-        step = f"""
-          concat(path, array(array_max(transform(filter(sequence(greatest(0, i - 64), i - 1), s -> s = i - 1 or map_contains_key(edges, s * {WIDE}L + i)),
-            s -> struct(path[s].total + coalesce(try_element_at(edges, s * {WIDE}L + i).score, -1000D) as total, cast(s as bigint) as back)))))"""
-        path = f"aggregate(sequence(1, n), array(struct(0D as total, 0L as back)), (path, i) -> {step})"
+        into = f"filter(arrays_zip(edges, scores), x -> (x.edges & {SPOT}L) = i)"
+        one = f"transform({into}, x -> struct(path[cast(shiftright(x.edges, {BITS}) & {SPOT}L as int)].total + x.scores as total, shiftright(x.edges, {BITS}) & {SPOT}L as back))"
+        path = f"aggregate(sequence(1, n), array(struct(0D as total, 0L as back)), (path, i) -> concat(path, array(array_max(concat({one}, array(struct(path[i - 1].total - 1000D as total, cast(i - 1 as bigint) as back)))))))"
         return F.expr(f"aggregate(sequence(1, n), struct(array(cast(n as int)) as b, {path} as path), (st, i) -> if(st.b[0] = 0, st, struct(concat(array(cast(st.path[st.b[0]].back as int)), st.b) as b, st.path as path)), st -> st.b)")
-    pair = f"transform(sequence(0, size(b) - 3), i -> struct(try_element_at(edges, b[i] * {WIDE}L + b[i + 2]).score as score, -i as at))"
-    join = f"if(size(b) < 3, b, transform(array(array_max({pair})), best -> if(best.score is null, b, filter(b, (x, j) -> j <> 1 - best.at)))[0])"
-    return F.expr(f"aggregate(sequence(1, greatest(1, n - 1)), sequence(0, n), (b, k) -> {join})")
-
-
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) of distinct words."""
-    found = lattice(words, model.table(words.sparkSession), model.longest)
-    table = F.array(*(F.lit(i) for i in model.byte_ids))
-    found = found.withColumn("bounds", best_bounds(model.unigram)).withColumn("byte_ids", table)
-    spelled = "transform(sequence(1, octet_length(substring(word, bounds[i] + 1, bounds[i + 1] - bounds[i]))), k -> byte_ids[cast(conv(hex(substring(cast(substring(word, bounds[i] + 1, bounds[i + 1] - bounds[i]) as binary), k, 1)), 16, 10) as int)])"
-    ids = f"flatten(transform(sequence(0, size(bounds) - 2), i -> if(map_contains_key(edges, bounds[i] * {WIDE}L + bounds[i + 1]), array(try_element_at(edges, bounds[i] * {WIDE}L + bounds[i + 1]).id), {spelled})))"
-    return found.select("word", F.expr(ids).alias("ids"))
-
-
-def _assemble(split: str):
+    # Up to 60 characters, bounds are bits of a number: a piece joins two neighbours if both its ends are bounds and one bound lies between.
+    start, end = f"cast(shiftright(x, {BITS}) & {SPOT}L as int)", f"cast(x & {SPOT}L as int)"
+    listed = f"transform(filter(array_sort(edges), x -> {end} - {start} > 1), x -> struct(shiftleft(1L, {start}) | shiftleft(1L, {end}) as ends, shiftleft(1L, {end}) - shiftleft(2L, {start}) as inner))"
+    bits = "aggregate(sequence(1, least(greatest(1, n - 1), 1 + size(es))), shiftleft(1L, n + 1) - 1L, (m, k) -> m & ~coalesce(try_element_at(filter(es, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 1).inner, 0L))"
+    by_bits = f"transform(array({listed}), es -> transform(array({bits}), m -> filter(sequence(0, n), i -> (shiftright(m, i) & 1L) = 1L))[0])[0]"
+    place = f"try_element_at(filter(edges, x -> (x & {SPAN}L) = shiftleft(cast(b[i] as bigint), {BITS}) + b[i + 2]), 1)"
+    pair = f"transform(transform(sequence(0, size(b) - 3), i -> struct({place} as edge, i as at)), x -> if(x.edge is null, null, x))"
+    join = f"if(size(b) < 3, b, transform(array(array_min({pair})), best -> if(best is null, b, filter(b, (x, j) -> j <> best.at + 1)))[0])"
+    by_array = f"aggregate(sequence(1, greatest(1, n - 1)), sequence(0, n), (b, k) -> {join})"
+    return F.expr(f"if(n > 60, {by_array}, {by_bits})")
+
+
+def encode_words(words: DataFrame, model: Model, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(words' columns, places) of distinct words: places (with lengths) of their pieces, -1 - b for byte b of a character that is no piece."""
+    found = lattice(words, model.table(words.sparkSession), model.longest, keys).withColumn("bounds", best_bounds(model.unigram))
+    edge = f"try_element_at(filter(edges, x -> (x & {SPAN}L) = shiftleft(cast(bounds[i] as bigint), {BITS}) + bounds[i + 1]), 1)"
+    piece = "cast(substring(word, bounds[i] + 1, bounds[i + 1] - bounds[i]) as binary)"
+    spelled = f"transform(sequence(1, octet_length({piece})), k -> -1 - cast(conv(hex(substring({piece}, k, 1)), 16, 10) as int))"
+    places = f"flatten(transform(sequence(0, size(bounds) - 2), i -> transform(array({edge}), o -> if(o is null, {spelled}, array(cast(shiftright(o, {2 * BITS}) as int) * {LENGTHS} + bounds[i + 1] - bounds[i])))[0]))"
+    return found.select(*words.columns, F.expr(places).alias("places"))
+
+
+def _assemble(model: Model):
     """Documents of one bucket, and the encoding of each of their words, to identifiers."""
-    parts = re.compile(split)
+    parts = re.compile(model.split)
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        ids = words.column("ids").combine_chunks()
+        ids = words.column("places").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
-        values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(words) else np.zeros(0, np.int32)
+        values = model.identifiers(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)) if len(words) else np.zeros(0, np.int32)
         off = np.cumsum(np.r_[0, ids.value_lengths().to_numpy(zero_copy_only=False)]) if len(words) else np.zeros(1, np.int64)
         known = {w: values[a:b].tobytes() for w, a, b in zip(words.column("word").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)}
         out = []
@@ -129,21 +161,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     Null and empty texts have no identifiers. Repeated rows have a row each; a null id stays null; an empty table gives no rows; other columns are ignored.
 
-    1. The distinct words of each bucket of documents, pre-aggregated there. 2. Distinct words over all buckets become lattices and
-    identifiers, once each. 3. Each bucket gets back the encoding of its words, and its documents are put together. A bucket has about
-    `bucket_bytes` of text, so its dictionary is bounded; hot words are one row for each bucket.
+    Documents are dealt once into buckets of about `bucket_bytes` of text, and everything else happens where a bucket lies: its distinct words
+    become lattices and identifiers once each, and its documents are put together from them. So text is shuffled once, nothing else is, and a hot word
+    is one row of each bucket.
     """
     model = Model(model_path or model_file("piece_bpe_32k.model"))
     rows = pick(docs, doc_id=id_col, text=text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-    words = rows.select("bucket", F.explode(F.split(marked(F.coalesce("text", F.lit(""))), model.split)).alias("word")).filter("word <> ''").distinct()
-    words = stash(words)
-    encoded = encode_words(words.select("word").distinct(), model)
-    back = words.join(encoded, "word").select("bucket", "word", "ids")
+    # a document of each word is carried along so that both sides read the same shuffle
+    spelled = rows.select("bucket", "doc_id", F.explode(F.split(marked(F.coalesce("text", F.lit(""))), model.split)).alias("word")).filter("word <> ''")
+    words = spelled.groupBy("bucket", "word").agg(F.min("doc_id").alias("holder"))
+    encoded = encode_words(words, model, ("bucket",)).withColumnRenamed("bucket", "dictionary")
     schema = "doc_id long, text string, ids array<int>, n_tokens long"
-    return rows.select("bucket", "doc_id", "text").groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_assemble(model.split), schema)
+    return rows.groupBy("bucket").cogroup(encoded.groupBy("dictionary")).applyInArrow(_assemble(model), schema)
 
 
 def decode(frame: DataFrame, ids_col: str = "ids", model_path: str | None = None, name: str = "decoded") -> DataFrame:
