@@ -45,7 +45,7 @@ def minimisers(words: Words, least: int, seed: int) -> tuple[np.ndarray, np.ndar
 
 
 def _seeds(least: int, seed: int):
-    """(seed hash, text id) of each retained suffix."""
+    """(seed hash, text id, number of places) of the retained suffixes: one row for a text however often it repeats a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +53,11 @@ def _seeds(least: int, seed: int):
                 words = Words(part.column(1), SPACE_WORDS)
                 _, place, gram, _ = minimisers(words, least, seed)
                 place, at = np.unique(place, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[at]), part.column(0).take(pa.array(words.row[place]))], names=["seed", "tid"])
+                row, seed_ = words.row[place], gram[at]
+                order = np.lexsort((seed_, row))
+                row, seed_ = row[order], seed_[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (seed_[1:] != seed_[:-1])]) if len(row) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(seed_[new]), part.column(0).take(pa.array(row[new])), pa.array(np.diff(np.r_[new, len(row)]))], names=["seed", "tid", "places"])
 
     return run
 
@@ -123,10 +127,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = stash(facts.join(texts, "key").select("doc_id", "tid", "copies"))
     single = own.filter("doc_id = tid").select("tid", "copies").distinct()
 
-    seeds = rows.mapInArrow(_seeds(least, seed), "seed long, tid long")
+    seeds = rows.mapInArrow(_seeds(least, seed), "seed long, tid long, places long")
     cell = Window.partitionBy("seed")
     # a text's repeated seeds count as shared too, and so do its copies': both only make candidates
-    shared = seeds.withColumn("n", F.count("*").over(cell)).filter("n > 1").drop("n").join(single, "tid").groupBy("tid").agg(F.collect_set("seed").alias("seeds"), F.min("copies").alias("copies"))
+    shared = seeds.withColumn("n", F.sum("places").over(cell)).filter("n > 1").drop("n", "places").join(single, "tid").groupBy("tid").agg(F.collect_set("seed").alias("seeds"), F.min("copies").alias("copies"))
     inside = rows.select("doc_id", "text")
     held = inside.join(shared, inside["doc_id"] == shared["tid"]).select("tid", "text", "seeds")
     extents = held.mapInArrow(_extents(least, seed), "seed long, tid long, first long, passages array<long>")
