@@ -63,24 +63,23 @@ def _seeds(least: int, seed: int):
 
 
 def _extents(least: int, seed: int):
-    """For each retained suffix that another text or place shares: the hashes of all passages around it, leftmost first, and where the first starts."""
+    """For each seed of a text that another text or place shares: where the passages around it start, and their hashes. One row however often the text repeats the seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
                 words = Words(part.column(1), SPACE_WORDS)
-                start, place, gram, whole = minimisers(words, least, seed)
+                start, _, gram, whole = minimisers(words, least, seed)
                 row = words.row[start]
-                new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(start) != 1)]) if len(start) else np.zeros(0, np.int64)
-                ends = np.r_[new[1:], len(start)]
-                shared = part.column(2)
-                known = {r: frozenset(s) for r, s in enumerate(shared.to_pylist())}
+                order = np.lexsort((start, gram, row))
+                start, gram, whole, row = start[order], gram[order], whole[order], row[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])]) if len(row) else np.zeros(0, np.int64)
+                ends = np.r_[new[1:], len(row)]
+                known = {r: frozenset(s) for r, s in enumerate(part.column(2).to_pylist())}
                 keep = [i for i, a in enumerate(new) if int(gram[a]) in known[int(row[a])]]
                 new, ends = new[keep], ends[keep]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(gram[new]), part.column(0).take(pa.array(row[new])), pa.array(start[new] - words.first[row[new]]),
-                    pa.array([whole[a:b].tolist() for a, b in zip(new, ends, strict=True)], pa.list_(pa.int64())),
-                ], names=["seed", "tid", "first", "passages"])
+                lists = [pa.array([x[a:b].tolist() for a, b in zip(new, ends, strict=True)], pa.list_(pa.int64())) for x in (start - words.first[row], whole)]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new]), part.column(0).take(pa.array(row[new])), *lists], names=["seed", "tid", "starts", "passages"])
 
     return run
 
@@ -90,20 +89,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seed, held = None, {}
     for batch in batches:
         out: tuple[list, list, list] = ([], [], [])
-        for s, tid, first, passages in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for s, tid, starts, passages in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if s != seed:
                 seed, held = s, {}
-            for j, h in enumerate(passages):
+            for at, h in zip(starts, passages, strict=True):
                 before = held.get(h)
                 if before is None:
-                    held[h] = (tid, first + j)
+                    held[h] = (tid, at)
                     continue
                 if before[0] is not None:
                     for x, y in zip(out, (*before, before[0]), strict=True):
                         x.append(y)
                     held[h] = (None, before[0])
                 origin = held[h][1]
-                for x, y in zip(out, (tid, first + j, origin), strict=True):
+                for x, y in zip(out, (tid, at, origin), strict=True):
                     x.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["tid", "start", "origin"])
 
@@ -133,8 +132,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = seeds.withColumn("n", F.sum("places").over(cell)).filter("n > 1").drop("n", "places").join(single, "tid").groupBy("tid").agg(F.collect_set("seed").alias("seeds"), F.min("copies").alias("copies"))
     inside = rows.select("doc_id", "text")
     held = inside.join(shared, inside["doc_id"] == shared["tid"]).select("tid", "text", "seeds")
-    extents = held.mapInArrow(_extents(least, seed), "seed long, tid long, first long, passages array<long>")
-    sorted_ = extents.repartition(partitions(docs.sparkSession), "seed").sortWithinPartitions("seed", "tid", "first")
+    extents = held.mapInArrow(_extents(least, seed), "seed long, tid long, starts array<long>, passages array<long>")
+    sorted_ = extents.repartition(partitions(docs.sparkSession), "seed").sortWithinPartitions("seed", "tid")
     found = sorted_.mapInArrow(_neighbours, "tid long, start long, origin long").distinct()
 
     order = Window.partitionBy("tid").orderBy("start")
