@@ -249,6 +249,10 @@ def test_sentencepieces(docs, none):
     assert len(got) == small.count()
     for r in got:
         assert r.ids == own.encode(by_id.get(r.doc_id, "text of no id") or "") and r.n_tokens == len(r.ids) and r.round_trip
+    apart = sentencepieces.decode(sentencepieces.encode(small, bucket_bytes=3000)).collect()
+    assert len(apart) == len(got) and all(r.decoded == (r.text or "") for r in apart)
+    nulls = sentencepieces.decode(small.selectExpr("doc_id", "cast(null as array<int>) ids"))
+    assert nulls.filter("decoded is not null").count() == 0
     assert sentencepieces.encode_and_decode(none).count() == 0
 
 

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import model_file, pick
+from .common import model_file, partitions, pick
 
 MARK = "▁"
 #: Letters and punctuation that pieces of common vocabularies keep apart (checked against the pieces).
 LETTER, MARKS = "[A-Za-z\u00C0-\u024F]", "[!-/:-@\\[-`{-~]"
-#: Bytes of text that share a dictionary of their words.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text that are put together from one dictionary, and the buckets whose words are encoded once for all of them.
+BUCKET_BYTES, REGION = 8 << 20, 4096
 #: An edge is one number: the piece's place by falling score, then start and end, each below 2^20. So edges sort best first, leftmost first.
 BITS = 20
 SPOT = (1 << BITS) - 1
@@ -62,6 +62,15 @@ class Model:
         """(piece, place, score): as large as the vocabulary, whatever the corpus, so it may be broadcast."""
         return spark.createDataFrame([(p, i, v) for i, (p, _, v) in zip(self.places, self.normal, strict=True)], "piece string, place long, score double")
 
+    def spelled(self) -> list[bytes]:
+        """What each identifier stands for in a text; nothing for control pieces."""
+        out = [b""] * len(self.pieces)
+        for piece, i, _ in self.normal:
+            out[i] = piece.replace(MARK, " ").encode()
+        for b, i in enumerate(self.byte_ids):
+            out[i] = bytes([b])
+        return out
+
     def identifiers(self, names: np.ndarray) -> np.ndarray:
         """Identifiers of places and lengths; -1 - b stands for byte b."""
         table = np.zeros(max(self.named) + 1, np.int32)
@@ -78,25 +87,34 @@ def _is_unigram(path: str) -> bool:
     return proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM
 
 
+def _decoded(ids: np.ndarray, spelled: list[bytes]) -> str:
+    """The text of one document's identifiers, without the space that encoding puts before it."""
+    text = b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    return text[1:] if text[:1] == " " else text
+
+
 def marked(text):
     """A text as the model sees it: a mark before it, and for each space; empty texts stay empty."""
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise("")
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(words' columns, n, edges, scores): every substring of up to `longest` characters that is a piece, grouped by word; scores are those of the edges.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: tuple[str, ...] = (), scored: bool = True) -> DataFrame:
+    """(words' columns, n, edges, scores): every substring of up to `longest` characters that is a piece, grouped by word; scores are those of the edges (if `scored`).
 
     Words come partitioned by their keys and stay so: substrings meet the broadcast piece table, and edges are grouped where they are.
-    An empty substring stands for the word itself, so a word without pieces has a row too.
+    An empty substring stands for the word itself, so a word without pieces has a row too; it alone carries the word, so that edges stay narrow.
     """
     words = words.withColumn("at_word", F.monotonically_increasing_id())  # rising, so that grouping sorts what is in order
     others = [c for c in words.columns if c not in keys and c != "at_word"]
     table = pieces.unionByName(words.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, place long, score double"))
     ends = words.select("*", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("s")).select("*", F.expr(f"substring(word, s + 1, {longest})").alias("rest"))
     spots = ends.select("*", F.explode(F.expr("sequence(if(s = 0, 0, 1), length(rest))")).alias("l")).select(*words.columns, "s", "l", F.expr("substring(rest, 1, l)").alias("piece"))
-    edge = F.when(F.col("place") >= 0, F.expr(f"shiftleft(place, {2 * BITS}) + shiftleft(cast(s as bigint), {BITS}) + s + l"))
-    edges = spots.join(F.broadcast(table), "piece").select(*words.columns, edge.alias("edge"), F.when(F.col("place") >= 0, F.col("score")).alias("score"))
-    grouped = edges.groupBy(*keys, "at_word").agg(*(F.first(c).alias(c) for c in others), F.collect_list("edge").alias("edges"), F.collect_list("score").alias("scores"))
+    real = F.col("place") >= 0
+    edge = F.when(real, F.expr(f"shiftleft(place, {2 * BITS}) + shiftleft(cast(s as bigint), {BITS}) + s + l")).alias("edge")
+    score = [F.when(real, F.col("score")).alias("score")] if scored else []
+    edges = spots.join(F.broadcast(table), "piece").select(*keys, "at_word", *(F.when(F.col("l") == 0, F.col(c)).alias(c) for c in others), edge, *score)
+    lists = [F.collect_list("edge").alias("edges"), *([F.collect_list("score").alias("scores")] if scored else [])]
+    grouped = edges.groupBy(*keys, "at_word").agg(*(F.first(c, ignorenulls=True).alias(c) for c in others), *lists)
     return grouped.drop("at_word").withColumn("n", F.length("word"))
 
 
@@ -125,7 +143,7 @@ def best_bounds(unigram: bool):
 
 def encode_words(words: DataFrame, model: Model, keys: tuple[str, ...] = ()) -> DataFrame:
     """(words' columns, places) of distinct words: places (with lengths) of their pieces, -1 - b for byte b of a character that is no piece."""
-    found = lattice(words, model.table(words.sparkSession), model.longest, keys).withColumn("bounds", best_bounds(model.unigram))
+    found = lattice(words, model.table(words.sparkSession), model.longest, keys, model.unigram).withColumn("bounds", best_bounds(model.unigram))
     edge = f"try_element_at(filter(edges, x -> (x & {SPAN}L) = shiftleft(cast(bounds[i] as bigint), {BITS}) + bounds[i + 1]), 1)"
     piece = "cast(substring(word, bounds[i] + 1, bounds[i + 1] - bounds[i]) as binary)"
     spelled = f"transform(sequence(1, octet_length({piece})), k -> -1 - cast(conv(hex(substring({piece}, k, 1)), 16, 10) as int))"
@@ -133,9 +151,9 @@ def encode_words(words: DataFrame, model: Model, keys: tuple[str, ...] = ()) ->
     return found.select(*words.columns, F.expr(places).alias("places"))
 
 
-def _assemble(model: Model):
-    """Documents of one bucket, and the encoding of each of their words, to identifiers."""
-    parts = re.compile(model.split)
+def _assemble(model: Model, check: bool):
+    """Documents of one bucket, and the encoding of each of their words, to identifiers; decoded again one by one if `check`."""
+    parts, spelled = re.compile(model.split), model.spelled() if check else []
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         ids = words.column("places").combine_chunks()
@@ -143,27 +161,29 @@ def _assemble(model: Model):
         values = model.identifiers(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)) if len(words) else np.zeros(0, np.int32)
         off = np.cumsum(np.r_[0, ids.value_lengths().to_numpy(zero_copy_only=False)]) if len(words) else np.zeros(1, np.int64)
         known = {w: values[a:b].tobytes() for w, a, b in zip(words.column("word").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)}
-        out = []
-        for text in docs.column("text").to_pylist():
-            spelled = MARK + text.replace(" ", MARK) if text else ""
-            out.append(b"".join([known[w] for w in parts.split(spelled) if w]))
+        out, same = [], []
+        for text in docs.column("text"):  # one text at a time: only identifiers are kept
+            text = text.as_py() or ""
+            out.append(b"".join([known[w] for w in parts.split(MARK + text.replace(" ", MARK)) if w]) if text else b"")
+            same.append(check and _decoded(np.frombuffer(out[-1], np.int32), spelled) == text)
         n = np.array([len(x) // 4 for x in out], np.int64)
-        joined = np.frombuffer(b"".join(out), np.int32)
-        lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)]), pa.array(joined)).cast(pa.list_(pa.int32()))
-        kept = [docs.column(c).combine_chunks() for c in docs.column_names if c != "bucket"]
-        return pa.table([*kept, lists, pa.array(n)], names=[*(c for c in docs.column_names if c != "bucket"), "ids", "n_tokens"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32)))
+        last = {"round_trip": pa.array(same, pa.bool_())} if check else {"text": docs.column("text")}
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "n_tokens": pa.array(n)} | last)
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per input row: doc_id, text, ids, n_tokens, as the model's own library would encode the text.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, bucket_bytes: int = BUCKET_BYTES, check: bool = False) -> DataFrame:
+    """One row per input row: doc_id, ids, n_tokens, text, as the model's own library would encode the text.
+
+    With `check`, round_trip takes the place of text: each document is decoded where it was encoded and compared (false where the text itself has marks).
 
     Null and empty texts have no identifiers. Repeated rows have a row each; a null id stays null; an empty table gives no rows; other columns are ignored.
 
-    Documents are dealt once into buckets of about `bucket_bytes` of text, and everything else happens where a bucket lies: its distinct words
-    become lattices and identifiers once each, and its documents are put together from them. So text is shuffled once, nothing else is, and a hot word
-    is one row of each bucket.
+    Documents are dealt once into buckets of about `bucket_bytes` of text. The distinct words of a bucket go to the word's task, which
+    encodes each word once for up to REGION buckets and sends its identifiers to those that hold it: a hot word is one row for each
+    bucket, and no list is longer than REGION. A bucket's documents are put together where they lie.
     """
     model = Model(model_path or model_file("piece_bpe_32k.model"))
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -172,29 +192,24 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
     # a document of each word is carried along so that both sides read the same shuffle
     spelled = rows.select("bucket", "doc_id", F.explode(F.split(marked(F.coalesce("text", F.lit(""))), model.split)).alias("word")).filter("word <> ''")
-    words = spelled.groupBy("bucket", "word").agg(F.min("doc_id").alias("holder"))
-    encoded = encode_words(words, model, ("bucket",)).withColumnRenamed("bucket", "dictionary")
-    schema = "doc_id long, text string, ids array<int>, n_tokens long"
-    return rows.groupBy("bucket").cogroup(encoded.groupBy("dictionary")).applyInArrow(_assemble(model), schema)
+    held = spelled.groupBy("bucket", "word").agg(F.min("doc_id").alias("holder")).withColumn("region", F.expr(f"bucket div {REGION}"))
+    words = held.repartition(partitions(docs.sparkSession), "region", "word").groupBy("region", "word").agg(F.collect_list("bucket").alias("buckets"), F.min("holder").alias("holder"))
+    encoded = encode_words(words, model, ("region", "word")).select(F.explode("buckets").alias("dictionary"), "holder", "word", "places")
+    schema = f"doc_id long, ids array<int>, n_tokens long, {'round_trip boolean' if check else 'text string'}"
+    return rows.groupBy("bucket").cogroup(encoded.groupBy("dictionary")).applyInArrow(_assemble(model, check), schema)
 
 
 def decode(frame: DataFrame, ids_col: str = "ids", model_path: str | None = None, name: str = "decoded") -> DataFrame:
     """`frame` with the text of its identifiers: bytes put together, marks to spaces, without the space that encoding puts before a text. Null stays null."""
     model = Model(model_path or model_file("piece_bpe_32k.model"))
-    spelled = [p.replace(MARK, " ").encode() for p in model.pieces]
-    for b, i in enumerate(model.byte_ids):
-        spelled[i] = bytes([b])
-    special = set(range(len(spelled))) - {i for _, i, _ in model.normal} - set(model.byte_ids)
-    for i in special:
-        spelled[i] = b""
+    spelled = model.spelled()
     held = frame.sparkSession.sparkContext.broadcast(spelled)  # as large as the vocabulary
     at = frame.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
-            texts = [None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            texts = [x[1:] if x and x[0] == " " else x for x in texts]
+            texts = [_decoded(x.values.to_numpy(zero_copy_only=False), table) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField(name, T.StringType())]))
@@ -202,5 +217,4 @@ def decode(frame: DataFrame, ids_col: str = "ids", model_path: str | None = None
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids, round_trip (decoding gives the text again; false where the text itself has marks)."""
-    both = decode(encode(docs, id_col, text_col, model_path), model_path=model_path)
-    return both.select("doc_id", "n_tokens", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    return encode(docs, id_col, text_col, model_path, check=True).select("doc_id", "n_tokens", "ids", "round_trip")
