@@ -26,7 +26,7 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -61,7 +61,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, _INVERSE):
@@ -120,8 +120,7 @@ class Words:
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, off)
         self.row = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
-        size = 1 << max(16, int(n).bit_length())
-        up, down = _powers(size) if size <= 4 * BLOCK_BYTES else _powers.__wrapped__(size)
+        up, down = _powers(BLOCK_BYTES + 1) if n <= BLOCK_BYTES else _powers.__wrapped__(n)  # only those of a usual block are kept
         value = (LOWER[data] if lower else data).astype(np.uint64)
         value += np.uint64(1)
         value *= up[:n]
