@@ -42,14 +42,14 @@ def directory(keys: DataFrame, bucket_rows: int, bits: int = 64) -> tuple[DataFr
     return cells.select("cell", bucket.alias("bucket"), local.cast("int").alias("local_depth")), depth
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096, hash_bits: int = 64) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096, hash_bits: int = 64, lengths: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket (and n_cp, the text's code points, with `lengths`).
 
     Texts are equal when identical after deleting white space; the row with the most code points of original text, then the
-    smallest id, stays. Null texts count as empty. Of rows that repeat the kept id one is kept. A null id never beats another
-    id. An empty table gives an empty result; columns other than the two named are ignored.
+    smallest id, stays; a null id comes after all others. One row of each group of equal texts is kept, also where ids are null,
+    repeated, or shared by different texts. Null texts count as empty. An empty table gives an empty result; columns other than the two named are ignored.
 
-    1. Every row's (id, length, key, digest) goes to the shared folder; key is a 64-bit hash (`hash_bits` of it, for tests).
+    1. Every row's (id, number, length, key, digest) goes to the shared folder; key is a 64-bit hash (`hash_bits` of it, for tests).
     2. Index entries, one per key and digest, pre-aggregated before the shuffle, get their bucket from the directory
        and are written by key range: each range has one owner task.
     3. Bytes are compared by grouping on (key, whole normalised text), also pre-aggregated; keys with several texts are chains.
@@ -58,26 +58,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"), normalised(F.col("text")).alias("norm"))
     keyed = rows.withColumn("key", F.xxhash64("norm").bitwiseAND(F.lit(-1 << (64 - hash_bits))))
-    facts = stash(keyed.select("doc_id", "n_cp", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha")))
+    facts = stash(keyed.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_cp", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha")))
 
-    entries = facts.groupBy("key", "sha", "n_cp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).groupBy("key", "sha").agg(F.max_by("least", "n_cp").alias("keep_id"), F.sum("n").alias("group_size"))
+    first = F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("first")  # without any id the first row
+    entries = facts.groupBy("key", "sha", "n_cp").agg(F.min("doc_id").alias("least"), first, F.count("*").alias("n"))
+    entries = entries.groupBy("key", "sha").agg(F.max_by("least", "n_cp").alias("keep_id"), F.max_by("first", "n_cp").alias("keep_row"), F.sum("n").alias("group_size"))
     found, depth = directory(facts.select("key").distinct(), bucket_rows, hash_bits)
-    index = entries.select("key", "sha", "keep_id", "group_size", _cell("key", depth).alias("cell")).join(found, "cell")
-    index = stash(index.select("bucket", "key", "sha", "keep_id", "group_size").repartitionByRange(partitions(spark), "bucket", "key"), ["bucket", "key"])
+    index = entries.select("key", "sha", "keep_id", "keep_row", "group_size", _cell("key", depth).alias("cell")).join(found, "cell")
+    index = stash(index.select("bucket", "key", "sha", "keep_id", "keep_row", "group_size").repartitionByRange(partitions(spark), "bucket", "key"), ["bucket", "key"])
 
     texts = keyed.groupBy("key", "norm").agg(F.count("*").alias("n")).select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n")
     agreed = texts.groupBy("key", "sha").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     same = (F.col("texts") == 1) & (F.col("n") == F.col("group_size"))
     index = index.join(agreed, ["key", "sha"]).withColumn("group_size", F.when(same, F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one digest differ in their bytes")).cast("long")))
 
-    out = facts.join(index.select("key", "sha", "keep_id", "group_size", "bucket"), ["key", "sha"])
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy((F.col("doc_id").eqNullSafe(F.col("keep_id"))).desc(), F.col("n_cp").desc(), "sha"))
-    return out.withColumn("nth", nth).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), "bucket"
-    )
+    out = facts.join(index.select("key", "sha", "keep_id", "keep_row", "group_size", "bucket"), ["key", "sha"])
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", *(["n_cp"] if lengths else []))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, once each."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    """The rows of `docs` that stay, one for each group of equal texts."""
+    kept = exact_dedup(docs, id_col, text_col, lengths=True).filter("kept").select(F.struct("doc_id", "text_sha256", "n_cp").alias("_kept"))
+    # survivors of one text have one id and length, so this key is as good as the text and no hot text meets in one task; structs compare nulls as equal
+    text = F.col(f"`{text_col}`")
+    name = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_cp"))
+    return docs.withColumn("_name", name).join(kept, F.col("_name") == F.col("_kept"), "left_semi").dropDuplicates(["_name"]).drop("_name")

@@ -70,7 +70,7 @@ def _facts(k: int):
                 row, value = shingle_sets(Words(part.column(1), SPACE_WORDS), k)
                 at, size, cls = _classes(part.num_rows, row, value)
                 counted = np.r_[0, np.cumsum((value.view(np.uint64) >> np.uint64(60)) < COUNTED_16THS)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(cls, mask=size == 0), pa.array(counted[at[1:]] - counted[at[:-1]])], names=["doc_id", "n", "cls", "counted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size), pa.array(cls, mask=size == 0), pa.array(counted[at[1:]] - counted[at[:-1]])], names=["doc_id", "mark", "n", "cls", "counted"])
 
     return run
 
@@ -129,12 +129,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "both", "either"])
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, mark: different texts of one id, or of none, differ in the mark."""
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
+def _least(by: str, rows: DataFrame, *others) -> DataFrame:
+    """(`by`, rep, rep_mark, others): the row of least id, any row where no id is known, of each group."""
+    return rows.groupBy(by).agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("rep_mark"), *others)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text), once for each class of `wanted`, from the row that its id and mark name (structs compare nulls as equal)."""
+    named = docs.select(F.struct("doc_id", "mark").alias("_name"), "text")
+    wanted = wanted.select("cls", F.struct(F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark")).alias("_rep"))
+    return named.join(wanted, F.col("_name") == F.col("_rep")).dropDuplicates(["_name"]).select("cls", "text")
+
+
 def _measure(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(a, b, both, either) for every distinct pair of classes. The sets are made from the texts again, of the classes in pairs only."""
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     members = pairs.select(F.col("b").alias("cls")).union(pairs.select(F.col("a").alias("cls"))).distinct()
-    wanted = classes.join(members, "cls", "left_semi").select("cls", F.col("rep").alias("_rep"))
-    sets = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("cls", "text")
+    sets = _texts(docs, classes.join(members, "cls", "left_semi"))
     sets = sets.mapInArrow(_sets(k), "member long, shingles binary")
     part = F.pmod(F.xxhash64("b"), F.lit(16))
     spread = pairs.withColumn("part", F.when(F.count("*").over(Window.partitionBy("a")) > 256, part).otherwise(F.lit(0)))
@@ -146,14 +163,13 @@ def _measure(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> D
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(classes of documents, links between classes).
 
-    The first has doc_id, n (distinct shingles) and cls (null without words) for every row; the second (a, b) of classes that link or are
+    The first has doc_id, mark (of the text), n (distinct shingles) and cls (null without words) for every row; the second (a, b) of classes that link or are
     connected by links within a block. A link may be missing only between classes that others connect.
     Shingles and sets are told apart by 64-bit hashes.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col)
-    facts = stash(docs.mapInArrow(_facts(k), "doc_id long, n long, cls long, counted long"))
-    classes = stash(facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("counted").alias("counted")))
-    classes_n = classes.select("cls", "n")
+    docs = _named(docs, id_col, text_col)
+    facts = stash(docs.mapInArrow(_facts(k), "doc_id long, mark long, n long, cls long, counted long"))
+    classes = stash(_least("cls", facts.filter("n > 0"), F.min("n").alias("n"), F.min("counted").alias("counted")))
 
     sent = docs.select("text").mapInArrow(_window_rows(k, percent), "token long, cls long")
     cell = Window.partitionBy("token")
@@ -183,7 +199,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = measured.filter(linked).select("a", "b")
     if regions is not None:
         links = links.union(_shells(regions, measured, links, docs, classes, k, percent))
-    return facts.select("doc_id", "n", "cls"), links
+    return facts.select("doc_id", "mark", "n", "cls"), links
 
 
 def _shells(regions: DataFrame, measured: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -217,8 +233,7 @@ def _shells(regions: DataFrame, measured: DataFrame, links: DataFrame, docs: Dat
     left = both.join(members, ["pivot", "shell", "part"]).select("job", F.lit(0).alias("side"), F.col("cls").alias("member"))
     right = both.filter("shell < shell2 or part < part2").select("job", F.col("pivot"), F.col("shell2").alias("shell"), F.col("part2").alias("part")).join(members, ["pivot", "shell", "part"]).select("job", F.lit(1).alias("side"), F.col("cls").alias("member"))
     jobs = left.union(right)
-    wanted = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("_rep"))
-    sets = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("cls", "text").mapInArrow(_sets(k), "member long, shingles binary")
+    sets = _texts(docs, classes.join(rows.select("cls").distinct(), "cls", "left_semi")).mapInArrow(_sets(k), "member long, shingles binary")
     sorted_ = jobs.join(sets, "member").select("job", "side", "member", "shingles").repartition("job").sortWithinPartitions("job", "side")
     return stash(sorted_.mapInArrow(_join_blocks(percent), "a long, b long").distinct())
 
@@ -286,14 +301,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links with nothing. Repeated rows and copies are one class. An empty table gives no rows; other columns are ignored. Rows with
     a null id take part but never name a component that has another id.
     """
-    facts, links = jaccard_join(docs, id_col, text_col, k, percent)
-    label = components(links.select("a", "b"))
-    rows = facts.join(label, facts["cls"] == label["node"], "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
+    rows = _components(docs, id_col, text_col, k, percent)
     names = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, that of the smallest id, and every row that is in no group."""
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n, comp) of every row; comp is null without words."""
+    facts, links = jaccard_join(docs, id_col, text_col, k, percent)
+    label = components(links.select("a", "b"))
+    return facts.join(label, facts["cls"] == label["node"], "left").select("doc_id", "mark", "n", F.coalesce("component", "cls").alias("comp"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id (any row where all ids are null), and every row that is in no group; rows of one id and text count once."""
+    rows = _components(docs, id_col, text_col, k, percent)
+    kept = _least("comp", rows.filter("comp is not null")).select("rep", "rep_mark").union(rows.filter("comp is null").select("doc_id", "mark"))
+    kept = kept.select(F.struct(F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark")).alias("_kept"))
+    name = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"))
+    return docs.withColumn("_name", name).join(kept, F.col("_name") == F.col("_kept"), "left_semi").dropDuplicates(["_name"]).drop("_name")

@@ -45,7 +45,7 @@ def minimisers(words: Words, least: int, seed: int) -> tuple[np.ndarray, np.ndar
 
 
 def _seeds(least: int, seed: int):
-    """(seed hash, text id, number of places) of the retained suffixes: one row for a text however often it repeats a seed."""
+    """(seed hash, text mark, number of places) of the retained suffixes: one row for a text however often it repeats a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +57,7 @@ def _seeds(least: int, seed: int):
                 order = np.lexsort((seed_, row))
                 row, seed_ = row[order], seed_[order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (seed_[1:] != seed_[:-1])]) if len(row) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(seed_[new]), part.column(0).take(pa.array(row[new])), pa.array(np.diff(np.r_[new, len(row)]))], names=["seed", "tid", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(seed_[new]), part.column(0).take(pa.array(row[new])), pa.array(np.diff(np.r_[new, len(row)]))], names=["seed", "mark", "places"])
 
     return run
 
@@ -75,11 +75,11 @@ def _extents(least: int, seed: int):
                 start, gram, whole, row = start[order], gram[order], whole[order], row[order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])]) if len(row) else np.zeros(0, np.int64)
                 ends = np.r_[new[1:], len(row)]
-                known = {r: frozenset(s) for r, s in enumerate(part.column(2).to_pylist())}
+                known = {r: frozenset(s) for r, s in enumerate(part.column(3).to_pylist())}
                 keep = [i for i, a in enumerate(new) if int(gram[a]) in known[int(row[a])]]
                 new, ends = new[keep], ends[keep]
                 lists = [pa.array([x[a:b].tolist() for a, b in zip(new, ends, strict=True)], pa.list_(pa.int64())) for x in (start - words.first[row], whole)]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[new]), part.column(0).take(pa.array(row[new])), *lists], names=["seed", "tid", "starts", "passages"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new]), *(part.column(i).take(pa.array(row[new])) for i in (0, 2)), *lists], names=["seed", "mark", "tid", "starts", "passages"])
 
     return run
 
@@ -89,61 +89,58 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seed, held = None, {}
     for batch in batches:
         out: tuple[list, list, list] = ([], [], [])
-        for s, tid, starts, passages in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for s, mark, tid, starts, passages in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if s != seed:
                 seed, held = s, {}
             for at, h in zip(starts, passages, strict=True):
                 before = held.get(h)
                 if before is None:
-                    held[h] = (tid, at)
+                    held[h] = (mark, at, tid)
                     continue
                 if before[0] is not None:
-                    for x, y in zip(out, (*before, before[0]), strict=True):
+                    for x, y in zip(out, before, strict=True):
                         x.append(y)
-                    held[h] = (None, before[0])
-                origin = held[h][1]
-                for x, y in zip(out, (tid, at, origin), strict=True):
+                    held[h] = (None, None, before[2])
+                for x, y in zip(out, (mark, at, before[2]), strict=True):
                     x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["tid", "start", "origin"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["mark", "start", "origin"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per document that holds a passage of `least` words or more that occurs elsewhere too (in another document, or again in this one).
+    """One row per document (id and text; different texts of one id, or of none, have a row each) that holds a passage of `least` words or more that occurs elsewhere too (in another document, or again in this one).
 
     doc_id, n_words, n_repeated (words inside such passages), first_doc_id (the least id among the texts that held one of its passages
     first), spans (array of first word and number of words; passages that touch or overlap are one). Words are `[^\\x20\\x09-\\x0D]+`,
     A-Z lower-cased. Shorter texts, null and empty ones have none. All passages are found, whatever their number of copies. Exact copies count as
-    repeats of their whole text. Rows with a null id are left out. An empty table gives no rows; other columns are ignored.
+    repeats of their whole text. Null ids come after all others and never name a first document. An empty table gives no rows; other columns are ignored.
 
-    1. Copies of a text are one text, named by its least id. 2. Each text keeps the suffixes at its minimisers; those whose seed no other place
+    1. Copies of a text are one text, told from others by a 64-bit hash and ordered by its least id. 2. Each text keeps the suffixes at its minimisers; those whose seed no other place
     has are dropped after one shuffle of (hash, id). 3. Texts with shared seeds give each shared suffix its extents to the left and
     right. 4. Suffixes are sorted by seed and neighbours compared: equal extents are repeated passages.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
-    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    facts = stash(rows.select("doc_id", key.alias("key")))
-    texts = facts.groupBy("key").agg(F.min("doc_id").alias("tid"), F.count("*").alias("copies"))
-    own = stash(facts.join(texts, "key").select("doc_id", "tid", "copies"))
-    single = own.filter("doc_id = tid").select("tid", "copies").distinct()
-
-    seeds = rows.mapInArrow(_seeds(least, seed), "seed long, tid long, places long")
+    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = stash(rows.groupBy("mark").agg(F.min("doc_id").alias("tid"), F.count("*").alias("copies")))
+
+    seeds = rows.select("mark", "text").mapInArrow(_seeds(least, seed), "seed long, mark long, places long")
     cell = Window.partitionBy("seed")
     # a text's repeated seeds count as shared too, and so do its copies': both only make candidates
-    shared = seeds.withColumn("n", F.sum("places").over(cell)).filter("n > 1").drop("n", "places").join(single, "tid").groupBy("tid").agg(F.collect_set("seed").alias("seeds"), F.min("copies").alias("copies"))
-    inside = rows.select("doc_id", "text")
-    held = inside.join(shared, inside["doc_id"] == shared["tid"]).select("tid", "text", "seeds")
-    extents = held.mapInArrow(_extents(least, seed), "seed long, tid long, starts array<long>, passages array<long>")
-    sorted_ = extents.repartition(partitions(docs.sparkSession), "seed").sortWithinPartitions("seed", "tid")
-    found = sorted_.mapInArrow(_neighbours, "tid long, start long, origin long").distinct()
-
-    order = Window.partitionBy("tid").orderBy("start")
-    runs = found.groupBy("tid", "start").agg(F.min("origin").alias("origin"))
+    shared = seeds.withColumn("n", F.sum("places").over(cell)).filter("n > 1").groupBy("mark").agg(F.collect_set("seed").alias("seeds")).join(texts.drop("copies"), "mark")
+    # one row of each text, that of its least id; structs compare nulls as equal
+    inside = rows.select(F.struct("doc_id", "mark").alias("_name"), "text")
+    shared = shared.withColumn("_own", F.struct(F.col("tid").alias("doc_id"), "mark"))
+    held = inside.join(shared, F.col("_name") == F.col("_own")).dropDuplicates(["_name"]).select("mark", "text", "tid", "seeds")
+    extents = held.mapInArrow(_extents(least, seed), "seed long, mark long, tid long, starts array<long>, passages array<long>")
+    sorted_ = extents.repartition(partitions(docs.sparkSession), "seed").sortWithinPartitions("seed", F.col("tid").asc_nulls_last(), "mark")
+    found = sorted_.mapInArrow(_neighbours, "mark long, start long, origin long").distinct()
+
+    order = Window.partitionBy("mark").orderBy("start")
+    runs = found.groupBy("mark", "start").agg(F.min("origin").alias("origin"))
     runs = runs.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(order) + least).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(order)).groupBy("tid", "run").agg(F.min("start").alias("first"), (F.max("start") + least - F.min("start")).alias("words"), F.min("origin").alias("origin"))
-    spans = runs.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("n_repeated"), F.min("origin").alias("first_doc_id"))
-    counts = rows.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).cast("long").alias("n_words")).filter(F.col("n_words") >= least)
-    counts = counts.groupBy("doc_id").agg(F.max("n_words").alias("n_words")).join(own.groupBy("doc_id").agg(F.min("tid").alias("tid"), F.max("copies").alias("copies")), "doc_id")
-    out = counts.join(spans, "tid", "left").filter("copies > 1 or n_repeated is not null")
+    runs = runs.withColumn("run", F.sum("new").over(order)).groupBy("mark", "run").agg(F.min("start").alias("first"), (F.max("start") + least - F.min("start")).alias("words"), F.min("origin").alias("origin"))
+    spans = runs.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("n_repeated"), F.min("origin").alias("first_doc_id"))
+    counts = rows.select("doc_id", "mark", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).cast("long").alias("n_words")).filter(F.col("n_words") >= least)
+    counts = counts.groupBy("doc_id", "mark").agg(F.max("n_words").alias("n_words"))
+    out = counts.join(texts.join(spans, "mark", "left"), "mark").filter("copies > 1 or n_repeated is not null")
     whole = F.col("copies") > 1
     return out.select(
         "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.col("n_repeated")).alias("n_repeated"), F.when(whole, F.least("tid", F.coalesce("first_doc_id", "tid"))).otherwise(F.col("first_doc_id")).alias("first_doc_id"),
