@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ BITS = 20
 SPOT = (1 << BITS) - 1
 SPAN = (1 << 2 * BITS) - 1
 LENGTHS = 64
+#: Longer words get no edges: they are joined by a queue of neighbours where they are put together.
+LONG = 60
 
 
 class Model:
@@ -71,6 +75,21 @@ class Model:
             out[i] = bytes([b])
         return out
 
+    def long_word(self):
+        """A function from a word of any length to the names (places with lengths, -1 - b for byte b) of its pieces, by the rule of `best_bounds` but in n log n steps."""
+        known = {p: (at, score) for at, (p, _, score) in zip(self.places, self.normal, strict=True)}
+        bounds = _best_path if self.unigram else _best_joins
+
+        def names(word: str) -> list[int]:
+            out: list[int] = []
+            b = bounds(word, known, self.longest)
+            for start, end in zip(b[:-1], b[1:], strict=True):
+                piece = word[start:end]
+                out += [known[piece][0] * LENGTHS + end - start] if piece in known else [-1 - x for x in piece.encode()]
+            return out
+
+        return names
+
     def identifiers(self, names: np.ndarray) -> np.ndarray:
         """Identifiers of places and lengths; -1 - b stands for byte b."""
         table = np.zeros(max(self.named) + 1, np.int32)
@@ -87,6 +106,47 @@ def _is_unigram(path: str) -> bool:
     return proto.trainer_spec.model_type == proto.trainer_spec.UNIGRAM
 
 
+def _best_joins(word: str, known: dict[str, tuple[int, float]], longest: int) -> list[int]:
+    """The neighbours whose union has the best place are joined, the leftmost first; after a join only its two neighbours make new unions."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # by start of a piece; an end of 0 is a start no more
+    queue: list[tuple[int, int, int, int]] = []
+
+    def offer(start: int, middle: int) -> None:
+        last = end[middle]
+        found = known.get(word[start:last]) if last - start <= longest else None
+        if found:
+            heapq.heappush(queue, (found[0], start, last, middle))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while queue:
+        _, start, last, middle = heapq.heappop(queue)
+        if end[start] != middle or end[middle] != last:
+            continue
+        end[start], end[middle], before[last] = last, 0, start
+        if start:
+            offer(before[start], start)
+        if last < n:
+            offer(start, last)
+    return [i for i in range(n) if end[i]] + [n]
+
+
+def _best_path(word: str, known: dict[str, tuple[int, float]], longest: int) -> list[int]:
+    """The path of largest total score; a character that is no piece costs more than any piece."""
+    total, back = [0.0], [0]
+    for i in range(1, len(word) + 1):
+        reach = ((total[j] + known[word[j:i]][1], j) for j in range(max(0, i - longest), i) if word[j:i] in known)
+        best, at = max(reach, default=(total[i - 1] - 1000, i - 1))
+        best, at = max((best, at), (total[i - 1] - 1000, i - 1))
+        total.append(best)
+        back.append(at)
+    bounds = [len(word)]
+    while bounds[-1]:
+        bounds.append(back[bounds[-1]])
+    return bounds[::-1]
+
+
 def _decoded(ids: np.ndarray, spelled: list[bytes]) -> str:
     """The text of one document's identifiers, without the space that encoding puts before it."""
     text = b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -102,13 +162,13 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: tuple[str,
     """(words' columns, n, edges, scores): every substring of up to `longest` characters that is a piece, grouped by word; scores are those of the edges (if `scored`).
 
     Words come partitioned by their keys and stay so: substrings meet the broadcast piece table, and edges are grouped where they are.
-    An empty substring stands for the word itself, so a word without pieces has a row too; it alone carries the word, so that edges stay narrow.
+    An empty substring stands for the word itself, so a word without pieces, or of more than LONG characters, has a row too; it alone carries the word, so that edges stay narrow.
     """
     words = words.withColumn("at_word", F.monotonically_increasing_id())  # rising, so that grouping sorts what is in order
     others = [c for c in words.columns if c not in keys and c != "at_word"]
     table = pieces.unionByName(words.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, place long, score double"))
-    ends = words.select("*", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("s")).select("*", F.expr(f"substring(word, s + 1, {longest})").alias("rest"))
-    spots = ends.select("*", F.explode(F.expr("sequence(if(s = 0, 0, 1), length(rest))")).alias("l")).select(*words.columns, "s", "l", F.expr("substring(rest, 1, l)").alias("piece"))
+    ends = words.select("*", F.explode(F.expr(f"sequence(0, if(length(word) > {LONG}, 0, length(word) - 1))")).alias("s")).select("*", F.expr(f"substring(word, s + 1, {longest})").alias("rest"))
+    spots = ends.select("*", F.explode(F.expr(f"sequence(if(s = 0, 0, 1), if(length(word) > {LONG}, 0, length(rest)))")).alias("l")).select(*words.columns, "s", "l", F.expr("substring(rest, 1, l)").alias("piece"))
     real = F.col("place") >= 0
     edge = F.when(real, F.expr(f"shiftleft(place, {2 * BITS}) + shiftleft(cast(s as bigint), {BITS}) + s + l")).alias("edge")
     score = [F.when(real, F.col("score")).alias("score")] if scored else []
@@ -119,7 +179,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: tuple[str,
 
 
 def best_bounds(unigram: bool):
-    """Bounds of the best pieces of a word, folded over its positions.
+    """Bounds of the best pieces of a word of up to LONG characters, folded over its positions.
 
     Unigram models: Viterbi, the path of largest total score (characters that are no piece cost more than any piece). Byte-pair
     models: the neighbours whose union scores best are joined, the leftmost first, until none can be.
@@ -129,26 +189,36 @@ def best_bounds(unigram: bool):
         one = f"transform({into}, x -> struct(path[cast(shiftright(x.edges, {BITS}) & {SPOT}L as int)].total + x.scores as total, shiftright(x.edges, {BITS}) & {SPOT}L as back))"
         path = f"aggregate(sequence(1, n), array(struct(0D as total, 0L as back)), (path, i) -> concat(path, array(array_max(concat({one}, array(struct(path[i - 1].total - 1000D as total, cast(i - 1 as bigint) as back)))))))"
         return F.expr(f"aggregate(sequence(1, n), struct(array(cast(n as int)) as b, {path} as path), (st, i) -> if(st.b[0] = 0, st, struct(concat(array(cast(st.path[st.b[0]].back as int)), st.b) as b, st.path as path)), st -> st.b)")
-    # Up to 60 characters, bounds are bits of a number: a piece joins two neighbours if both its ends are bounds and one bound lies between.
+    # Bounds are bits of a number: a piece joins two neighbours if both its ends are bounds and one bound lies between.
     start, end = f"cast(shiftright(x, {BITS}) & {SPOT}L as int)", f"cast(x & {SPOT}L as int)"
     listed = f"transform(filter(array_sort(edges), x -> {end} - {start} > 1), x -> struct(shiftleft(1L, {start}) | shiftleft(1L, {end}) as ends, shiftleft(1L, {end}) - shiftleft(2L, {start}) as inner))"
     bits = "aggregate(sequence(1, least(greatest(1, n - 1), 1 + size(es))), shiftleft(1L, n + 1) - 1L, (m, k) -> m & ~coalesce(try_element_at(filter(es, x -> (m & x.ends) = x.ends and bit_count(m & x.inner) = 1), 1).inner, 0L))"
     by_bits = f"transform(array({listed}), es -> transform(array({bits}), m -> filter(sequence(0, n), i -> (shiftright(m, i) & 1L) = 1L))[0])[0]"
-    place = f"try_element_at(filter(edges, x -> (x & {SPAN}L) = shiftleft(cast(b[i] as bigint), {BITS}) + b[i + 2]), 1)"
-    pair = f"transform(transform(sequence(0, size(b) - 3), i -> struct({place} as edge, i as at)), x -> if(x.edge is null, null, x))"
-    join = f"if(size(b) < 3, b, transform(array(array_min({pair})), best -> if(best is null, b, filter(b, (x, j) -> j <> best.at + 1)))[0])"
-    by_array = f"aggregate(sequence(1, greatest(1, n - 1)), sequence(0, n), (b, k) -> {join})"
-    return F.expr(f"if(n > 60, {by_array}, {by_bits})")
+    return F.expr(by_bits)
+
 
+def encode_words(words: DataFrame, model: Model, keys: tuple[str, ...] = (), long: bool = True) -> DataFrame:
+    """(words' columns, places) of distinct words: places (with lengths) of their pieces, -1 - b for byte b of a character that is no piece.
 
-def encode_words(words: DataFrame, model: Model, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(words' columns, places) of distinct words: places (with lengths) of their pieces, -1 - b for byte b of a character that is no piece."""
-    found = lattice(words, model.table(words.sparkSession), model.longest, keys, model.unigram).withColumn("bounds", best_bounds(model.unigram))
+    Without `long`, the places of words beyond LONG characters stay null, for who puts them together.
+    """
+    found = lattice(words, model.table(words.sparkSession), model.longest, keys, model.unigram).withColumn("bounds", F.when(F.col("n") <= LONG, best_bounds(model.unigram)))
     edge = f"try_element_at(filter(edges, x -> (x & {SPAN}L) = shiftleft(cast(bounds[i] as bigint), {BITS}) + bounds[i + 1]), 1)"
     piece = "cast(substring(word, bounds[i] + 1, bounds[i + 1] - bounds[i]) as binary)"
     spelled = f"transform(sequence(1, octet_length({piece})), k -> -1 - cast(conv(hex(substring({piece}, k, 1)), 16, 10) as int))"
     places = f"flatten(transform(sequence(0, size(bounds) - 2), i -> transform(array({edge}), o -> if(o is null, {spelled}, array(cast(shiftright(o, {2 * BITS}) as int) * {LENGTHS} + bounds[i + 1] - bounds[i])))[0]))"
-    return found.select(*words.columns, F.expr(places).alias("places"))
+    found = found.select(*words.columns, F.expr(f"if(n > {LONG}, null, {places})").alias("places"))
+    if not long:
+        return found
+    at, last = words.columns.index("word"), len(words.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = model.long_word()
+        for batch in batches:
+            filled = [p if p is not None else encoded(w) for w, p in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(filled, pa.list_(pa.int32()))], names=batch.schema.names)
+
+    return found.mapInArrow(run, found.schema)
 
 
 def _assemble(model: Model, check: bool):
@@ -159,8 +229,12 @@ def _assemble(model: Model, check: bool):
         ids = words.column("places").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
         values = model.identifiers(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)) if len(words) else np.zeros(0, np.int32)
-        off = np.cumsum(np.r_[0, ids.value_lengths().to_numpy(zero_copy_only=False)]) if len(words) else np.zeros(1, np.int64)
+        off = np.cumsum(np.r_[0, pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)]) if len(words) else np.zeros(1, np.int64)
         known = {w: values[a:b].tobytes() for w, a, b in zip(words.column("word").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)}
+        long = words.filter(pc.is_null(words.column("places"))).column("word").to_pylist() if len(words) else []
+        if long:
+            encoded = model.long_word()
+            known |= {w: model.identifiers(np.array(encoded(w), np.int64)).tobytes() for w in long}
         out, same = [], []
         for text in docs.column("text"):  # one text at a time: only identifiers are kept
             text = text.as_py() or ""
@@ -183,7 +257,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     Documents are dealt once into buckets of about `bucket_bytes` of text. The distinct words of a bucket go to the word's task, which
     encodes each word once for up to REGION buckets and sends its identifiers to those that hold it: a hot word is one row for each
-    bucket, and no list is longer than REGION. A bucket's documents are put together where they lie.
+    bucket, and no list is longer than REGION. A bucket's documents are put together where they lie, and there the bucket's words of more than LONG characters are encoded.
     """
     model = Model(model_path or model_file("piece_bpe_32k.model"))
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -194,7 +268,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     spelled = rows.select("bucket", "doc_id", F.explode(F.split(marked(F.coalesce("text", F.lit(""))), model.split)).alias("word")).filter("word <> ''")
     held = spelled.groupBy("bucket", "word").agg(F.min("doc_id").alias("holder")).withColumn("region", F.expr(f"bucket div {REGION}"))
     words = held.repartition(partitions(docs.sparkSession), "region", "word").groupBy("region", "word").agg(F.collect_list("bucket").alias("buckets"), F.min("holder").alias("holder"))
-    encoded = encode_words(words, model, ("region", "word")).select(F.explode("buckets").alias("dictionary"), "holder", "word", "places")
+    encoded = encode_words(words, model, ("region", "word"), long=False).select(F.explode("buckets").alias("dictionary"), "holder", "word", "places")
     schema = f"doc_id long, ids array<int>, n_tokens long, {'round_trip boolean' if check else 'text string'}"
     return rows.groupBy("bucket").cogroup(encoded.groupBy("dictionary")).applyInArrow(_assemble(model, check), schema)
 
