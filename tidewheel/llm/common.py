@@ -24,6 +24,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SPACES = "[\\x20\\x09-\\x0D]+"
 
+#: Environment of Python workers: memory that a worker has freed goes back at once, since idle workers stay beside those at work.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 BLOCK_BYTES = 1 << 20
@@ -32,6 +35,8 @@ BLOCK_BYTES = 1 << 20
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (on a cluster it is installed or sent with --py-files)."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*filter(None, env.get("PYTHONPATH", "").split(os.pathsep)), root]))
 
 

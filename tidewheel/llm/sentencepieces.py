@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, model_file, partitions, pick, text_bytes
+from .common import blocks, bucketed, model_file, partitions, pick, text_bytes
 
 MARK = "▁"
 #: Letters and punctuation that pieces of common vocabularies keep apart (checked against the pieces).
 LETTER, MARKS = "[A-Za-z\u00C0-\u024F]", "[!-/:-@\\[-`{-~]"
 #: Bytes of text that share one numbering of their words; input partitions whose words are encoded once for all of them; shares of a region's words.
-BLOCK_BYTES, REGION, SHARES = 16 << 20, 1024, 1024
+BLOCK_BYTES, REGION, SHARES = 8 << 20, 1024, 1024
 #: An edge is one number: the piece's place by falling score, then start and end, each below 2^20. So edges sort best first, leftmost first.
 BITS = 20
 SPOT = (1 << BITS) - 1
@@ -277,19 +277,32 @@ def _numbered(model: Model, block_bytes: int, check: bool):
     are one compressed value; no text is moved between tasks.
     """
 
-    def pack(block: int, region: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        # a mark before each text that isn't empty; a mark inside a text is as good as a space
-        raw, raw_off = text_bytes(texts)
+    def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words of some texts, and how many each has. A mark goes before each text that isn't empty; a mark inside a text is as good as a space."""
         spaced = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " ")
         data, off = text_bytes(pc.if_else(pc.equal(pc.binary_length(spaced), 0), spaced, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), spaced, pa.scalar("", pa.large_string()))))
         start = model.starts(data, off) if len(data) else np.zeros(0, np.int64)
-        count = np.diff(np.searchsorted(start, off))
-        bounds = np.r_[start, len(data)].astype(np.int64)
-        every = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        bounds = pa.py_buffer(np.r_[start, len(data)].astype(np.int64))
+        return pa.Array.from_buffers(pa.large_string(), len(start), [None, bounds, pa.py_buffer(data)]), np.diff(np.searchsorted(start, off))
+
+    def pack(block: int, region: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, texts = (pa.chunked_array([x.column(i) for x in held]) for i in (0, 1))
+        parts, counts, kept = [], [], []
+        for whole in held:
+            for x in blocks(whole, whole.schema.names[1]):
+                words, count = words_of(x.column(1))
+                parts.append(words)
+                counts.append(count)
+                if check:
+                    raw, off = text_bytes(x.column(1))
+                    kept += [xxhash.xxh3_128_digest(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        every = pa.chunked_array(parts, pa.large_string()).dictionary_encode().combine_chunks()
+        every = every.chunk(0) if isinstance(every, pa.ChunkedArray) and every.num_chunks else every
+        del parts
         number = every.indices.to_numpy(zero_copy_only=False)
         often = np.bincount(number, minlength=len(every.dictionary))
         order = np.argsort(-often, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         words = pc.replace_substring(every.dictionary.take(pa.array(order)), " ", MARK)
         long = np.flatnonzero(pc.utf8_length(words).to_numpy(zero_copy_only=False) > LONG)
@@ -301,14 +314,10 @@ def _numbered(model: Model, block_bytes: int, check: bool):
         lists = pa.array(np.r_[first, len(by_share)].astype(np.int32))
         columns = [pa.array(region * SHARES + names, pa.int64()), pa.ListArray.from_arrays(lists, words.take(pa.array(by_share)).cast(pa.string())), pa.ListArray.from_arrays(lists, pa.array(by_share.astype(np.int32)))]
         shares = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.StructArray.from_arrays(columns, names=["share", "words", "numbers"]))
-        if check:
-            kept = pa.array([xxhash.xxh3_128_digest(raw[a:b].tobytes()) for a, b in zip(raw_off[:-1].tolist(), raw_off[1:].tolist(), strict=True)], pa.binary())
-        else:
-            kept = texts
-        held = pa.table({"doc_id": ids, "count": pa.array(count, pa.int64()), "kept": kept})
+        held_docs = pa.table({"doc_id": ids, "count": pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]), pa.int64()), "kept": pa.array(kept, pa.binary()) if check else texts})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(held)
+        with pa.ipc.new_stream(sink, held_docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(held_docs)
         long_words = pa.array([[{"number": int(i), "word": words[int(i)].as_py()} for i in long]], pa.list_(pa.struct([("number", pa.int32()), ("word", pa.string())])))
         return pa.RecordBatch.from_arrays([pa.array([block]), shares, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_packed(rank[number])], pa.binary()), pa.array([len(words)], pa.int32()), long_words], names=["block", "shares", "docs", "numbers", "n_words", "long_words"])
 
@@ -323,12 +332,10 @@ def _numbered(model: Model, block_bytes: int, check: bool):
                 size += int(off[hi] - off[lo])
                 lo = hi
                 if size >= block_bytes:
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    yield pack((part << 24) + made, part // REGION, *(c.combine_chunks() for c in whole.columns))
+                    yield pack((part << 24) + made, part // REGION, held)
                     made, held, size = made + 1, [], 0
         if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield pack((part << 24) + made, part // REGION, *(c.combine_chunks() for c in whole.columns))
+            yield pack((part << 24) + made, part // REGION, held)
 
     return run
 
