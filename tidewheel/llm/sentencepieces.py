@@ -273,8 +273,8 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _numbered(model: Model, block_bytes: int, check: bool):
     """Blocks of texts as numbers of their words: one row a block. The words stand beside, by the share that encodes them.
 
-    A block's documents (identifiers, word counts, digests or texts, words of more than LONG characters, and all word numbers, those of frequent words being small)
-    are one compressed value; no text is moved between tasks.
+    A block's documents (identifiers, word counts, digests or texts, and all word numbers, those of frequent words being small)
+    are compressed values; no text is moved between tasks.
     """
 
     def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -311,15 +311,20 @@ def _numbered(model: Model, block_bytes: int, check: bool):
         by_share = np.argsort(share, kind="stable")
         by_share = by_share[: len(by_share) - len(long)]
         names, first = np.unique(share[by_share], return_index=True)
-        lists = pa.array(np.r_[first, len(by_share)].astype(np.int32))
-        columns = [pa.array(region * SHARES + names, pa.int64()), pa.ListArray.from_arrays(lists, words.take(pa.array(by_share)).cast(pa.string())), pa.ListArray.from_arrays(lists, pa.array(by_share.astype(np.int32)))]
-        shares = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.StructArray.from_arrays(columns, names=["share", "words", "numbers"]))
+        # words are numbered by share, then by themselves; they have no spaces, so a share's words are one text
+        sorted_ = words.take(pa.array(by_share)).to_pylist()
+        rising = [sorted(range(a, b), key=sorted_.__getitem__) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by_share)], strict=True)]
+        columns = [pa.array(region * SHARES + names, pa.int64()), pa.array(first, pa.int32()), pa.array([" ".join([sorted_[i] for i in x]) for x in rising], pa.string())]
+        shares = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.StructArray.from_arrays(columns, names=["share", "base", "words"]))
+        by_share = by_share[np.array([i for x in rising for i in x], np.int64)]
+        name = np.empty(len(words), np.uint32)  # of each word by frequency
+        name[by_share], name[long] = np.arange(len(by_share)), len(by_share) + np.arange(len(long))
         held_docs = pa.table({"doc_id": ids, "count": pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]), pa.int64()), "kept": pa.array(kept, pa.binary()) if check else texts})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held_docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(held_docs)
-        long_words = pa.array([[{"number": int(i), "word": words[int(i)].as_py()} for i in long]], pa.list_(pa.struct([("number", pa.int32()), ("word", pa.string())])))
-        return pa.RecordBatch.from_arrays([pa.array([block]), shares, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_packed(rank[number])], pa.binary()), pa.array([len(words)], pa.int32()), long_words], names=["block", "shares", "docs", "numbers", "n_words", "long_words"])
+        long_words = pa.array([[{"number": int(name[i]), "word": words[int(i)].as_py()} for i in long]], pa.list_(pa.struct([("number", pa.int32()), ("word", pa.string())])))
+        return pa.RecordBatch.from_arrays([pa.array([block]), shares, pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([_packed(rank[number])], pa.binary()), pa.array([_packed(name)], pa.binary()), long_words], names=["block", "shares", "docs", "numbers", "names", "long_words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -340,7 +345,7 @@ def _numbered(model: Model, block_bytes: int, check: bool):
     return run
 
 
-PACKED = "block long, shares array<struct<share long, words array<string>, numbers array<int>>>, docs binary, numbers binary, n_words int, long_words array<struct<number int, word string>>"
+PACKED = "block long, shares array<struct<share long, base int, words string>>, docs binary, numbers binary, names binary, long_words array<struct<number int, word string>>"
 
 
 def _by_block(model: Model, most: int = 4_000_000):
@@ -395,9 +400,9 @@ def _assemble(model: Model, check: bool):
         return values[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def run(block: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
-        row = {c: block.column(c)[0] for c in ("docs", "numbers", "n_words", "long_words")}
-        n_words = row["n_words"].as_py()
-        count, start = np.full(n_words, -1, np.int64), np.zeros(n_words, np.int64)
+        row = {c: block.column(c)[0] for c in ("docs", "numbers", "names", "long_words")}
+        name = _unpacked(row["names"].as_py())
+        count, start = np.full(len(name), -1, np.int64), np.zeros(len(name), np.int64)
         values, base = [], 0
         for i in range(len(words)):
             steps, n, ids = (_unpacked(words.column(c)[i].as_py()) for c in ("steps", "counts", "ids"))
@@ -415,7 +420,7 @@ def _assemble(model: Model, check: bool):
         if (count < 0).any():
             raise RuntimeError("a word has no encoding")
         value = np.concatenate([*values, np.zeros(0, np.int32)])
-        number = _unpacked(row["numbers"].as_py()).astype(np.int64)
+        number = name[_unpacked(row["numbers"].as_py())]
         docs = pa.ipc.open_stream(row["docs"].as_py()).read_all().combine_chunks()
         held = np.r_[0, np.cumsum(docs.column("count").to_numpy())]
         lo, n_docs = 0, len(docs)
@@ -464,12 +469,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     packed = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(_numbered(model, bucket_bytes, check), PACKED)
     packed = bucketed(packed, "block", 2 * partitions(spark))
     shares = packed.select("block", F.inline("shares")).repartition(partitions(spark), "share")
-    held = shares.select("share", "block", F.posexplode("words").alias("i", "word"), "numbers").select("share", "word", F.expr("shiftleft(block, 32) | numbers[i]").alias("holder"))
+    held = shares.select("share", "block", "base", F.posexplode(F.split("words", " ")).alias("i", "word")).select("share", "word", F.expr("shiftleft(block, 32) | (base + i)").alias("holder"))
     words = held.groupBy("share", "word").agg(F.collect_list("holder").alias("holders"))
     encoded = encode_words(words, model, ("share", "word"), long=False).select("holders", "places")
     back = encoded.mapInArrow(_by_block(model), "dictionary long, steps binary, counts binary, ids binary")
     schema = f"doc_id long, ids array<int>, n_tokens long, {'round_trip boolean' if check else 'text string'}"
-    return packed.select("block", "docs", "numbers", "n_words", "long_words").groupBy("block").cogroup(back.groupBy("dictionary")).applyInArrow(_assemble(model, check), schema)
+    return packed.select("block", "docs", "numbers", "names", "long_words").groupBy("block").cogroup(back.groupBy("dictionary")).applyInArrow(_assemble(model, check), schema)
 
 
 def decode(frame: DataFrame, ids_col: str = "ids", model_path: str | None = None, name: str = "decoded") -> DataFrame:
