@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,22 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, LOWER, Words, blocks, pick
+from .common import ALNUM_WORDS, LOWER, Words, blocks, others, pick, restored, stash
 
-#: Most bytes of benchmark text in one block; a longer benchmark is searched block after block.
+#: Most bytes of benchmark text in one block; a longer benchmark is searched block after block, each in a pass over the documents.
 BLOCK_LIMIT = 16 << 20
 
 
 class Items:
-    """Test items of one block: their words as numbers of a sorted vocabulary of 64-bit hashes, with the words' bytes for the exact check."""
+    """Test items of one block: their words as numbers of a sorted vocabulary of 64-bit hashes, with the vocabulary's bytes for the exact check."""
 
     def __init__(self, ids: list, texts: list[str | None], window: int):
         w = Words(pa.array(texts, pa.large_string()), ALNUM_WORDS)
         self.window = window
-        self.vocabulary, number = np.unique(w.hash, return_inverse=True)
+        self.vocabulary, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
         self.number = number.astype(np.int64)
-        self.bytes = [LOWER[w.data[a:b]].tobytes() for a, b in zip(w.start, w.end, strict=True)]
+        lower = LOWER[w.data]
+        self.start, self.length, self.bytes = w.start[first], (w.end - w.start)[first], lower
+        if not same_bytes(lower, w.start, w.end - w.start, lower, self.start[number], self.length[number]).all():
+            raise ValueError("two words of the benchmark have one hash")
         self.item = w.row
+        self.first = w.first
         self.ids = ids
         length = np.diff(w.first)
         left = w.first[1:][w.row] - np.arange(len(w.row))
@@ -36,6 +39,19 @@ class Items:
         self.least = int(need.min()) if len(need) else 0
 
 
+def same_bytes(a: np.ndarray, a_start: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """Whether words of two texts have the same bytes, one for one."""
+    same = a_len == b_len
+    at = np.flatnonzero(same)
+    n = a_len[at]
+    total = np.cumsum(n)
+    step = np.arange(int(n.sum())) - np.repeat(total - n, n)
+    differ = a[np.repeat(a_start[at], n) + step] != b[np.repeat(b_start[at], n) + step]
+    seen = np.r_[0, np.cumsum(differ)]
+    same[at] = seen[total] == seen[total - n]
+    return same
+
+
 def _suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     """Positions of `seq` sorted by what follows, to `depth` words at least (prefix doubling); separators are negative and never equal."""
     rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
@@ -74,6 +90,8 @@ def search(words: Words, items: Items) -> Iterator[tuple[np.ndarray, int, np.nda
         return
     place = np.minimum(np.searchsorted(items.vocabulary, words.hash), len(items.vocabulary) - 1)
     known = items.vocabulary[place] == words.hash
+    at = np.flatnonzero(known)  # every word that may match is compared byte by byte
+    known[at] = same_bytes(LOWER[words.data], words.start[at], (words.end - words.start)[at], items.bytes, items.start[place[at]], items.length[place[at]])
     breaks = np.ones(len(known) + 1, bool)
     breaks[1:-1] = ~(known[1:] & known[:-1] & (words.row[1:] == words.row[:-1]))
     at = np.flatnonzero(breaks)
@@ -106,82 +124,97 @@ def search(words: Words, items: Items) -> Iterator[tuple[np.ndarray, int, np.nda
         query, lo, hi = query[going], new_lo[going], new_hi[going]
 
 
-def matches(words: Words, items: Items) -> list[tuple[int, int, int, int]]:
-    """(first word in the shard, item, word of the item, length): the longest verbatim matches, each checked byte by byte."""
-    out = []
-    for at, q, length in search(words, items):
-        j = int(items.at[q])
-        for p, n in zip(at.tolist(), length.tolist(), strict=True):
-            same = 0
-            while same < n and LOWER[words.data[words.start[p + same] : words.end[p + same]]].tobytes() == items.bytes[j + same]:
-                same += 1
-            if same >= items.need[q]:
-                out.append((p, int(items.item[j]), j, same))
-    return out
-
+def matches(words: Words, items: Items) -> np.ndarray:
+    """Rows (row of the shard, item, word of the item, word of the row, length) of the longest verbatim matches.
 
-def _item_blocks(benchmark: DataFrame, window: int) -> list:
-    """The benchmark in blocks of at most BLOCK_LIMIT bytes (one longer item alone), each broadcast on its own; the driver holds one block at a time."""
-    sc, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
+    A match that only continues another of the same item to the left is part of it and left out.
+    """
+    found = [np.stack([at, np.full(len(at), items.at[q]), length]) for at, q, length in search(words, items)]
+    if not found:
+        return np.zeros((0, 5), np.int64)
+    at, own, length = np.concatenate(found, axis=1)
+    order = np.lexsort((at, at - own))
+    at, own, length = at[order], own[order], length[order]
+    goes_on = np.r_[False, (np.diff(at) == 1) & (np.diff(own) == 1) & (items.item[own[1:]] == items.item[own[:-1]]) & (words.row[at[1:]] == words.row[at[:-1]]) & (np.diff(at + length) == 0)]
+    at, own, length = at[~goes_on], own[~goes_on], length[~goes_on]
+    row, item = words.row[at], items.item[own]
+    return np.stack([row, item, own - items.first[item], at - words.first[row], length], axis=1)
+
+
+def _item_blocks(benchmark: DataFrame, window: int) -> Iterator[Items]:
+    """The benchmark in blocks of at most BLOCK_LIMIT bytes (one longer item alone); the driver holds one block at a time."""
+    ids, texts, size, made = [], [], 0, 0
     for item_id, text in benchmark.toLocalIterator():
         n = len((text or "").encode())
         if ids and size + n > BLOCK_LIMIT:
-            out.append(sc.broadcast(Items(ids, texts, window)))
-            ids, texts, size = [], [], 0
-        ids.append(item_id)
-        texts.append(text)
-        size += n
-    out.append(sc.broadcast(Items(ids, texts, window)))
-    return out
+            yield Items(ids, texts, window)
+            ids, texts, size, made = [], [], 0, made + 1
+        if item_id is not None:
+            ids.append(str(item_id))
+            texts.append(text)
+            size += n
+    if ids or not made:
+        yield Items(ids, texts, window)
 
 
 RESULT = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()),
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("matches", T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("words", T.IntegerType())]))),
 ])
+_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])))])
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """`docs` with a column `_found`: n_words, n_hit, n_items, items_sha256 and the longest verbatim matches of test suffixes with their places.
+    """(own, text, found): each row of `docs`, all but its text as a struct, so that no name can clash, and its n_words, n_hit, items (sorted ids) and matches: the longest verbatim matches of test suffixes with their places.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window is `window` consecutive words of an
     item, or a shorter item whole. A word inside any occurrence of a window is hit. Null and empty texts have no words and no hits; an
-    item without words has no window; an empty benchmark hits nothing. Rows are kept as they are, repeated ones too.
+    item without words has no window; items of a null id are left out; an empty benchmark hits nothing. Rows are kept as they are, repeated ones too.
 
-    Each block of documents is a shard with a suffix array of its own, searched in the task that read it: nothing is shuffled.
+    Each block of documents is a shard with a suffix array of its own, searched in the task that read it: nothing is shuffled. A worker holds one block of
+    the benchmark (BLOCK_LIMIT bytes of text). A longer benchmark takes a pass for each block, kept in the shared folder in between.
     """
-    held = _item_blocks(pick(benchmark, item=item_col, text=item_text_col), window)
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_found", RESULT)])
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])))])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, text_col) if batch.num_rows else [batch]:
-                words = Words(part.column(at), ALNUM_WORDS)
-                found: list[list] = [[] for _ in range(part.num_rows)]
-                for b in held:
-                    for p, item, j, n in matches(words, b.value):
-                        r = int(words.row[p])
-                        found[r].append((b.value.ids[item], j - int(np.searchsorted(b.value.item, item)), p - int(words.first[r]), n))
-                rows = []
-                for r, f in enumerate(found):
-                    hit = np.zeros(int(words.first[r + 1] - words.first[r]), bool)
-                    for _, _, p, n in f:
-                        hit[p : p + n] = True
-                    names = sorted({str(x[0]) for x in f})
-                    rows.append({"n_words": len(hit), "n_hit": int(hit.sum()), "n_items": len(names), "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "matches": [{"item_id": str(i), "item_word": a, "doc_word": p, "words": n} for i, a, p, n in sorted(f, key=lambda x: (x[2], str(x[0]), x[1]))]})
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], names=[*part.schema.names, "_found"])
-
-    return docs.mapInArrow(scan, schema)
+    sc = docs.sparkSession.sparkContext
+    out = docs.select(others(docs, text_col), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast(RESULT).alias("found"))
+
+    def scan_with(held):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = held.value
+            for batch in batches:
+                for part in blocks(batch, "text") if batch.num_rows else [batch]:
+                    words = Words(part.column(1), ALNUM_WORDS)
+                    got = matches(words, items)
+                    got = got[np.lexsort((got[:, 2], got[:, 1], got[:, 3], got[:, 0]))]
+                    bounds = np.searchsorted(got[:, 0], np.arange(part.num_rows + 1))
+                    rows = []
+                    for r in range(part.num_rows):
+                        before, n = part.column(2)[r].as_py(), int(words.first[r + 1] - words.first[r])
+                        f = [{"item_id": items.ids[i], "item_word": a, "doc_word": p, "words": k} for _, i, a, p, k in got[bounds[r] : bounds[r + 1]].tolist()]
+                        f = sorted([*before["matches"], *f], key=lambda x: (x["doc_word"], x["item_id"], x["item_word"])) if before else f
+                        step = np.zeros(n + 1, np.int64)
+                        if f:
+                            at, k = np.array([x["doc_word"] for x in f]), np.array([x["words"] for x in f])
+                            np.add.at(step, at, 1)
+                            np.add.at(step, at + k, -1)
+                        rows.append({"n_words": n, "n_hit": int((np.cumsum(step)[:n] > 0).sum()), "items": sorted({x["item_id"] for x in f}), "matches": f})
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, _KIND)], names=["own", "text", "found"])
+
+        return scan
+
+    passes = 0
+    for items in _item_blocks(pick(benchmark, item=item_col, text=item_text_col), window):
+        out = stash(out) if passes else out
+        out, passes = out.mapInArrow(scan_with(sc.broadcast(items)), out.schema), passes + 1
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches."""
     found = find_matches(pick(docs, doc_id=id_col, text=text_col), benchmark, window=window)
-    return found.select("doc_id", "_found.n_words", "_found.n_hit", "_found.n_items", "_found.items_sha256", (F.col("_found.n_hit") > 0).alias("contaminated"), "_found.matches")
+    digest = F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("own.doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), digest, (F.col("found.n_hit") > 0).alias("contaminated"), "found.matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
     """The documents without any occurrence of a window, unchanged."""
-    return find_matches(docs, benchmark, text_col, window=window).filter(F.col("_found.n_hit") == 0).drop("_found")
+    return find_matches(docs, benchmark, text_col, window=window).filter(F.col("found.n_hit") == 0).select(*restored(docs, text_col))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, partitions, pick, stash
+from .common import SPACES, bucketed, others, partitions, restored, stash
+
+#: A directory or table of hot keys of up to so many rows (some 20 MB) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text) -> F.Column:
@@ -21,18 +24,18 @@ def _cell(key: str, depth: int):
 def directory(keys: DataFrame, bucket_rows: int, bits: int = 64) -> tuple[DataFrame, int]:
     """(cell, bucket, local_depth) for every used cell of the directory, and its global depth.
 
-    The directory starts with about one bucket for each `bucket_rows` distinct keys and doubles until no bucket is
-    overfull or the key's bits are used up (what is left is chained). A bucket is the shortest prefix whose keys fit.
-    Only counts by cell are handled here, and the directory itself stays a distributed table.
+    The directory starts with about one bucket for each `bucket_rows` rows of `keys` (column key) and doubles until no bucket is overfull. A cell of one key can't
+    be split: it is left to pages. A bucket is the shortest prefix whose rows fit. Only counts by cell are handled here; the directory itself stays a distributed table.
     """
     total = keys.count()
     depth = start = min(bits, max(0, (max(1, total // bucket_rows)).bit_length()))
     depth = min(bits, depth + 2)
     while True:
-        cells = keys.groupBy(_cell("key", depth).alias("cell")).agg(F.count("*").alias("n"))
-        if depth >= bits or cells.filter(F.col("n") > bucket_rows).isEmpty():
+        cells = keys.groupBy(_cell("key", depth).alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        if depth >= bits or cells.filter((F.col("n") > bucket_rows) & (F.col("lo") < F.col("hi"))).isEmpty():
             break
         depth = min(bits, depth + 2)
+    cells = cells.drop("lo", "hi")
     local, bucket = F.lit(depth), F.col("cell")
     for d in range(depth, start - 1, -1):  # the shortest prefix that fits wins, so it is tested last
         prefix = F.shiftrightunsigned(F.col("cell"), depth - d) if depth - d < 64 else F.lit(0).cast("long")
@@ -42,44 +45,75 @@ def directory(keys: DataFrame, bucket_rows: int, bits: int = 64) -> tuple[DataFr
     return cells.select("cell", bucket.alias("bucket"), local.cast("int").alias("local_depth")), depth
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096, hash_bits: int = 64, lengths: bool = False) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket (and n_cp, the text's code points, with `lengths`).
+def _small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the table's size allows it."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int, hash_bits: int) -> DataFrame:
+    """Every row of `docs` (struct `own` and text) with bucket, keep_id, group_size, kept and text_sha256.
+
+    1. Keys are counted. Keys of more than `bucket_rows` rows are hot: their rows fill chained pages of that many rows. All others get their bucket from the directory.
+    2. Rows are dealt to their bucket's or page's owner, a range of keys, and written to the shared folder in one file for each owner: the index.
+    3. Owner tasks read their files. Rows of one bucket and page are sorted by key and normalised text, so that texts of one key are chained and compared byte by byte; what is
+       equal is a group. Nothing is shuffled here, and a task sorts what its file has.
+    4. Only groups of hot keys span pages: each page sends one row a group, pre-aggregated and compared by bytes again, and the totals go back to the pages.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(others(docs, text_col), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    key = F.xxhash64(normalised(F.col("text"))).bitwiseAND(F.lit(-1 << (64 - hash_bits)))
+    counts = stash(rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")))
+    hot = counts.filter(F.col("n") > bucket_rows).select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("pages"))
+    plain = counts.filter(F.col("n") <= bucket_rows)
+    found, depth = directory(plain.select("key", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("key"), bucket_rows, hash_bits)
+    found, hot = stash(found), stash(hot)
+
+    files = partitions(spark)
+    placed = rows.withColumn("key", key).withColumn("row", F.monotonically_increasing_id())
+    placed = placed.join(_small(hot), F.col("key") == F.col("hot_key"), "left").withColumn("at", F.when(F.col("hot_key").isNull(), _cell("key", depth)))
+    placed = placed.join(_small(found.select(F.col("cell").alias("at"), "bucket", "local_depth")), "at", "left")
+    page = F.when(F.col("pages").isNotNull(), F.pmod(F.xxhash64("row"), F.col("pages"))).otherwise(F.lit(0)).cast("int")
+    placed = placed.select("own", "doc_id", "text", "key", "row", F.col("pages").isNotNull().alias("hot"), F.coalesce("bucket", "key").alias("bucket"), F.coalesce("local_depth", F.lit(64)).alias("depth"), page.alias("page"))
+    # owners are ranges of keys; the pages of a hot key lie with one owner after another
+    spread = F.pmod(F.shiftrightunsigned(F.col("key"), 40) * files / F.lit(1 << 24) + F.col("page"), F.lit(files)).cast("int")
+    index = bucketed(placed.withColumn("owner", spread).repartition(files, "owner"), "owner", files)
+
+    index = index.select("*", normalised(F.col("text")).alias("norm"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"))
+    chain = ["owner", "bucket", "depth", "page", "key", "norm"]
+    order = [F.col("n_cp").desc(), F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
+    first, all_ = Window.partitionBy(*chain).orderBy(*order), Window.partitionBy(*chain).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def groups(of: F.Column) -> DataFrame:
+        out = index.filter(of).select("own", "text", "row", "n_cp", "doc_id", "bucket", "norm", F.row_number().over(first).alias("nth"), F.first("doc_id").over(all_).alias("keep_id"), F.count("*").over(all_).alias("size"))
+        return out.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
+
+    single = groups(~F.col("hot")).select("own", "text", "doc_id", "bucket", "keep_id", F.col("size").alias("group_size"), (F.col("nth") == 1).alias("kept"), "text_sha256")
+    if hot.isEmpty():
+        return single
+
+    paged = groups(F.col("hot"))
+    heads = paged.filter("nth = 1").select("bucket", "norm", "text_sha256", "size", F.struct(-F.col("n_cp"), F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row").alias("rank"), "keep_id", "row")
+    totals = heads.groupBy("bucket", "norm").agg(F.sum("size").alias("group_size"), F.min_by("keep_id", "rank").alias("hot_id"), F.min_by("row", "rank").alias("hot_row"))
+    totals = totals.select(F.col("bucket").alias("hot_bucket"), F.sha2(F.col("norm").cast("binary"), 256).alias("hot_sha"), "group_size", "hot_id", "hot_row")
+    agreed = totals.groupBy("hot_bucket", "hot_sha").agg(F.count("*").alias("texts"), F.sum("group_size").alias("group_size"), F.max("hot_id").alias("hot_id"), F.max("hot_row").alias("hot_row"))
+    agreed = stash(agreed.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one digest differ in their bytes")).cast("long"))).drop("texts"))
+    spread_out = paged.join(_small(agreed), (F.col("bucket") == F.col("hot_bucket")) & (F.col("text_sha256") == F.col("hot_sha")))
+    return single.unionByName(spread_out.select("own", "text", "doc_id", "bucket", F.col("hot_id").alias("keep_id"), "group_size", (F.col("row") == F.col("hot_row")).alias("kept"), "text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096, hash_bits: int = 64) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Texts are equal when identical after deleting white space; the row with the most code points of original text, then the
     smallest id, stays; a null id comes after all others. One row of each group of equal texts is kept, also where ids are null,
     repeated, or shared by different texts. Null texts count as empty. An empty table gives an empty result; columns other than the two named are ignored.
 
-    1. Every row's (id, number, length, key, digest) goes to the shared folder; key is a 64-bit hash (`hash_bits` of it, for tests).
-    2. Index entries, one per key and digest, pre-aggregated before the shuffle, get their bucket from the directory
-       and are written by key range: each range has one owner task.
-    3. Bytes are compared by grouping on (key, whole normalised text), also pre-aggregated; keys with several texts are chains.
-    4. Rows look up their entry. A hot key is one entry, and its rows are split by adaptive skew joins.
+    Results come out of the index's owner tasks (see `_grouped`); `hash_bits` of the 64-bit key are used, fewer in tests.
     """
-    spark = docs.sparkSession
-    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"), normalised(F.col("text")).alias("norm"))
-    keyed = rows.withColumn("key", F.xxhash64("norm").bitwiseAND(F.lit(-1 << (64 - hash_bits))))
-    facts = stash(keyed.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_cp", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha")))
-
-    first = F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("first")  # without any id the first row
-    entries = facts.groupBy("key", "sha", "n_cp").agg(F.min("doc_id").alias("least"), first, F.count("*").alias("n"))
-    entries = entries.groupBy("key", "sha").agg(F.max_by("least", "n_cp").alias("keep_id"), F.max_by("first", "n_cp").alias("keep_row"), F.sum("n").alias("group_size"))
-    found, depth = directory(facts.select("key").distinct(), bucket_rows, hash_bits)
-    index = entries.select("key", "sha", "keep_id", "keep_row", "group_size", _cell("key", depth).alias("cell")).join(found, "cell")
-    index = stash(index.select("bucket", "key", "sha", "keep_id", "keep_row", "group_size").repartitionByRange(partitions(spark), "bucket", "key"), ["bucket", "key"])
-
-    texts = keyed.groupBy("key", "norm").agg(F.count("*").alias("n")).select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n")
-    agreed = texts.groupBy("key", "sha").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
-    same = (F.col("texts") == 1) & (F.col("n") == F.col("group_size"))
-    index = index.join(agreed, ["key", "sha"]).withColumn("group_size", F.when(same, F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one digest differ in their bytes")).cast("long")))
-
-    out = facts.join(index.select("key", "sha", "keep_id", "keep_row", "group_size", "bucket"), ["key", "sha"])
-    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "bucket", *(["n_cp"] if lengths else []))
-
-
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one for each group of equal texts."""
-    kept = exact_dedup(docs, id_col, text_col, lengths=True).filter("kept").select(F.struct("doc_id", "text_sha256", "n_cp").alias("_kept"))
-    # survivors of one text have one id and length, so this key is as good as the text and no hot text meets in one task; structs compare nulls as equal
-    text = F.col(f"`{text_col}`")
-    name = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_cp"))
-    return docs.withColumn("_name", name).join(kept, F.col("_name") == F.col("_kept"), "left_semi").dropDuplicates(["_name"]).drop("_name")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _grouped(rows, "doc_id", "text", bucket_rows, hash_bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket")
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 4096) -> DataFrame:
+    """The rows of `docs` that stay, one for each group of equal texts, unchanged: they come out of the index with all their columns."""
+    return _grouped(docs, id_col, text_col, bucket_rows, 64).filter("kept").select(*restored(docs, text_col))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,11 @@ from pyspark.sql import types as T
 from .common import ALNUM_WORDS, Words, blocks, mix, pick
 
 BITS = 18
-#: Labelled rows to fit on, at most (those of the least hash of their id): the bound of what the driver holds.
+#: Labelled rows to fit on, at most: an equal share of each grade (what a small grade lacks goes to the others), those of the least hash of their id. The bound of what the driver holds.
 TRAIN_ROWS = 8000
-#: A bucket has a weight if so many documents hold it and its share of some grade's documents differs from its share of all by so many standard errors.
-LEAST_DOCUMENTS, LEAST_Z = 8, 4.0
-L2 = 0.03
+#: Strength of the penalty on a weight. A bucket's values are scaled by how surely its share of some grade differs from its share of all
+#: (z^2 / (z^2 + SURE^2), z in standard errors): evidence of chance strength is shrunk smoothly, whatever the number of rows.
+L2, SURE = 0.03, 4.0
 
 
 def _share(mask: np.ndarray, w: Words) -> np.ndarray:
@@ -73,18 +74,35 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400) -> Ordinal:
-    """Penalised maximum likelihood by Adam on all rows at once. Buckets of few documents have no weight. Without rows all weights are 0 and thresholds lie around 0."""
+def surely(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, weight: np.ndarray, grades: int) -> np.ndarray:
+    """Scale of each bucket, 0 to 1, from documents that hold it: a bucket of one document has next to none, with few rows or many."""
+    each = np.bincount(grade, weight, grades)
+    held = np.stack([np.bincount(bucket[grade[row] == g], minlength=1 << BITS) for g in range(grades)]).astype(float)
+    rows = np.maximum(np.bincount(grade, minlength=grades), 1)[:, None]
+    share = (each / each.sum())[:, None]
+    inside = held / rows  # share of each grade's rows that hold the bucket
+    overall = (inside * share).sum(0)
+    z2 = np.zeros(1 << BITS)
+    for g in range(grades):
+        rest = (overall - inside[g] * share[g]) / np.maximum(1 - share[g], 1e-9)
+        n_rest = rows.sum() - rows[g]
+        pooled = (held.sum(0) + 0.5) / (rows.sum() + 1)
+        z2 = np.maximum(z2, (inside[g] - rest) ** 2 / (pooled * (1 - np.minimum(pooled, 1 - 1e-6)) * (1 / rows[g] + 1 / max(1, n_rest))))
+    z2 *= 1 - 1 / np.maximum(held.sum(0), 1)  # one document alone tells nothing
+    return z2**2 / (z2**2 + SURE**4)
+
+
+def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, weight: np.ndarray | None = None) -> Ordinal:
+    """Penalised maximum likelihood by Adam on all rows at once, each of the given weight. Without rows all weights are 0 and thresholds lie around 0."""
     n = len(grade)
     weights, theta = np.zeros(1 << BITS), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(grades - 1)
     if not n:
         return Ordinal(weights, theta - 10)
-    by_grade = np.stack([np.bincount(bucket[grade[row] == g], minlength=1 << BITS) for g in range(grades)])
-    held, share = by_grade.sum(0), np.bincount(grade, minlength=grades)[:, None] / n
-    z = np.abs(by_grade - held * share) / np.sqrt(held * share * (1 - share) * (1 - np.minimum(held / n, 1)) + 1)
-    kept = ((held >= LEAST_DOCUMENTS) & (z.max(0) >= LEAST_Z))[bucket]
+    each = np.ones(n) if weight is None else weight * (n / weight.sum())
+    scale = surely(row, bucket, grade, each, grades)
+    kept = scale[bucket] > 1e-3  # what is shrunk to nothing needs no column
     names, col = np.unique(bucket[kept], return_inverse=True)
-    row, value = row[kept], value[kept].astype(float)
+    row, value = row[kept], value[kept].astype(float) * scale[bucket[kept]]
     p = np.r_[np.zeros(len(names)), theta[:1], np.log(np.diff(theta))]
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
@@ -96,16 +114,16 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarra
         slope = np.c_[np.zeros(n), tail * (1 - tail), np.zeros(n)]
         at = np.arange(n)
         prob = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
-        g_score = -(slope[at, grade] - slope[at, grade + 1]) / prob
+        g_score = -each * (slope[at, grade] - slope[at, grade + 1]) / prob
         g_th = np.zeros((n, grades + 1))
-        g_th[at, grade] += slope[at, grade] / prob
-        g_th[at, grade + 1] -= slope[at, grade + 1] / prob
+        g_th[at, grade] += each * slope[at, grade] / prob
+        g_th[at, grade + 1] -= each * slope[at, grade + 1] / prob
         g_th = g_th[:, 1:grades].sum(0)
         step_th = np.cumsum(g_th[::-1])[::-1]
         grad = np.r_[np.bincount(col, g_score[row] * value, len(names)) + L2 * w, step_th[0], step_th[1:] * np.exp(p[len(names) + 1 :])] / n
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         p -= 0.05 * (0.02 + 0.98 * (1 - t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    weights[names] = p[: len(names)]
+    weights[names] = p[: len(names)] * scale[names]
     return Ordinal(weights, np.cumsum(np.r_[p[len(names)], np.exp(p[len(names) + 1 :])]))
 
 
@@ -116,9 +134,15 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, grades: int = 3) -> Ordinal:
-    """Fit on the labelled rows of the `rows` least hashes of their id. Texts are turned to features where they lie; the driver gets numbers of at most `rows` texts."""
-    sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    held = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("text", "grade")
+    """Fit on `rows` labelled rows at most, weighted so that grades count as in all labels. Texts are turned to features where they lie; the driver gets numbers of one text for each of these rows."""
+    marked = graded(labels)
+    number = {r.grade: r.n for r in marked.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    room, taken = rows, {}
+    for i, g in enumerate(sorted(number, key=lambda g: (number[g], g))):  # the smallest grade first
+        taken[g] = min(number[g], room // (len(number) - i))
+        room -= taken[g]
+    sample = reduce(DataFrame.union, [marked.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(taken[g]) for g in sorted(number)], marked.limit(0))
+    held = pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("text", "grade", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,23 +152,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 at = np.searchsorted(row[order], np.arange(part.num_rows + 1))
                 bucket, value = bucket[order].astype(np.int32), value[order]
                 lists = [pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (bucket, value)]
-                yield pa.RecordBatch.from_arrays([part.column(1), *lists], names=["grade", "bucket", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), *lists], names=["doc_id", "grade", "bucket", "value"])
 
-    got = held.mapInArrow(run, "grade int, bucket binary, value binary").limit(2 * rows).toPandas()
+    # of texts with one id the least counts, so that the fit is repeatable
+    of_id = held.mapInArrow(run, "doc_id long, grade int, bucket binary, value binary").groupBy("doc_id", "grade").agg(F.min(F.struct("bucket", "value")).alias("x"))
+    got = of_id.select("doc_id", "grade", "x.*").toPandas().sort_values("doc_id")
     bucket = [np.frombuffer(x, np.int32) for x in got["bucket"]]
     row = np.repeat(np.arange(len(got)), [len(x) for x in bucket])
     empty = [np.zeros(0, np.int32)]
-    return fit(row, np.concatenate([*bucket, *empty]), np.concatenate([*(np.frombuffer(x, np.float32) for x in got["value"]), np.zeros(0, np.float32)]), got["grade"].to_numpy(np.int64), grades)
+    return fit(row, np.concatenate([*bucket, *empty]), np.concatenate([*(np.frombuffer(x, np.float32) for x in got["value"]), np.zeros(0, np.float32)]), got["grade"].to_numpy(np.int64), grades, weight=got["grade"].map(lambda g: number[g] / taken[g]).to_numpy(float))
 
 
-def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `_score`: expected grade and the probability of each tail (grade 1 at least, 2 at least, ...). Null counts as empty text."""
+def score(docs: DataFrame, model: Ordinal, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """`docs` with a column `name`: expected grade and the probability of each tail (grade 1 at least, 2 at least, ...). Null counts as empty text."""
     sc = docs.sparkSession.sparkContext
     used = np.flatnonzero(model.weights)
     held = sc.broadcast((used, model.weights[used], model.thresholds))
     at = docs.columns.index(text_col)
     kind = pa.struct([("expected_grade", pa.float64()), ("tails", pa.list_(pa.float64()))])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))]))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, some, thresholds = held.value
@@ -156,7 +182,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
                 row, bucket, value = features(part.column(at))
                 tails = own.tails(np.bincount(row, weights[bucket] * value, part.num_rows))
                 out = pa.array([{"expected_grade": float(t.sum()), "tails": t.tolist()} for t in tails], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -173,4 +199,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that the classifier keeps, unchanged and in place: nothing is shuffled."""
-    return score(docs, train(docs, labels, id_col, text_col), text_col).filter(F.element_at("_score.tails", -1) >= least).drop("_score")
+    name = "_score"
+    while name in map(str.lower, docs.columns):
+        name = f"_{name}"
+    scored = score(docs, train(docs, labels, id_col, text_col), text_col, name)
+    return scored.filter(F.element_at(f"{name}.tails", -1) >= least).drop(name)
