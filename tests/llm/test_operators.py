@@ -207,6 +207,26 @@ def test_minimum_cut_is_minimum():
         assert cost(html_extract.min_cut(c, b, edges)) == pytest.approx(best, abs=0.02)
 
 
+def test_edges_decide_where_blocks_say_little():
+    """A page without names of classes: a short line is kept among paragraphs and dropped among links; alone it could be either."""
+    long = "This paragraph has a good number of words in it, so that it looks like text, and it ends as sentences do."
+    page = f"<div><div>{long} One.</div><div>See below</div><div>{long} Two.</div></div><div><a href=1>News of the day</a><br></div><div>See below</div><div><a href=2>Sports and more</a></div>"
+    found = html_extract.parse(page)
+    alone = [c > b for c, b in map(html_extract.costs, found)]
+    text, _ = html_extract.extract(page)
+    assert text.split("\n") == [f"{long} One.", "See below", f"{long} Two."]
+    assert len({a for a, b in zip(alone, found, strict=True) if b.text == "See below"}) == 1
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    page = "<p>A paragraph of some words that is kept, with a full stop.</p><ul class=menu><li><a href=x>Menu</a></li></ul>"
+    start = time.monotonic()
+    text, seen = html_extract.extract(page * 12000)
+    assert seen == 24000 and text.count("\n") == 11999 and time.monotonic() - start < 20
+
+
 # 2 and 3 ------------------------------------------------------------------------
 
 
@@ -298,6 +318,26 @@ def test_licences(spark, docs, none):
     assert licences.scan(docs).count() == docs.count() and licences.scan(none).count() == 0
 
 
+def test_whole_licences(spark, monkeypatch):
+    """Every licence of the table as a whole text, wrapped, with another holder and quotes of another kind; opposite clauses differ."""
+    whole = [(n, t) for n, t in licences.KNOWN if len(t) > 200]
+    texts = [(n, t.replace("<year>", "2031").replace("<holder>", "A. N. Other").replace('"AS IS"', "\u201cAs is\u201d").replace(" the ", "\nthe ")) for n, t in whole]
+    texts += [(None, "(c) You must retain this.\nx"), (None, "(c) You need not retain this.\nx"), (None, whole[0][1].replace("without restriction", "with restriction"))]
+    for name, path in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")):
+        try:
+            with open(f"/usr/share/common-licenses/{path}", encoding="utf-8") as f:
+                texts.append((name, f.read().upper()))
+        except FileNotFoundError:
+            pass
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = sorted(licences.scan(frame).collect())
+    assert [r.licence for r in got] == [n for n, _ in texts]
+    assert len({r.text_digest for r in got}) == len(got)
+    few = licences.scan(frame).collect()
+    monkeypatch.setattr(licences, "MOST_KNOWN", 3)
+    assert sorted(licences.scan(frame).collect()) == sorted(few)
+
+
 # 8 ------------------------------------------------------------------------------
 
 

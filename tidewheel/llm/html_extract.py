@@ -174,53 +174,81 @@ def _near(a: Element, b: Element) -> bool:
 
 
 def min_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Whether each node is on the content side of a minimum cut, by augmenting shortest paths (Edmonds and Karp).
+    """Whether each node is on the content side of a minimum cut, by blocking flows in rounds of rising distance (Dinic).
 
-    What flows through one node from source to sink is sent first; only the rest needs paths over edges.
+    What flows through one node from source to sink is sent first; only the rest needs paths over edges. A round sends all shortest paths at
+    once, so long pages of many short paths take few rounds.
     """
     n = len(content)
     left = [round((c - b) * SCALE) for c, b in zip(content, boilerplate, strict=True)]
     give, take = [max(0, x) for x in left], [max(0, -x) for x in left]
-    cap: list[dict[int, int]] = [{} for _ in range(n)]
+    arcs: list[list[int]] = [[] for _ in range(n)]  # arcs 2k and 2k + 1 are the two ways of an edge
+    to, cap = [], []
     for a, b, w in edges:
-        w = round(w * SCALE)
-        cap[a][b] = cap[a].get(b, 0) + w
-        cap[b][a] = cap[b].get(a, 0) + w
+        for x, y in ((a, b), (b, a)):
+            arcs[x].append(len(to))
+            to.append(y)
+            cap.append(round(w * SCALE))
     while True:
-        before = {i: -1 for i in range(n) if give[i]}
-        queue, end = deque(before), -1
-        while queue and end < 0:
+        level = [-1] * n
+        queue = deque(i for i in range(n) if give[i])
+        for i in queue:
+            level[i] = 0
+        last = -1
+        while queue:
             i = queue.popleft()
-            if take[i]:
-                end = i
+            if last >= 0 and level[i] >= last:
                 break
-            for j, c in cap[i].items():
-                if c and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        start = path[-1]
-        flow = min(give[start], take[end], *(cap[b][a] for a, b in zip(path, path[1:], strict=False)))
-        give[start] -= flow
-        take[end] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            cap[b][a] -= flow
-            cap[a][b] += flow
+            if take[i]:
+                last = level[i]
+                continue
+            for e in arcs[i]:
+                if cap[e] and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    queue.append(to[e])
+        if last < 0:
+            return [x >= 0 for x in level]
+        at = [0] * n
+        for start in range(n):
+            if level[start] != 0:
+                continue
+            path: list[int] = []
+            i = start
+            while give[start]:
+                if take[i] and level[i] == last:
+                    flow = min([give[start], take[i], *(cap[e] for e in path)])
+                    give[start] -= flow
+                    take[i] -= flow
+                    for k, e in enumerate(path):
+                        cap[e] -= flow
+                        cap[e ^ 1] += flow
+                    full = next((k for k, e in enumerate(path) if not cap[e]), None)
+                    if full is not None:
+                        i = to[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                while at[i] < len(arcs[i]) and not (cap[arcs[i][at[i]]] and level[to[arcs[i][at[i]]]] == level[i] + 1 <= last):
+                    at[i] += 1
+                if at[i] < len(arcs[i]):
+                    path.append(arcs[i][at[i]])
+                    i = to[path[-1]]
+                elif path:
+                    e = path.pop()
+                    i = to[e ^ 1]
+                    at[i] += 1
+                else:
+                    break
 
 
 def extract(page: str | None) -> tuple[str, int]:
-    """(main text, blocks seen) of one page."""
+    """(main text, blocks seen) of one page. Every two neighbouring blocks and every two blocks of one parent that follow each other there are joined by an edge, whatever speaks for or against them."""
     found = parse(page or "")
     if not found:
         return "", 0
     own = [costs(b) for b in found]
     edges, last = [], {}
     for i, b in enumerate(found):
-        if i and not (found[i - 1].element.boilerplate >= 7) ^ (b.element.boilerplate >= 7):
+        if i:
             edges.append((i - 1, i, SMOOTH * (1.0 if _near(found[i - 1].element, b.element) else 0.5)))
         parent = id(b.element.parent if b.element.tag in BLOCK else b.element)
         if parent in last:
