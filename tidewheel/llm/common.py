@@ -41,9 +41,11 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where it is unset, as in tests)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset a local session gets a temporary one, as in tests; a cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -54,7 +56,15 @@ def stash(df: DataFrame, sort_by: list[str] | None = None) -> DataFrame:
     spark, path = df.sparkSession, shared_path(df.sparkSession)
     out = df.sortWithinPartitions(*sort_by) if sort_by else df
     out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stash_path = path
+    return kept
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucketed(df: DataFrame, key: str, files: int) -> DataFrame:
@@ -170,15 +180,15 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over (a, b) edges, by alternating large-star and small-star steps (Kiveris et al. 2014).
 
-    Each round is a group-by of the edges, kept in the shared folder; nothing is collected. A node's neighbours are only
+    Rounds go on until nothing changes (about log2 of the longest chain). Each is a group-by of the edges, kept in the shared folder; the one before is deleted. Nothing is collected. A node's neighbours are only
     aggregated with min(), so a hub is pre-aggregated before the shuffle. No edges: no rows.
     """
     e = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -186,11 +196,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = stash(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(e.sparkSession, e.stash_path)
         e, same, before = new, mark == before, mark
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

@@ -27,7 +27,7 @@ CELL_ROWS = 12
 #: Share of the shingles whose frequency is counted, in sixteenths; a little over what the window needs at 0.8.
 COUNTED_16THS = 4
 #: Shells by similarity to a pivot, and the most sets and shingles of a block.
-SHELLS, BLOCK_SETS, BLOCK_SHINGLES = 10, 1024, 2_000_000
+SHELLS, BLOCK_SETS, BLOCK_SHINGLES = 10, 512, 500_000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +153,9 @@ def _measure(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> D
     members = pairs.select(F.col("b").alias("cls")).union(pairs.select(F.col("a").alias("cls"))).distinct()
     sets = _texts(docs, classes.join(members, "cls", "left_semi"))
     sets = sets.mapInArrow(_sets(k), "member long, shingles binary")
-    part = F.pmod(F.xxhash64("b"), F.lit(16))
-    spread = pairs.withColumn("part", F.when(F.count("*").over(Window.partitionBy("a")) > 256, part).otherwise(F.lit(0)))
+    # a centre's members are dealt to tasks of about 256
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
+    spread = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     ends = spread.select("a", "part", F.col("b").alias("member")).union(spread.select("a", "part", F.col("a").alias("member")).distinct())
     rows = ends.join(sets, "member").repartition("a", "part").sortWithinPartitions("a", "part", F.col("member") != F.col("a"))
     return stash(rows.select("a", "member", "shingles").mapInArrow(_compare, "a long, b long, both long, either long"))
