@@ -24,6 +24,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SPACES = "[\\x20\\x09-\\x0D]+"
 
+#: Texts of a batch between Spark and a Python worker.
+BATCH_ROWS = 1000
 #: Environment of Python workers: memory that a worker has freed goes back at once, since idle workers stay beside those at work.
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
 
@@ -33,7 +35,10 @@ BLOCK_BYTES = 1 << 20
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (on a cluster it is installed or sent with --py-files)."""
+    """Let Python workers import this package from where the driver has it (on a cluster it is installed or sent with --py-files), and keep what they hold small:
+    batches of BATCH_ROWS texts, unless the session has another number than Spark's own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)

@@ -27,7 +27,7 @@ CELL_ROWS = 12
 #: Share of the shingles whose frequency is counted, in sixteenths; a little over what the window needs at 0.8.
 COUNTED_16THS = 4
 #: Shells by similarity to a pivot, and the most sets and shingles of a block.
-SHELLS, BLOCK_SETS, BLOCK_SHINGLES = 10, 512, 500_000
+SHELLS, BLOCK_SETS, BLOCK_SHINGLES = 10, 1024, 1_000_000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
