@@ -147,12 +147,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(wanted, F.col("_name") == F.col("_rep")).dropDuplicates(["_name"]).select("cls", "text")
 
 
-def _measure(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(a, b, both, either) for every distinct pair of classes. The sets are made from the texts again, of the classes in pairs only."""
+def _measure(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, both, either) for every distinct pair of classes. The sets are made from the texts again, where these lie; only sets move."""
     pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    members = pairs.select(F.col("b").alias("cls")).union(pairs.select(F.col("a").alias("cls"))).distinct()
-    sets = _texts(docs, classes.join(members, "cls", "left_semi"))
-    sets = sets.mapInArrow(_sets(k), "member long, shingles binary")
+    sets = texts.mapInArrow(_sets(k), "member long, shingles binary")
     # a centre's members are dealt to tasks of about 256
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
     spread = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
@@ -196,14 +194,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pivots = central.groupBy("token").agg(F.max_by(F.struct("cls", "n"), F.struct("cells", "cls")).alias("p")).select("token", F.col("p.cls").alias("pivot"), F.col("p.n").alias("n2"))
         regions = stash(large.join(pivots, "token").select("pivot", "n2", "cls", "n").distinct())
         pairs = pairs.union(regions.filter("cls <> pivot").filter(near).select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-    measured = _measure(pairs, docs, classes, k)
+    # the texts of all classes that may be compared are looked up once
+    texts = stash(_texts(docs, classes.join(cells.select("cls").distinct(), "cls", "left_semi")))
+    measured = _measure(pairs, texts, k)
     links = measured.filter(linked).select("a", "b")
     if regions is not None:
-        links = links.union(_shells(regions, measured, links, docs, classes, k, percent))
+        links = links.union(_shells(regions, measured, links, texts, k, percent))
     return facts.select("doc_id", "mark", "n", "cls"), links
 
 
-def _shells(regions: DataFrame, measured: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _shells(regions: DataFrame, measured: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between members of one region that its pivot doesn't connect yet.
 
     Members lie in shells by their similarity to the pivot, and large shells are dealt into blocks. By the triangle inequality only
@@ -234,7 +234,7 @@ def _shells(regions: DataFrame, measured: DataFrame, links: DataFrame, docs: Dat
     left = both.join(members, ["pivot", "shell", "part"]).select("job", F.lit(0).alias("side"), F.col("cls").alias("member"))
     right = both.filter("shell < shell2 or part < part2").select("job", F.col("pivot"), F.col("shell2").alias("shell"), F.col("part2").alias("part")).join(members, ["pivot", "shell", "part"]).select("job", F.lit(1).alias("side"), F.col("cls").alias("member"))
     jobs = left.union(right)
-    sets = _texts(docs, classes.join(rows.select("cls").distinct(), "cls", "left_semi")).mapInArrow(_sets(k), "member long, shingles binary")
+    sets = texts.mapInArrow(_sets(k), "member long, shingles binary")
     sorted_ = jobs.join(sets, "member").select("job", "side", "member", "shingles").repartition("job").sortWithinPartitions("job", "side")
     return stash(sorted_.mapInArrow(_join_blocks(percent), "a long, b long").distinct())
 
