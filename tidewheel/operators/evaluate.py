@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import ranked as ranked_in
 from .windows import EPS, std, with_future, with_moments, with_past
 
 #: Loss names; `rmse` is an alias of relative_mse, not a root.
@@ -51,13 +52,16 @@ def losses(rows: DataFrame) -> DataFrame:
 def summaries(rows: DataFrame, metric: str, by: list[str] | None = None, user: str = "series_id") -> DataFrame:
     """Element mean and deviation, equal-user mean and deviation, and the mean of the worst tenth of users, by group.
 
-    Users are summed first (pre-aggregated before the shuffle), so only one row a user is ranked; ranking is within a group.
+    Users are summed first (pre-aggregated before the shuffle), so only one row a user is ranked, in buckets of near losses.
     """
     by = by or []
     m = F.col(metric)
     users = rows.groupBy(*by, user).agg(F.avg(m).alias("m"), F.sum(m).alias("s"), F.sum(m * m).alias("ss"), F.count(m).alias("k"))
-    rank, all_ = Window.partitionBy(*by).orderBy(F.col("m").desc(), user), Window.partitionBy(*by)
-    ranked = users.withColumn("rank", F.row_number().over(rank)).withColumn("tail", F.greatest(F.lit(1), F.ceil(F.count("*").over(all_) * 0.1)))
+    # buckets of falling loss, 64 to a doubling; losses aren't negative
+    falling = F.coalesce(-F.floor(F.log2(F.when(F.col("m") > 0, F.col("m"))) * 64), F.lit(1 << 20)).cast("long")
+    total = users.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))
+    rows = ranked_in(users, by, falling, [F.col("m").desc(), user], "rank")
+    ranked = rows.join(total, by) if by else rows.join(F.broadcast(total))
     k, s, ss = F.sum("k"), F.sum("s"), F.sum("ss")
     return ranked.groupBy(*by).agg(
         F.round(s / k, 6).alias(metric), F.round(F.sqrt(F.greatest(ss / k - (s / k) * (s / k), F.lit(0.0))), 4).alias(f"std_{metric}"),

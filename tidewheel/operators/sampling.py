@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import ranked
+
 
 def draw_key(seed: int, *parts: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)))
@@ -35,10 +37,10 @@ def largest_remainder(n: int, ratios: list[float]) -> list[int]:
 
 
 def cluster_ids(series: DataFrame, sizes: list[int], seed: int) -> DataFrame:
-    """(series_id, cluster_id): a shuffled order cut into clusters of the given sizes; a series table is small, and ranked once."""
+    """(series_id, cluster_id): a shuffled order cut into clusters of the given sizes."""
     if len(sizes) < 1 or min(sizes) < 0:
         raise ValueError("sizes must not be negative")
-    nth = F.row_number().over(Window.orderBy(draw_key(seed, "series_id"), "series_id"))
+    key = draw_key(seed, "series_id")
     ends, total = [], 0
     for i, size in enumerate(sizes):
         total += size
@@ -46,10 +48,12 @@ def cluster_ids(series: DataFrame, sizes: list[int], seed: int) -> DataFrame:
     case = F.lit(-1)
     for i, end in reversed(ends):
         case = F.when(F.col("_nth") <= end, i).otherwise(case)
-    return series.withColumn("_nth", nth).select("series_id", case.cast("int").alias("cluster_id"))
+    numbered = ranked(series.select("series_id"), [], F.substring(key, 1, 3), [key, "series_id"], "place").withColumnRenamed("place", "_nth")
+    return numbered.select("series_id", case.cast("int").alias("cluster_id"))
 
 
 def batches(frame: DataFrame, by: list[str], seed: int, key: list[str], size: int) -> DataFrame:
     """Shuffled batches: rank by key within a group, cut into parts of `size`."""
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(draw_key(seed, *key), *key)) - 1
-    return frame.withColumn("batch", F.floor(nth / size).cast("long"))
+    drawn = draw_key(seed, *key)
+    out = ranked(frame, by, F.substring(drawn, 1, 3), [drawn, *key], "batch")
+    return out.select(*frame.columns, F.floor((F.col("batch") - 1) / size).cast("long").alias("batch"))

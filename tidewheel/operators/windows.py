@@ -36,8 +36,23 @@ def split_ranges(total: int, ratios: list[float]) -> list[tuple[str, int, int]]:
 
 
 def dates_of(panel: DataFrame) -> int:
-    """The panel's number of dates: the only number that splitting needs from the data."""
-    return (panel.agg(F.max("t")).first()[0] or -1) + 1
+    """The panel's number of dates: the only number that splitting needs from the data. A densified panel knows its grid, which two aggregates of the source give."""
+    grid = getattr(panel, "grid", None)
+    last = (panel if grid is None else grid).agg(F.max("t")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def ranked(frame: DataFrame, by: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
+    """`frame` with the rank from 1 within `by` by `order`. `bucket` must rise with the order.
+
+    Rows are ranked inside their bucket, and counts by bucket, pre-aggregated, tell how many come before it: no group of `by` meets in one task.
+    """
+    rows = frame.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
+    return nth.join(counts, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bucket", "_before", "_nth")
 
 
 def prune_halo(panel: DataFrame, lo: int, hi: int, lookback: int, horizon: int) -> DataFrame:

@@ -36,7 +36,7 @@ def evaluated(spark, sf_dir, method: str = "persistence", split: str = "test1",
 
 def rows_sql(pred: str, extra: str = "") -> str:
     """SQL of `evaluated`: f has one row for each query and step, l its losses."""
-    return f"""{BASE}, {TEST_Q}, f as (select q.series_id, q.t, y.t - q.t as step, q.n, q.s1, q.s2, q.c, y.c as y, {pred} as pred from tq q join p y on y.series_id = q.series_id and y.t > q.t and y.t <= q.t + 6 {extra}),
+    return f"""{BASE}, {TEST_Q}, f as (select q.series_id, q.t, y.t - q.t as step, q.n, q.s1, q.s2, q.c, y.c as y, {pred} as pred from tq q cross join (select unnest(range(1, 7)) as ahead) join p y on y.series_id = q.series_id and y.t = q.t + ahead {extra}),
 l as (select *, ((y - pred) / 100) * ((y - pred) / 100) as mse, (((y - pred) / 100) / {DEV}) * (((y - pred) / 100) / {DEV}) as nmse, abs((y - pred) / 100) as mae, abs(((y - pred) / 100) / {DEV}) as nmae, (((y - pred) / 100) / {MEAN}) * (((y - pred) / 100) / {MEAN}) as relative_mse from f)"""
 
 

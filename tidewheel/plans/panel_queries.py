@@ -17,7 +17,11 @@ HOURLY = f"with {P}"
 
 def scratch(spark) -> str:
     """A folder for files that a query writes and reads again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewheel-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewheel-")
     return f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}"
 
 
@@ -105,7 +109,7 @@ def wide_export(spark, sf_dir):
     return src.wide(src.orders_monthly(spark, sf_dir), [f"serie_{i}" for i in range(25)])
 
 
-@query("snk9_unrolled_windows", f"""{BASE} select q.split, q.series_id, q.t as query_t, y.t - q.t + 23 as step, y.t as date_id, y.ts, y.c from q join p y on y.series_id = q.series_id and y.t between q.t - 23 and q.t + 6 where q.split = 'test1'""")
+@query("snk9_unrolled_windows", f"""{BASE} select q.split, q.series_id, q.t as query_t, place as step, y.t as date_id, y.ts, y.c from q cross join (select unnest(range(0, 30)) as place) join p y on y.series_id = q.series_id and y.t = q.t - 23 + place where q.split = 'test1'""")
 def unrolled(spark, sf_dir):
     panel = src.events_hourly(spark, sf_dir)
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])[-1:]

@@ -47,7 +47,9 @@ def densify(binned: DataFrame, grid: DataFrame, missing: str = "zero") -> DataFr
     keys = binned.select("series_id", "variate").distinct().join(F.broadcast(grid))
     full = keys.join(binned, ["series_id", "variate", "ts"], "left")
     value = {"zero": F.coalesce("c", F.lit(0)), "keep": F.col("c"), "error": F.coalesce("c", F.raise_error(F.lit("missing value")).cast("long"))}[missing]
-    return full.select("series_id", "variate", "t", "ts", value.alias("c"))
+    out = full.select("series_id", "variate", "t", "ts", value.alias("c"))
+    out.grid = grid
+    return out
 
 
 def events_hourly(spark: SparkSession, sf_dir: str, how: str = "sum", missing: str = "zero") -> DataFrame:
