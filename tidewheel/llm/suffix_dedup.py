@@ -19,7 +19,7 @@ from .common import LOWER, SPACE_WORDS, Words, blocks, partitions, pick, signed,
 #: A passage is so many words at least. Suffixes are compared by SEED words first; one of each LEAST_WORDS - SEED + 1 consecutive seeds is retained.
 LEAST_WORDS, SEED = 50, 24
 #: Seeds of more suffixes than this aren't compared in one task: their passages are counted by digest, pre-aggregated in every task.
-HOT_SUFFIXES = 4096
+HOT_SUFFIXES = 1024
 
 
 def minimisers(words: Words, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
