@@ -49,6 +49,14 @@ def losses(rows: DataFrame) -> DataFrame:
     return rows.select("*", (e * e).alias("mse"), ((e / dev) * (e / dev)).alias("nmse"), F.abs(e).alias("mae"), F.abs(e / dev).alias("nmae"), ((e / mean) * (e / mean)).alias("relative_mse"))
 
 
+def floored_losses(rows: DataFrame, floor: float) -> DataFrame:
+    """Losses relative to the lookback whose scale is at least `floor` (in units), in place of a scale with EPS added."""
+    e = (F.col("y") - F.col("pred")) / 100
+    dev = F.greatest(std(F.col("n"), F.col("s1"), F.col("s2")) / 100, F.lit(floor))
+    mean = F.greatest(F.abs(F.col("s1").cast("double") / F.col("n") / 100), F.lit(floor))
+    return rows.withColumns({"mse": e * e, "mae": F.abs(e), "nmse": (e / dev) * (e / dev), "nmae": F.abs(e) / dev, "relative_mse": (e / mean) * (e / mean)})
+
+
 def summaries(rows: DataFrame, metric: str, by: list[str] | None = None, user: str = "series_id") -> DataFrame:
     """Element mean and deviation, equal-user mean and deviation, and the mean of the worst tenth of users, by group.
 

@@ -44,7 +44,10 @@ def normal_equations(windows: DataFrame, parts: int = 32) -> tuple[np.ndarray, n
 
 def fit_linear(windows: DataFrame, ridge: float = 0.0) -> np.ndarray:
     """(lags + 1, horizon) weights of least squares or ridge; the intercept is not penalised."""
-    xx, xy = normal_equations(windows)
+    return solve(*normal_equations(windows), ridge)
+
+
+def solve(xx: np.ndarray, xy: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     penalty = ridge * np.eye(len(xx))
     penalty[-1, -1] = 0
     return np.linalg.lstsq(xx + penalty, xy, rcond=None)[0]

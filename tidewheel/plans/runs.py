@@ -82,6 +82,31 @@ class Registry:
             write_json(path, run)
             return run
 
+    def folder(self, identity: str, index: int) -> str:
+        return str(self._path(identity, index).parent)
+
+    def selections(self, identity: str) -> dict[str, dict]:
+        """{signature: {mode, run_index}} of an identity; mode is auto or pinned."""
+        path = self.root / identity / "selected.json"
+        found = json.loads(path.read_text()) if path.exists() else {}
+        if bad := [k for k, v in found.items() if v.get("mode") not in ("auto", "pinned")]:
+            raise ValueError(f"{path}: invalid selection {bad[0]}")
+        return found
+
+    def select(self, identity: str, signature: str, index: int, pinned: bool = True) -> None:
+        """Makes a completed run the one that reports take for its signature. An automatic choice doesn't replace a pinned one."""
+        run = json.loads(self._path(identity, index).read_text())
+        if run["status"] != "completed" or run["signature"] != signature:
+            raise ValueError(f"{identity} run {index} is not a completed run of {signature}")
+        with self.locked(identity):
+            known = self.selections(identity)
+            if pinned or known.get(signature, {}).get("mode") != "pinned":
+                write_json(self.root / identity / "selected.json", known | {signature: {"mode": "pinned" if pinned else "auto", "run_index": index}})
+
+    def selected(self, identity: str, signature: str) -> dict | None:
+        choice = self.selections(identity).get(signature)
+        return json.loads(self._path(identity, choice["run_index"]).read_text()) if choice else None
+
     def start(self, identity: str, index: int, seed: int) -> dict:
         return self._set(identity, index, seed, "running")
 
@@ -89,7 +114,11 @@ class Registry:
         return self._set(identity, index, seed, "ready")
 
     def complete(self, identity: str, index: int, seed: int) -> dict:
-        return self._set(identity, index, seed, "completed")
+        """Completes a seed; a run whose seeds are all complete becomes its signature's automatic selection."""
+        run = self._set(identity, index, seed, "completed")
+        if run["status"] == "completed":
+            self.select(identity, run["signature"], index, pinned=False)
+        return run
 
     def interrupt(self, identity: str, index: int) -> dict:
         """What was running did not end; completed seeds stay."""
