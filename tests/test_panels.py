@@ -182,3 +182,103 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     # hours that the watermark has passed are there, once each
     assert 0 < got.count() <= 20 and got.count() == got.select("series_id", "ts").distinct().count()
+
+
+def test_lags_of_a_phase():
+    assert lin.phase_lags(24, 3, 12) == [[0, 12], [1, 13], [2, 14]]
+    assert lin.phase_lags(7, 2, 3, offset=1, cycles=1) == [[5], [6]]
+    for bad in (dict(period=0), dict(period=30), dict(period=3, cycles=0)):
+        with pytest.raises(ValueError):
+            lin.phase_lags(24, 7, **bad)
+
+
+def test_phase_heads_equal_least_squares_on_their_lags(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 10000, (60, 6)), rng.integers(0, 10000, (60, 2))
+    w = lin.fit_periodic(spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "x array<long>, y array<long>"), lin.phase_lags(6, 2, 3))
+    for h, at in enumerate([[0, 3], [1, 4]]):
+        want = np.linalg.lstsq(np.c_[x[:, at], np.ones(60)].astype(float), y[:, h].astype(float), rcond=None)[0]
+        assert np.allclose(w[[*at, 6], h], want)
+        assert not w[[i for i in range(6) if i not in at], h].any()
+
+
+def test_presets_move_their_free_parameters_only(spark):
+    step = dict(a=0.5, gamma=1.2, nu=0.1, alpha=0.7, beta=0.3)
+    assert nrm.updated("in", nrm.preset("in"), step) == nrm.IN
+    assert nrm.updated("grevin", nrm.preset("grevin"), step) == nrm.IN | step
+    assert nrm.updated("grevin", nrm.preset("grevin"), step, free=("alpha_beta",)) == nrm.IN | {"alpha": 0.7, "beta": 0.3}
+    assert nrm.preset("cmin", {"alpha": 1.5, "beta": float("nan")}) == nrm.IN | {"alpha": 1.5}
+    tied = nrm.effective("previn", nrm.updated("previn", nrm.preset("previn"), step))
+    assert (tied["gamma"], tied["alpha"], tied["beta"]) == (1.2, 1 / 1.2, -0.1 / 1.2) and (tied["c"], tied["d"]) == (1, 1)
+    for call in (lambda: nrm.preset("other"), lambda: nrm.updated("in", nrm.IN, step, free=("other",))):
+        with pytest.raises(ValueError):
+            call()
+    rows = spark.createDataFrame([(0, 700, 2, 1000, 580000), (1, 700, 2, 1000, 580000)], "cluster_id int, c long, n long, s1 long, s2 long")
+    forward, inverse = nrm.of_clusters("previn", nrm.preset("previn"), {1: {"gamma": 2.0}})
+    a, b = rows.orderBy("cluster_id").select(forward(F.col("c") / 100).alias("z"), inverse(forward(F.col("c") / 100)).alias("x")).collect()
+    assert b.z == pytest.approx(2 * a.z) and a.x == pytest.approx(7) and b.x == pytest.approx(7)
+
+
+def test_channel_specifications(spark):
+    assert [m["mode"] for m in arr.covariate_modes(["square-root", "", {"name": "noise", "count": 2, "scale": 3}])] == ["square", "root", "noise"]
+    assert arr.covariate_modes({"name": "constant", "constant_value": 2, "target": "past_only"}) == [{"mode": "constant", "count": 1, "value": 2.0, "target": "past_only"}]
+    for bad in ("other", {"count": 1}, {"name": "noise", "count": 0}):
+        with pytest.raises(ValueError):
+            arr.covariate_modes(bad)
+    (past, future), (other, none) = (arr.generated(s, 4, 2, F.col("id"))[0] for s in arr.covariate_modes([{"name": "constant", "value": 2, "target": "future_included"}, {"name": "noise"}]))
+    row = spark.range(1).select(past.alias("past"), future.alias("future"), other.alias("other")).first()
+    assert none is None and row.past == [2.0] * 4 and row.future == [2.0] * 2 and len(row.other) == 4
+    with pytest.raises(ValueError):
+        arr.generated({"mode": "noise", "count": 1, "value": None, "target": "other"}, 4, 2)
+
+
+def test_noise_is_standard_normal_and_repeatable(spark):
+    draw = lambda: [r.z for r in spark.range(200).select("id", F.explode(arr.noise(F.lit(50), 7, F.col("id"))).alias("z")).orderBy("id").collect()]
+    z = draw()
+    assert z == draw() and len(set(z)) == len(z) == 10000
+    assert abs(np.mean(z)) < 0.05 and abs(np.std(z) - 1) < 0.05
+
+
+def test_rows_of_one_timestamp_keep_their_own_dates(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("date,a\n2020-01-02,3\n2020-01-01,1\n2020-01-02,4\n2020-01-01,2\n")
+    rows = wide_csv.read_wide(spark, str(tmp_path / "w.csv"))[0].orderBy("t").collect()
+    assert [(r.t, r.value, r.ts.day) for r in rows] == [(0, 1.0, 1), (1, 2.0, 1), (2, 3.0, 2), (3, 4.0, 2)]
+
+
+def test_sources_by_dataset_and_frequency(spark, tmp_path):
+    for name in ("a/D/x.csv", "a/h/sub/y.csv", "b/H/z.csv", "b/H/z.txt", "top.csv", "a/one.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("t,v\n")
+    names = lambda **k: sorted(r.relative for r in wide_csv.local_sources(spark, str(tmp_path), **k).collect())
+    assert names() == ["a/D/x.csv", "a/h/sub/y.csv", "b/H/z.csv"]
+    assert names(frequencies={"H"}) == ["a/h/sub/y.csv", "b/H/z.csv"] and names(datasets={"a"}, frequencies={"d"}) == ["a/D/x.csv"]
+    first = wide_csv.local_sources(spark, str(tmp_path)).filter("dataset = 'b'").first()
+    assert (first.dataset, first.frequency, first.bytes) == ("b", "H", 4)
+
+
+@pytest.mark.parametrize("many", [0, 2])
+def test_catalog(spark, tmp_path, many):
+    entries = spark.createDataFrame([(f"d{i}", "x.csv", "x.json", 2, 10, 20) for i in range(many)], "name string, csv string, config string, num_series long, num_timestamps long, num_values long")
+    skipped = spark.createDataFrame([("e/D/z.csv", "too short")], "relative string, reason string")
+    store.write_catalog(entries, skipped, str(tmp_path / "c"), {"stride": 1, "settings": ["24:6"]})
+    head = spark.read.json(f"{tmp_path}/c/catalog").first()
+    assert (head.num_datasets, head.num_series, head.num_values, head.stride, head.settings) == (many, 2 * many, 20 * many, 1, '["24:6"]')
+    assert spark.read.json(f"{tmp_path}/c/skipped").count() == 1
+
+
+def test_shapes(spark):
+    p = panel(spark, 2, 3, lambda s, t: t)
+    ctx = lambda rows: spark.createDataFrame(rows, "series_id long, name string, t long, value double")
+    shared = lambda rows: spark.createDataFrame(rows, "name string, t long, value double")
+    good = ctx([(s, "k", None, 1.0) for s in range(2)] + [(s, "d", t, 1.0) for s in range(2) for t in range(3)])
+    assert src.check_shapes(p, good, shared([("w", t, 0.0) for t in range(3)] + [("one", None, 0.0)])) == (2, 1, 3)
+    for bad in (dict(context=ctx([(0, "k", None, 1.0)])), dict(context=ctx([(0, "d", 0, 1.0), (1, "d", 0, 1.0)])), dict(context=ctx([(0, "k", None, 1.0), (5, "k", None, 1.0)])), dict(shared=shared([("w", 0, 0.0), ("w", 1, 0.0)]))):
+        with pytest.raises(ValueError):
+            src.check_shapes(p, **bad)
+    for broken in (p.limit(0), p.filter("series_id = 0 or t < 2"), p.union(p.limit(1)), p.filter("t > 0")):
+        with pytest.raises(ValueError):
+            src.check_shapes(broken)
+    assert src.checked_indices(None, 3) == [0, 1, 2] and src.checked_indices([2, 0], 3) == [2, 0]
+    for bad, error in (([], ValueError), ([3], IndexError), ([-1], IndexError)):
+        with pytest.raises(error):
+            src.checked_indices(bad, 3)

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 #: One of each kind: all are compared by the driver.
-NAMES = ["mdl1_report_persistence", "flt10_owned_dates_with_gaps", "flt12_window_filter_any_variate", "jon1_lookback_future_gather", "jon2_date_major_pairs", "agg8_loader_statistics", "nrm_grevin", "nrm_revin", "smp5_iid_clusters", "smp12_subset_of_dates", "win7_patches", "agg20_improvements", "run4_latest_config", "rpt1_comparison_table", "fam1_constant_windows", "src1_wide_csv_to_long", "los5_floored_losses", "mdl6_periodic_linear", "fam1_fitted_policies", "fam3_normalizations", "fam4_reference"]
+NAMES = ["mdl1_report_persistence", "flt10_owned_dates_with_gaps", "flt12_window_filter_any_variate", "jon1_lookback_future_gather", "jon2_date_major_pairs", "agg8_loader_statistics", "nrm_grevin", "nrm_revin", "smp5_iid_clusters", "smp12_subset_of_dates", "win7_patches", "agg20_improvements", "run4_latest_config", "rpt1_comparison_table", "fam1_constant_windows", "src1_wide_csv_to_long", "los5_floored_losses", "mdl6_periodic_linear", "fam1_fitted_policies", "fam3_normalizations", "fam4_reference", "mdl6_phase_heads", "nrm11_presets", "cov5_noise_channels", "smp3_individual_split", "smp16_sample_groups"]
 
 
 def values(columns, rows):

@@ -196,3 +196,37 @@ def test_floored_scales(spark):
     r = ev.floored_losses(rows, 1e-4).first()
     assert r.mse == pytest.approx(1) and r.nmse == pytest.approx(1e8) and r.nmae == pytest.approx(1e4) and r.relative_mse == pytest.approx(0.25)
     assert win.EPS < 1e-4
+
+
+def test_decomposed_heads_equal_training_on_residual_and_trend(spark, panel):
+    w = ex.splits_of(panel, CONFIG)["train"]
+    x, y = plain(w)
+    padded = np.pad(x, ((0, 0), (1, 1)), mode="edge")
+    trend = sum(padded[:, i : i + 6] for i in range(3)) / 3
+    one = np.ones((len(x), 1))
+    design = np.hstack([x - trend, one, trend, one])
+    v = np.repeat(np.r_[np.full(6, 1 / 6), 0, np.full(6, 1 / 6), 0][:, None], 2, 1)
+    assert np.allclose(design @ v, x.mean(1, keepdims=True))
+    for _ in range(5):
+        v = v - 0.01 * 2 * design.T @ (design @ v - y) / y.size
+    weights, history = training.fit_two_heads(training.batch_grams(w, 1), 5, training.optimizer("sgd", 0.01), kernel=3)
+    assert np.allclose(np.c_[x, one] @ weights, design @ v) and len(history["train"]) == 5
+
+
+def test_decomposed_model_in_an_experiment_starts_at_the_mean(spark, panel, tmp_path):
+    config = CONFIG | {"model": "decomposed", "training": {"epochs": 0}}
+    splits = ex.splits_of(panel, config)
+    state = ex.train_stage(spark, config, splits, str(tmp_path))
+    row = ex.predictions(config, splits["test1"], state["weights"]).first()
+    assert row.pred == pytest.approx([np.mean(row.x)] * 2) and "skipped" in state["history"]
+
+
+def test_loose_discovery_keeps_broken_files_as_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("test1", 0, 0, 1, 2.0, 1.0), ("test1", 1, 0, 1, 4.0, 3.0)], "split string, series_id long, t long, step long, mse double, mae double")
+    rows.repartition(2).write.parquet(f"{tmp_path}/d/24_6/m/all_losses")
+    broken = tmp_path / "d/24_6/bad"
+    broken.mkdir()
+    (broken / "all_losses.parquet").write_text("no table")
+    (tmp_path / "d/other.parquet").write_text("not a loss table")
+    found = {(r.dataset, r.setting, r.model, r.split, r.metric): r.value for r in ex.discovered(spark, str(tmp_path)).collect()}
+    assert found == {("d", "24_6", "m", "test1", "mse"): 3.0, ("d", "24_6", "m", "test1", "mae"): 2.0, ("d", "24_6", "bad", "<load_error>", "unreadable"): None}

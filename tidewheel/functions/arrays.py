@@ -73,10 +73,52 @@ def channels(x: Column) -> Column:
     )
 
 
-def covariate_modes(text: str) -> list[dict]:
-    """`a-b-c` mode strings as specifications with a count of 1."""
-    known = {"identity", "square", "root", "sign", "mirror", "kernel", "noise", "constant"}
-    parts = [p for p in text.split("-") if p]
-    if unknown := [p for p in parts if p not in known]:
+def uniform(seed: int, *key: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1) that depend on the key only, so retried tasks draw them again: 32 bits each of an md5."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *(k.cast("string") for k in key)))
+    part = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 1) / float(2**32 + 1)
+    return part(1), part(9)
+
+
+def noise(size: Column, seed: int, *key: Column) -> Column:
+    """`size` standard normal numbers for a row's key."""
+
+    def normal(i: Column) -> Column:
+        u, v = uniform(seed, *key, i)
+        return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+    return F.transform(F.sequence(F.lit(0), size - 1), normal)
+
+
+def generated(spec: dict, lookback: int, horizon: int, *key: Column, seed: int = 0) -> list[tuple[Column, Column | None]]:
+    """(past, future) of each channel of a `noise` or `constant` specification; `past_only` channels have no future. Channels of one row differ by their number."""
+    size = {"past_only": lookback, "future_included": lookback + horizon}.get(spec["target"] or "past_only")
+    if size is None:
+        raise ValueError(f"no such target: {spec['target']}")
+    value = 1.0 if spec["value"] is None else spec["value"]
+    whole = lambda k: F.array_repeat(F.lit(value), size) if spec["mode"] == "constant" else F.transform(noise(F.lit(size), seed, *key, F.lit(k)), lambda v: v * value)
+    return [(F.slice(x, 1, lookback), F.slice(x, lookback + 1, horizon) if size > lookback else None) for x in map(whole, range(spec["count"]))]
+
+
+# Names of the generated channels, and the options that stand for `value`.
+MODES = {"identity", "square", "root", "sign", "mirror", "kernel", "noise", "constant"}
+VALUE_NAMES = {"noise": ("value", "noise_scale", "scale"), "constant": ("value", "constant_value")}
+
+
+def covariate_modes(specs: str | dict | list) -> list[dict]:
+    """Specifications (mode, count, value, target) of mode strings `a-b-c` and of dictionaries with a name."""
+    out = []
+    for item in specs if isinstance(specs, list | tuple) else [specs]:
+        if isinstance(item, str):
+            out += [{"mode": m, "count": 1, "value": None, "target": None} for m in item.strip().split("-") if m]
+            continue
+        if item.get("name") is None:
+            raise ValueError("a channel needs a name")
+        mode, count = str(item["name"]), int(item.get("count", 1))
+        value = next((float(item[k]) for k in VALUE_NAMES.get(mode, ("value",)) if item.get(k) is not None), None)
+        out.append({"mode": mode, "count": count, "value": value, "target": None if item.get("target") is None else str(item["target"])})
+    if unknown := [s["mode"] for s in out if s["mode"] not in MODES]:
         raise ValueError(f"no such mode: {unknown}")
-    return [{"mode": p, "count": 1} for p in parts]
+    if any(s["count"] < 1 for s in out):
+        raise ValueError("a count must be positive")
+    return out

@@ -57,6 +57,11 @@ def floored_losses(rows: DataFrame, floor: float) -> DataFrame:
     return rows.withColumns({"mse": e * e, "mae": F.abs(e), "nmse": (e / dev) * (e / dev), "nmae": F.abs(e) / dev, "relative_mse": (e / mean) * (e / mean)})
 
 
+def falling(column: str) -> Column:
+    """A bucket that rises as a loss (never negative) falls: 64 to a doubling."""
+    return F.coalesce(-F.floor(F.log2(F.when(F.col(column) > 0, F.col(column))) * 64), F.lit(1 << 20)).cast("long")
+
+
 def summaries(rows: DataFrame, metric: str, by: list[str] | None = None, user: str = "series_id") -> DataFrame:
     """Element mean and deviation, equal-user mean and deviation, and the mean of the worst tenth of users, by group.
 
@@ -65,10 +70,8 @@ def summaries(rows: DataFrame, metric: str, by: list[str] | None = None, user: s
     by = by or []
     m = F.col(metric)
     users = rows.groupBy(*by, user).agg(F.avg(m).alias("m"), F.sum(m).alias("s"), F.sum(m * m).alias("ss"), F.count(m).alias("k"))
-    # buckets of falling loss, 64 to a doubling; losses aren't negative
-    falling = F.coalesce(-F.floor(F.log2(F.when(F.col("m") > 0, F.col("m"))) * 64), F.lit(1 << 20)).cast("long")
     total = users.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))
-    rows = ranked_in(users, by, falling, [F.col("m").desc(), user], "rank")
+    rows = ranked_in(users, by, falling("m"), [F.col("m").desc(), user], "rank")
     ranked = rows.join(total, by) if by else rows.join(F.broadcast(total))
     k, s, ss = F.sum("k"), F.sum("s"), F.sum("ss")
     return ranked.groupBy(*by).agg(

@@ -53,6 +53,32 @@ def solve(xx: np.ndarray, xy: np.ndarray, ridge: float = 0.0) -> np.ndarray:
     return np.linalg.lstsq(xx + penalty, xy, rcond=None)[0]
 
 
+def phase_lags(lookback: int, horizon: int, period: int, offset: int = 0, cycles: int | None = None) -> list[list[int]]:
+    """Lookback positions of each step's phase, the last `cycles` of them. A step without any fails."""
+    if period < 1 or horizon < 1 or (cycles is not None and cycles < 1):
+        raise ValueError("period, horizon and cycles must be positive")
+    lags = [list(range((lookback + offset + h) % period, lookback, period)) for h in range(horizon)]
+    if not all(lags):
+        raise ValueError("a step has no lag of its phase")
+    return [x[-cycles:] for x in lags] if cycles else lags
+
+
+def fit_periodic(windows: DataFrame, lags: list[list[int]]) -> np.ndarray:
+    """(lags + 1, horizon) weights by least squares: each step has a head on its own lags (`phase_lags`) and zeros elsewhere.
+
+    One pass fits all heads, since a head's Gram matrix is a part of that of all lags. Centred, so that large values cost no digits.
+    """
+    xx, xy = normal_equations(windows)
+    n = xx[-1, -1]
+    x0, y0 = xx[-1, :-1] / n, xy[-1] / n
+    cov, cross = xx[:-1, :-1] / n - np.outer(x0, x0), xy[:-1] / n - np.outer(x0, y0)
+    w = np.zeros_like(xy)
+    for h, at in enumerate(lags):
+        w[at, h] = np.linalg.lstsq(cov[np.ix_(at, at)], cross[at, h], rcond=None)[0]
+        w[-1, h] = y0[h] - x0[at] @ w[at, h]
+    return w
+
+
 def predict_linear(windows: DataFrame, weights: np.ndarray) -> DataFrame:
     """`windows` with pred, an array over the horizon, as one expression of literals."""
     one = lambda h: F.aggregate(F.zip_with(F.col("x"), F.array(*(F.lit(float(v)) for v in weights[:-1, h])), lambda a, b: a * b), F.lit(float(weights[-1, h])), lambda s, v: s + v)

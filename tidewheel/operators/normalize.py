@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -42,7 +43,7 @@ def affine(base: Transform, gamma: float, beta: float, squash: bool = False) ->
     return forward, inverse
 
 
-def gated(a: float, b: float, c: float, d: float, gamma: float, nu: float, alpha: float, beta: float) -> Transform:
+def gated(a: float | Column, b: float | Column, c: float | Column, d: float | Column, gamma: float | Column, nu: float | Column, alpha: float | Column, beta: float | Column) -> Transform:
     """Gated instance normalization: gates a and b say how much of mean and deviation to remove, c and d how much to restore; affine layers in and out."""
     gate = lambda g: 1 + g * (1 / (_std() + EPS) - 1)
     return (lambda x: (x - a * _mean()) * gate(b) * gamma + nu), (lambda z: (alpha * z + beta) / gate(d) + c * _mean())
@@ -81,9 +82,55 @@ NORMALIZATIONS: dict[str, Transform] = {
     "guarded": ((lambda x: (x - _mean()) / F.when(_std() <= 1e-8, 1.0).otherwise(_std())), (lambda z: z * F.when(_std() <= 1e-8, 1.0).otherwise(_std()) + _mean())),
 }
 
-# Gates of the presets.
-PRESETS = {"in": dict(a=1, b=1, c=1, d=1, gamma=1, nu=0, alpha=1, beta=0), "none": dict(a=0, b=0, c=0, d=0, gamma=1, nu=0, alpha=1, beta=0)}
+# Presets that start with gates of 1 and those of 0, groups of parameters, and the groups that training may change.
+IN, NONE = dict(a=1, b=1, c=1, d=1, gamma=1, nu=0, alpha=1, beta=0), dict(a=0, b=0, c=0, d=0, gamma=1, nu=0, alpha=1, beta=0)
+PRESETS = {"in": IN, "none": NONE, "revin": IN, "previn": IN, "cmin": IN, "grevin": IN}
+GROUPS = {"ab": ("a", "b"), "cd": ("c", "d"), "gamma_nu": ("gamma", "nu"), "alpha_beta": ("alpha", "beta")}
+FREE = {"in": (), "none": (), "revin": ("gamma_nu",), "previn": ("gamma_nu",), "cmin": ("alpha_beta",), "grevin": ("ab", "cd", "gamma_nu", "alpha_beta")}
+TIED = {"revin", "previn"}
+#: Least gamma that is divided by.
+LEAST_GAMMA = 1e-6
 
 
 def clamp_gates(gates: dict[str, float]) -> dict[str, float]:
     return {k: min(1.0, max(0.0, v)) if k in "abcd" else v for k, v in gates.items()}
+
+
+def preset(name: str, stats: dict[str, float | None] | None = None) -> dict[str, float]:
+    """Starting parameters. Finite alpha and beta of loader statistics (`agg6`, `agg8`) take the place of 1 and 0."""
+    if name not in PRESETS:
+        raise ValueError(f"no such preset: {name}")
+    known = {k: float(v) for k, v in (stats or {}).items() if k in GROUPS["alpha_beta"] and v is not None and math.isfinite(v)}
+    return PRESETS[name] | known
+
+
+def updated(name: str, params: dict[str, float], changes: dict[str, float], free: tuple[str, ...] | None = None) -> dict[str, float]:
+    """Parameters after a training step: only those in the preset's free groups (or the ones given) change, frozen ones stay."""
+    groups = FREE[name] if free is None else free
+    if unknown := set(groups) - set(GROUPS):
+        raise ValueError(f"no such groups: {sorted(unknown)}")
+    moving = {k for g in groups for k in GROUPS[g]}
+    return params | {k: v for k, v in changes.items() if k in moving}
+
+
+def effective(name: str, params: dict[str, float]) -> dict[str, float]:
+    """What forward and inverse take: gates in [0, 1]. Tied presets restore what they removed and undo their affine layer, whatever alpha and beta say."""
+    p = clamp_gates(params)
+    if name not in TIED:
+        return p
+    g = max(p["gamma"], LEAST_GAMMA)
+    return p | {"c": p["a"], "d": p["b"], "alpha": 1 / g, "beta": -p["nu"] / g}
+
+
+def of_clusters(name: str, shared: dict[str, float], own: dict[int, dict[str, float]], cluster: str = "cluster_id") -> Transform:
+    """Gated normalization with a cluster's own parameters, or the shared ones where it has none: a CASE of literals, so nothing is joined."""
+    sets = {k: effective(name, shared | v) for k, v in own.items()}
+    base = effective(name, shared)
+
+    def column(key: str) -> Column:
+        out = F.lit(float(base[key]))
+        for k, v in sets.items():
+            out = F.when(F.col(cluster) == k, float(v[key])).otherwise(out)
+        return out
+
+    return gated(**{k: column(k) for k in base})

@@ -168,6 +168,39 @@ def fit(train: list[Grams], epochs: int, step: Step, valid: dict[str, list[Grams
     return w, history
 
 
+def trend_matrix(lookback: int, kernel: int = 25) -> np.ndarray:
+    """The moving average over `kernel` (odd) values with ends repeated, as a matrix: trend = A x."""
+    near = np.arange(lookback)[:, None] + np.arange(kernel) - (kernel - 1) // 2
+    out = np.zeros((lookback, lookback))
+    np.add.at(out, (np.arange(lookback)[:, None], np.clip(near, 0, lookback - 1)), 1 / kernel)
+    return out
+
+
+def two_heads(lookback: int, kernel: int = 25) -> tuple[np.ndarray, Callable[[Grams], Grams]]:
+    """(T, map): a head on the residual and one on the trend, each with an intercept, over the windows of a `Grams` of lags.
+
+    Residual and trend are linear in the lags, so their Gram matrices follow from those of the lags and no window is read again. Weights V of the two heads
+    are weights T V of the lags.
+    """
+    trend, n = trend_matrix(lookback, kernel), lookback
+    t = np.zeros((n + 1, 2 * n + 2))
+    t[:n, :n], t[n, n] = (np.eye(n) - trend).T, 1
+    t[:n, n + 1 : -1], t[n, -1] = trend.T, 1
+    return t, lambda g: Grams(t.T @ g.xx @ t, t.T @ g.xy, g.yy, g.weight)
+
+
+def fit_two_heads(train: list[Grams], epochs: int, step: Step, valid: dict[str, list[Grams]] | None = None, kernel: int = 25, **options) -> tuple[np.ndarray, dict]:
+    """`fit` of decomposed heads that start at 1 / lookback without intercepts; the weights are given back over the lags, as for any linear model."""
+    if not train:
+        return fit(train, epochs, step, valid, **options)
+    lookback, horizon = len(train[0].xx) - 1, train[0].xy.shape[1]
+    t, mapped = two_heads(lookback, kernel)
+    one = np.r_[np.full(lookback, 1 / lookback), 0.0]
+    start = np.repeat(np.r_[one, one][:, None], horizon, 1)
+    heads, history = fit([mapped(g) for g in train], epochs, step, {k: [mapped(g) for g in v] for k, v in (valid or {}).items()}, start=start, **options)
+    return t @ heads, history
+
+
 def predict(windows: DataFrame, weights: np.ndarray, normalization: str = "identity") -> DataFrame:
     """`windows` with pred (an array of hundredths) of weights that were fitted in a normalization's units."""
     z = normalized_windows(windows, normalization)

@@ -17,7 +17,7 @@ from .runs import Registry
 
 #: Columns of a manifest as Spark reads them.
 MANIFEST = "schema int, identity string, run_index int, signature string, config map<string,string>, purposes array<string>, status string, seed_status map<string,string>, finished_at string"
-LINEAR = {"linear", "least_squares", "ridge"}
+LINEAR = {"linear", "decomposed", "least_squares", "ridge"}
 
 
 def check_alignment(rows: DataFrame, horizon: int) -> DataFrame:
@@ -63,14 +63,34 @@ def results(spark: SparkSession, root: str, selected: DataFrame) -> DataFrame:
     size = users.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))
     out = users.groupBy(*by).agg(*((F.sum(f"sum_{m}") / F.sum(f"n_{m}")).alias(m) for m in names), *(F.avg(m).alias(f"user_{m}") for m in names))
     for m in names:
-        falling = F.coalesce(-F.floor(F.log2(F.when(F.col(m) > 0, F.col(m))) * 64), F.lit(1 << 20)).cast("long")
-        worst = win.ranked(users.select(*by, "series_id", m), by, falling, [F.col(m).desc(), "series_id"], "rank").join(size, by).filter("rank <= tail")
+        worst = win.ranked(users.select(*by, "series_id", m), by, ev.falling(m), [F.col(m).desc(), "series_id"], "rank").join(size, by).filter("rank <= tail")
         out = out.join(worst.groupBy(*by).agg(F.avg(m).alias(f"w10_{m}")), by, "left")
     long = out.unpivot(by, [c for c in out.columns if c not in by], "metric", "value")
     labels = paths.withColumnRenamed("path", "source")
     return long.join(labels, "source").select("dataset", "setting", "label", "split", "seed", "metric", "value")
 
 
+def discovered(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, setting, model, split, metric, value, path) of every loss table `<dataset>/<setting>/<model>/all_losses` below a folder, whether or not a run registered it.
+
+    Loose: names come from the path alone. A file that gives no row (broken, or empty) is one row of split `<load_error>` without a value. An empty folder gives no rows.
+    """
+    where = "([^/]+)/([^/]+)/([^/]+)/all_losses(?:\\.parquet)?(?:/[^/]*)?$"
+    named = lambda path: [F.regexp_extract(path, where, i + 1).alias(n) for i, n in enumerate(("dataset", "setting", "model"))]
+    file = F.regexp_replace("_metadata.file_path", "^[a-z]+:/*", "/")
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.parquet"}
+    listed = spark.read.format("binaryFile").options(**options).load(root).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path")).filter(F.col("path").rlike(where))
+    schema = "split string, series_id long, " + ", ".join(f"{m} double" for m in ev.LOSSES)
+    rows = spark.read.schema(schema).options(ignoreCorruptFiles=True, **options).parquet(root).withColumn("path", file).filter(F.col("path").rlike(where))
+    sums = rows.groupBy("path", "split").agg(*(F.avg(m).alias(m) for m in ev.LOSSES), *(F.count(m).alias(f"n_{m}") for m in ev.LOSSES))
+    broken = listed.join(sums.select("path").distinct(), "path", "left_anti").select(*named("path"), F.lit("<load_error>").alias("split"), F.lit("unreadable").alias("metric"), F.lit(None).cast("double").alias("value"), "path")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    of_table = F.when(F.col("path").rlike("/all_losses/[^/]*$"), folder).otherwise(F.col("path"))
+    long = sums.select(of_table.alias("path"), "split", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), (F.col(m) * F.col(f"n_{m}")).alias("s"), F.col(f"n_{m}").alias("n")) for m in ev.LOSSES))).alias("z"))
+    means = long.groupBy("path", "split", "z.metric").agg((F.sum("z.s") / F.sum("z.n")).alias("value"), F.sum("z.n").alias("n")).filter("n > 0")
+    return means.select(*named("path"), "split", "metric", "value", "path").unionByName(broken)
+
+
 def statistics(train: DataFrame) -> tuple[float, float, float, float]:
     """Mean, deviation, least and largest of the training lookbacks: what global normalizations take."""
     n, s1, s2 = F.sum("n").cast("double"), F.sum("s1").cast("double"), F.sum("s2").cast("double")
@@ -104,10 +124,11 @@ def train_stage(spark: SparkSession, config: dict, splits: dict[str, DataFrame],
         return {"weights": None, "state_path": None, "history": {"train": [], "train_batch": [], "valid": {}, "elapsed_seconds": 0.0, "skipped": "no trainable parameters"}}
     norm, loss, batches = config.get("normalization", "identity"), opts.get("loss", "mse"), opts.get("batches", 16)
     grams = lambda s, k: training.batch_grams(splits[s], k, config.get("seed", 0), norm, loss)
-    if name == "linear":
+    if name in ("linear", "decomposed"):
         step = training.optimizer(opts.get("optimizer", "adam"), opts.get("rate", 1e-5), **opts.get("optimizer_options", {}))
         valid = {s: grams(s, 1) for s in splits if "valid" in s} if opts.get("epochs", 200) > 0 else {}
-        weights, history = training.fit(grams("train", batches), opts.get("epochs", 200), step, valid, opts.get("valid_every"), opts.get("log_every"), opts.get("clip"), config.get("seed", 0))
+        fit = training.fit if name == "linear" else training.fit_two_heads
+        weights, history = fit(grams("train", batches), opts.get("epochs", 200), step, valid, valid_every=opts.get("valid_every"), log_every=opts.get("log_every"), clip=opts.get("clip"), seed=config.get("seed", 0))
     else:
         both = grams("train", 1)
         if not both:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators import linear as lin
 from ..operators import normalize as nrm
 from ..operators import sampling as smp
 from ..operators import training
@@ -14,7 +15,7 @@ from ..sources import panels as src
 from .model_queries import _FORWARD, _G, _INVERSE, PREDICTIONS, evaluated, rows_sql, summary_sql
 from .panel_queries import synthetic_population
 from .registry import BASE, H, L, STD, query
-from .report_queries import linear_windows
+from .report_queries import linear_windows, scored
 
 # Normalizations and losses of the families.
 FAMILY_NORMALIZATIONS = ("identity", "standard", "min_max", "in_min_max", "instance", "revin")
@@ -47,6 +48,21 @@ def periodic_linear(spark, sf_dir):
     return out.select("step", F.round("a", 5).alias("slope"), F.round("b", 2).alias("intercept"), F.round("mse", 3).alias("mse"))
 
 
+_TWO = """r as (select q.split, y.t - q.t as step, cast(a.c as double) as x1, cast(b.c as double) as x2, cast(y.c as double) as y from q join p y on y.series_id = q.series_id and y.t > q.t and y.t <= q.t + 6 join p a on a.series_id = y.series_id and a.t = y.t - 24 join p b on b.series_id = y.series_id and b.t = y.t - 12 where q.split in ('train', 'test1') and q.mx > q.mn),
+m as (select step, covar_pop(x1, x1) as v1, covar_pop(x1, x2) as v12, covar_pop(x2, x2) as v2, covar_pop(x1, y) as c1, covar_pop(x2, y) as c2, avg(x1) as m1, avg(x2) as m2, avg(y) as my from r where split = 'train' group by 1),
+heads as (select step, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) as w1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) as w2, m1, m2, my from m), fit as (select *, my - w1 * m1 - w2 * m2 as b from heads)"""
+
+
+@query("mdl6_phase_heads", f"{BASE}, {_TWO} select r.step, round(any_value(w1), 5) as far, round(any_value(w2), 5) as near, round(any_value(b), 2) as intercept, round(avg(power((y - w1 * x1 - w2 * x2 - b) / 100, 2)), 3) as mse from r join fit using (step) where split = 'test1' group by 1")
+def phase_heads(spark, sf_dir):
+    """Heads at a period below the lookback: each step sees two lags of its phase."""
+    lags = lin.phase_lags(L, H, 12)
+    w = lin.fit_periodic(linear_windows(spark, sf_dir, "train"), lags)
+    heads = spark.createDataFrame([(h + 1, float(w[far, h]), float(w[near, h]), float(w[-1, h])) for h, (far, near) in enumerate(lags)], "step long, far double, near double, intercept double")
+    mse = scored(lin.predict_linear(linear_windows(spark, sf_dir, "test1"), w)).groupBy(F.col("step").cast("long").alias("step")).agg(F.round(F.avg("mse"), 3).alias("mse"))
+    return mse.join(F.broadcast(heads), "step").select("step", F.round("far", 5).alias("far"), F.round("near", 5).alias("near"), F.round("intercept", 2).alias("intercept"), "mse")  # one row a step
+
+
 _POLICIES = [("keep", False, False, False), ("remove_train_windows", True, False, False), ("remove_eval_windows", False, True, False), ("remove_all_windows", True, True, False), ("drop_all_users", False, False, True)]
 _POLICY_SQL = ", ".join(f"('{n}', {a}, {b}, {c})" for n, a, b, c in _POLICIES)
 

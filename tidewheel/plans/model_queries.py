@@ -66,9 +66,11 @@ for _loss in ev.LOSSES:  # LOS1-3
 @query("mdl1_report_persistence", rows_sql(*PREDICTIONS["persistence"]) + """, um as (select series_id, avg(mse) as m from l group by 1), r as (select *, row_number() over (order by m desc, series_id) as rk, count(*) over () as n from um)
 select round((select avg(mse) from l), 6) as mse, round((select avg(nmse) from l), 6) as nmse, round((select avg(mae) from l), 6) as mae, round(avg(m), 6) as user_mse, round(avg(case when rk <= greatest(1, ceil(0.1 * n)) then m end), 6) as w10_mse, count(*) as users from r""")
 def report_persistence(spark, sf_dir):
+    """Losses of all steps and of users; users are ranked in buckets of near losses, so they never meet in one task."""
     rows = evaluated(spark, sf_dir)
-    users = rows.groupBy("series_id").agg(*(F.sum(m).alias(m) for m in ("mse", "nmse", "mae")), F.count("*").alias("k"))
-    users = users.withColumn("m", F.col("mse") / F.col("k")).withColumn("rk", F.row_number().over(Window.orderBy(F.col("m").desc(), "series_id"))).withColumn("tail", F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) * 0.1)))
+    users = rows.groupBy("series_id").agg(*(F.sum(m).alias(m) for m in ("mse", "nmse", "mae")), F.count("*").alias("k")).withColumn("m", F.col("mse") / F.col("k"))
+    tail = users.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))  # one row
+    users = win.ranked(users, [], ev.falling("m"), [F.col("m").desc(), "series_id"], "rk").join(F.broadcast(tail))
     return users.agg(*(F.round(F.sum(m) / F.sum("k"), 6).alias(m) for m in ("mse", "nmse", "mae")), F.round(F.avg("m"), 6).alias("user_mse"), F.round(F.avg(F.when(F.col("rk") <= F.col("tail"), F.col("m"))), 6).alias("w10_mse"), F.count("*").alias("users"))
 
 
@@ -320,6 +322,35 @@ for _name in _FORWARD:
     query(f"nrm_{_name}", f"{BASE}, {_G}, z as (select q.*, gs.*, {_FORWARD[_name]} as z from q cross join gs where mx > mn) select split, series_id, t, coalesce(nullif(round(z, 6), 0), 0) as z, coalesce(nullif(round({_INVERSE[_name]}, 4), 0), 0) as back from z")(lambda spark, sf_dir, n=_name: normalized(spark, sf_dir, n))
 
 
+#: What training proposes to every preset: frozen groups don't take it.
+_STEP = dict(a=0.5, gamma=1.2, nu=0.1, alpha=0.7, beta=0.3)
+_ZI, _BACKI = f"(({_X} - {_MEANX}) * (1 / ({_STDX} + 1e-8)))", f"/ (1 / ({_STDX} + 1e-8)) + {_MEANX}"
+
+
+@query("nrm11_presets", f"""{BASE}, {FUT}, ab as (select round(avg(({FSTD} / 100) / {DEV}), 6) as alpha, round(avg((cast(f1 as double) / fn / 100 - cast(s1 as double) / n / 100) / {DEV}), 6) as beta from q join fw on fw.series_id = q.series_id and fw.t = q.t where mx > mn and split = 'train'),
+z as (select q.*, ab.*, series_id % 3 as cluster_id, {_ZI} as i from q cross join ab where mx > mn and split = 'test1'),
+v as (select *, case cluster_id when 1 then 1.5 else 1.2 end as g from z)
+select series_id, t, 'in' as preset, coalesce(nullif(round(i, 6), 0), 0) as z, coalesce(nullif(round(i {_BACKI}, 4), 0), 0) as back from v
+union all select series_id, t, 'revin', coalesce(nullif(round(i * 1.2 + 0.1, 6), 0), 0), coalesce(nullif(round(((i * 1.2 + 0.1) * (1 / 1.2::double) - 0.1 / 1.2::double) {_BACKI}, 4), 0), 0) from v
+union all select series_id, t, 'previn', coalesce(nullif(round(i * g + 0.1, 6), 0), 0), coalesce(nullif(round(((i * g + 0.1) * (1 / g::double) - 0.1 / g::double) {_BACKI}, 4), 0), 0) from v
+union all select series_id, t, 'cmin', coalesce(nullif(round(i, 6), 0), 0), coalesce(nullif(round((alpha * i + beta) {_BACKI}, 4), 0), 0) from v""")
+def presets(spark, sf_dir):
+    """Presets after one proposed step: `in` is frozen, `revin` and `previn` (with one cluster of its own) move gamma and nu and stay tied, `cmin` starts from the training statistics."""
+    stats = gamma(spark, sf_dir).filter("split = 'train'").first()  # one row
+    start = preset_start(None if stats is None else stats.asDict())
+    q = split_panel(spark, sf_dir).filter("split = 'test1' and mx > mn").withColumn("cluster_id", F.col("series_id") % 3)
+    both = {n: nrm.of_clusters(n, p, {1: {"gamma": 1.5}} if n == "previn" else {}) for n, p in start.items()}
+    x = F.col("c") / 100
+    rows = q.select("series_id", "t", F.explode(F.array(*(F.struct(F.lit(n).alias("preset"), f(x).alias("z"), g(f(x)).alias("back")) for n, (f, g) in both.items()))).alias("r"))
+    return rows.select("series_id", "t", "r.preset", no_minus(F.round("r.z", 6)).alias("z"), no_minus(F.round("r.back", 4)).alias("back"))
+
+
+def preset_start(stats):
+    """Parameters of each preset after the proposed step; alpha and beta of `cmin` stay as the statistics give them."""
+    step = lambda n: nrm.updated(n, nrm.preset(n), _STEP)
+    return {"in": step("in"), "revin": step("revin"), "previn": step("previn"), "cmin": nrm.preset("cmin", stats)}
+
+
 @query("nrm12_whole_panel_z_score", f"with {P}, s as (select round(sum(c)::double / count(*) / 100, 6) as m, round(sqrt(greatest(sum(c * c)::double / count(*) - (sum(c)::double / count(*)) * (sum(c)::double / count(*)), 0.0)) / 100, 6) as d from p) select series_id, t, round((c / 100.0 - m) / (d + 1e-8), 6) as z from p cross join s")
 def whole_z(spark, sf_dir):
     p = src.events_hourly(spark, sf_dir)

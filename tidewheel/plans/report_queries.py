@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,9 +39,10 @@ def split_names(spark, sf_dir):
 @query("smp3_individual_split", f"with u as (select distinct user_id as series_id from events), r as (select series_id, row_number() over (order by md5('{SEED}:' || series_id), series_id) as k, count(*) over () as n from u) select series_id, case when k <= cast(floor(0.6 * n) as bigint) then 'train' when k <= cast(floor(0.8 * n) as bigint) then 'valid2' else 'test2' end as split from r")
 def individual_split(spark, sf_dir):
     users = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id")).distinct()
-    k = F.row_number().over(Window.orderBy(smp.draw_key(SEED, "series_id"), "series_id"))
-    ranked = users.withColumn("k", k).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return ranked.select("series_id", F.when(F.col("k") <= F.floor(F.col("n") * 0.6), "train").when(F.col("k") <= F.floor(F.col("n") * 0.8), "valid2").otherwise("test2").alias("split"))
+    key = smp.draw_key(SEED, "series_id")
+    n = users.count()
+    k = win.ranked(users, [], F.substring(key, 1, 3), [key, "series_id"], "k")
+    return k.select("series_id", F.when(F.col("k") <= math.floor(n * 0.6), "train").when(F.col("k") <= math.floor(n * 0.8), "valid2").otherwise("test2").alias("split"))
 
 
 @query("smp5_iid_clusters", f"with u as (select distinct user_id as series_id from events), r as (select series_id, row_number() over (order by md5('{SEED}:' || series_id), series_id) as k, count(*) over () as n from u) select series_id, cast(case when k <= ceil(n / 3.0) then 0 when k <= ceil(n / 3.0) + ceil((n - ceil(n / 3.0)) / 2.0) then 1 else 2 end as int) as cluster_id from r")
@@ -104,7 +107,10 @@ def reduced(spark, sf_dir):
 
 @query("smp16_sample_groups", f"{BASE} select split, series_id, t, dense_rank() over (partition by split order by t) - 1 as item from q")
 def groups(spark, sf_dir):
-    return split_panel(spark, sf_dir).select("split", "series_id", "t", (F.dense_rank().over(Window.partitionBy("split").orderBy("t")) - 1).cast("long").alias("item"))
+    """Items are dates, so only distinct dates are numbered: pairs of a date never meet in one task for it."""
+    q = split_panel(spark, sf_dir).select("split", "series_id", "t")
+    dates = q.select("split", "t").distinct().withColumn("item", (F.row_number().over(Window.partitionBy("split").orderBy("t")) - 1).cast("long"))
+    return q.join(F.broadcast(dates), ["split", "t"])
 
 
 @query("smp18_clustered_statistics", f"{BASE} select q.split, cast(q.series_id % 3 as int) as cluster_id, count(*) as windows, count(distinct q.series_id) as users, round(avg(s1::double / n / 100), 6) as mean from q group by 1, 2")
@@ -261,6 +267,18 @@ def constant_channel(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.array_repeat(F.lit(1.5), F.size("x")).alias("y")).select("vec_id", F.size("y").alias("n"), F.element_at("y", 1).alias("value"))
 
 
+NOISE = arr.covariate_modes([{"name": "noise", "count": 2, "scale": 0.5, "target": "future_included"}])[0]
+_BITS = "(('0x' || substr(k, {}, 8))::bigint + 1) / 4294967297.0"
+
+
+@query("cov5_noise_channels", f"with {E}, n as (select vec_id, c.c as channel, i.i, md5('{SEED}:' || vec_id || ':' || c.c || ':' || i.i) as k from e cross join (select unnest(range(2)) as c) c cross join (select unnest(range({L + H})) as i) i), z as (select *, 0.5 * (sqrt(-2 * ln({_BITS.format(1)})) * cos(2 * pi() * {_BITS.format(9)})) as z from n) select vec_id, cast(channel as int) as channel, cast(count(*) filter (where i < {L}) as int) as past, cast(count(*) filter (where i >= {L}) as int) as future, {clean_sql(f'sum(z) filter (where i < {L})')} as past_total, {clean_sql(f'sum(z) filter (where i >= {L})')} as future_total from z group by 1, 2")
+def noise_channels(spark, sf_dir):
+    total = lambda x: no_minus(F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 6))
+    pairs = F.array(*(F.struct(F.lit(k).alias("channel"), past.alias("past"), future.alias("future")) for k, (past, future) in enumerate(arr.generated(NOISE, L, H, F.col("vec_id"), seed=SEED))))
+    rows = src.table(spark, sf_dir, "embeddings").select("vec_id", F.explode(pairs).alias("z"))
+    return rows.select("vec_id", "z.channel", F.size("z.past").alias("past"), F.size("z.future").alias("future"), total(F.col("z.past")).alias("past_total"), total(F.col("z.future")).alias("future_total"))
+
+
 @query("cov6_id_as_context", f"{BASE} select split, series_id, t, cast(series_id as double) as context from q")
 def id_context(spark, sf_dir):
     return split_panel(spark, sf_dir).select("split", "series_id", "t", F.col("series_id").cast("double").alias("context"))

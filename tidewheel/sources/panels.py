@@ -103,3 +103,47 @@ def numbered(frame: DataFrame, ts: str) -> DataFrame:
     """`frame` with t, the rank of each distinct timestamp from 0."""
     days = frame.select(ts).distinct().withColumn("t", (F.row_number().over(Window.orderBy(ts)) - 1).cast("long"))
     return frame.join(F.broadcast(days), ts)
+
+
+def check_shapes(panel: DataFrame, context: DataFrame | None = None, shared: DataFrame | None = None) -> tuple[int, int, int]:
+    """(series, variates, dates) of a whole panel, else an error: every series and variate has each date once, from 0.
+
+    context: (series_id, name, t, value) has for every series and name one value (t null) or one for each date; shared: (name, t, value) likewise. Counts are
+    aggregated; only the first fault comes to the driver.
+    """
+    lines = panel.groupBy("series_id", "variate").agg(F.count("*").alias("n"), F.count_distinct("t").alias("dates"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    size = lines.agg(F.count("*").alias("lines"), F.count_distinct("series_id").alias("series"), F.count_distinct("variate").alias("variates"), F.max("dates").alias("dates")).first()
+    if not size.lines:
+        raise ValueError("the panel is empty")
+    if size.lines != size.series * size.variates:
+        raise ValueError("a series lacks a variate")
+    dates = size.dates
+    if (bad := lines.filter((F.col("n") != dates) | (F.col("dates") != dates) | (F.col("lo") != 0) | (F.col("hi") != dates - 1)).head()) is not None:
+        raise ValueError(f"series {bad.series_id}, variate {bad.variate} has {bad.n} rows for {dates} dates")
+
+    def covered(rows: DataFrame, by: list[str]) -> DataFrame:
+        got = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count("t").alias("dated"), F.count_distinct("t").alias("dates"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+        static = (F.col("n") == 1) & (F.col("dated") == 0)
+        whole = (F.col("n") == dates) & (F.col("dates") == dates) & (F.col("lo") == 0) & (F.col("hi") == dates - 1)
+        if (bad := got.filter(~(static | F.coalesce(whole, F.lit(False)))).head()) is not None:
+            raise ValueError(f"context {bad.asDict()} must have 1 or {dates} dates")
+        return got
+
+    if shared is not None:
+        covered(shared, ["name"])
+    if context is not None:
+        had = covered(context, ["series_id", "name"]).groupBy("name").agg(F.count("*").alias("n"))
+        known = context.select("series_id").distinct().join(panel.select("series_id").distinct(), "series_id", "left_anti")
+        if (bad := had.filter(F.col("n") != size.series).head()) is not None or not known.isEmpty():
+            raise ValueError("a context must have values for exactly the panel's series" + (f": {bad.name} has {bad.n} of {size.series}" if bad else ""))
+    return size.series, size.variates, dates
+
+
+def checked_indices(asked: list[int] | None, n: int) -> list[int]:
+    """Positions of an axis of n, all if none are asked for."""
+    out = list(range(n)) if asked is None else [int(i) for i in asked]
+    if not out:
+        raise ValueError("no positions")
+    if bad := [i for i in out if not 0 <= i < n]:
+        raise IndexError(f"positions beyond {n}: {bad[:5]}")
+    return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import signature, write_json
 
@@ -34,3 +35,21 @@ def prepared(spark: SparkSession, root: str, config: dict, build: Callable[[], D
     panel = spark.read.parquet(f"{folder}/panel")
     write_json(manifest, {"version": VERSION, "signature": mark, "status": "complete", "rows": panel.count(), "config": config})
     return panel
+
+
+TOTALS = ("num_series", "num_timestamps", "num_values")
+
+
+def write_catalog(entries: DataFrame, skipped: DataFrame, path: str, options: dict) -> DataFrame:
+    """Writes the catalog of prepared datasets below `path` and gives its head, one row: options, number of datasets and totals.
+
+    entries: (name, csv, config, num_series, num_timestamps, num_values, ...); skipped: (relative, reason). Both stay tables of JSON lines, so a catalog of any length is written by tasks.
+    The head is written last.
+    """
+    entries.write.mode("overwrite").json(f"{path}/datasets")
+    skipped.write.mode("overwrite").json(f"{path}/skipped")
+    known = entries.sparkSession.read.schema(entries.schema).json(f"{path}/datasets")
+    head = known.agg(F.count("*").alias("num_datasets"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in TOTALS))
+    head = head.select(*(F.lit(json.dumps(v) if isinstance(v, list | dict) else v).alias(k) for k, v in options.items()), "*")
+    head.write.mode("overwrite").json(f"{path}/catalog")
+    return head

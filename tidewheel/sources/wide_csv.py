@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import ranked
 from .panels import unpivot
 
 # Header names of a date column, in no order.
 DATE_NAMES = {"date", "datetime", "timestamp", "time"}
 
 
+def local_sources(spark: SparkSession, root: str, datasets: set[str] | None = None, frequencies: set[str] | None = None) -> DataFrame:
+    """(relative, dataset, frequency, bytes, path) of the files `<dataset>/<frequency>/.../*.csv` below a folder. Frequencies match in any case.
+
+    Spark lists the files; of their contents nothing is read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path", F.col("length").alias("bytes"))
+    base = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
+    relative = F.expr("substring(path, locate(base, path) + length(base))")
+    rows = found.withColumn("base", F.lit(base)).withColumn("relative", relative).withColumn("_parts", F.split("relative", "/")).filter("size(_parts) >= 3")
+    rows = rows.select("relative", F.col("_parts")[0].alias("dataset"), F.col("_parts")[1].alias("frequency"), "bytes", "path")
+    if datasets is not None:
+        rows = rows.filter(F.col("dataset").isin(*datasets))
+    if frequencies is not None:
+        rows = rows.filter(F.lower("frequency").isin(*(f.casefold() for f in frequencies)))
+    return rows
+
+
 def timestamp_column(header: list[str]) -> str:
     """The first column named like a date, else the first."""
     return next((c for c in header if c.strip().lower() in DATE_NAMES), header[0])
@@ -34,7 +54,7 @@ def read_wide(spark: SparkSession, path: str, date_col: str | None = None, dated
     """(panel of (series_id, series_name, t, ts, value), context of (name, t, value)) of a wide CSV.
 
     Ids are source positions, whatever is dropped. Missing numbers are 0 or fail; infinite ones always fail. Undated files number
-    their rows in file order of the first column's values.
+    their rows by the first column's values. Every row has its own t; rows of one timestamp stay in file order.
     """
     frame = spark.read.csv(path, header=True)
     key = date_col or timestamp_column(frame.columns)
@@ -43,11 +63,12 @@ def read_wide(spark: SparkSession, path: str, date_col: str | None = None, dated
     if targets is not None and (unknown := [c for c in targets if c not in series]):
         raise ValueError(f"no such target: {unknown}")
     kept = [c for i, c in enumerate(series) if i not in gone and (targets is None or c in targets)]
-    ts = F.to_timestamp(F.col(f"`{key}`")) if dated else F.lit(None).cast("timestamp")
     order = F.to_timestamp(F.col(f"`{key}`")) if dated else F.col(f"`{key}`").cast("double")
-    dates = frame.select(F.col(f"`{key}`").alias("_key"), ts.alias("ts"), order.alias("_order"))
-    dates = dates.withColumn("t", (F.row_number().over(Window.orderBy("_order")) - 1).cast("long")).drop("_order")
-    rows = frame.withColumnRenamed(key, "_key").join(F.broadcast(dates), "_key")
+    ts = order if dated else F.lit(None).cast("timestamp")
+    rows = frame.select("*", ts.alias("ts"), order.alias("_order"), F.monotonically_increasing_id().alias("_row")).drop(key)
+    # ranked inside days (or whole numbers), so that a long file isn't numbered in one task; rows of one timestamp keep their order
+    day = F.unix_date(F.to_date("_order")).cast("double") if dated else F.floor("_order").cast("double")
+    rows = ranked(rows, [], F.coalesce(day, F.lit(float("-inf"))), ["_order", "_row"], "t").withColumn("t", F.col("t") - 1)
     bad = F.raise_error(F.lit("infinite value")).cast("double")
     none = F.lit(0.0) if missing == "zero" else F.raise_error(F.lit("missing value")).cast("double")
 
