@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -27,7 +27,7 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 #: Texts of a batch between Spark and a Python worker.
 BATCH_ROWS = 1000
 #: Environment of Python workers: memory that a worker has freed goes back at once, since idle workers stay beside those at work.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -82,6 +82,18 @@ def bucketed(df: DataFrame, key: str, files: int) -> DataFrame:
     return out
 
 
+def tidy(run: Callable) -> Callable:
+    """`run` over batches; when a task ends, memory that Arrow and the allocator still hold goes back, since its worker waits beside others."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that extra columns can't clash."""
     return docs.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))

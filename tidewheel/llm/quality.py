@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, Words, blocks, mix, pick
+from .common import ALNUM_WORDS, Words, blocks, mix, pick, tidy
 
 BITS = 18
 #: Labelled rows to fit on, at most: an equal share of each grade (what a small grade lacks goes to the others), those of the least hash of their id. The bound of what the driver holds.
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), *lists], names=["doc_id", "grade", "bucket", "value"])
 
     # of texts with one id the least counts, so that the fit is repeatable
-    of_id = held.mapInArrow(run, "doc_id long, grade int, bucket binary, value binary").groupBy("doc_id", "grade").agg(F.min(F.struct("bucket", "value")).alias("x"))
+    of_id = held.mapInArrow(tidy(run), "doc_id long, grade int, bucket binary, value binary").groupBy("doc_id", "grade").agg(F.min(F.struct("bucket", "value")).alias("x"))
     got = of_id.select("doc_id", "grade", "x.*").toPandas().sort_values("doc_id")
     bucket = [np.frombuffer(x, np.int32) for x in got["bucket"]]
     row = np.repeat(np.arange(len(got)), [len(x) for x in bucket])
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text", name: str = "
                 out = pa.array([{"expected_grade": float(t.sum()), "tails": t.tolist()} for t in tails], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, bucketed, model_file, partitions, pick, text_bytes
+from .common import blocks, bucketed, model_file, partitions, pick, text_bytes, tidy
 
 MARK = "▁"
 #: Letters and punctuation that pieces of common vocabularies keep apart (checked against the pieces).
@@ -447,7 +447,9 @@ def _assemble(model: Model, check: bool):
             lo = hi
 
     def whole(block: pa.Table, words: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(run(block, words))
+        out = pa.Table.from_batches(run(block, words))
+        pa.default_memory_pool().release_unused()
+        return out
 
     return whole
 
@@ -466,13 +468,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """
     model = Model(model_path or model_file("piece_bpe_32k.model"))
     spark = docs.sparkSession
-    packed = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(_numbered(model, bucket_bytes, check), PACKED)
+    packed = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_numbered(model, bucket_bytes, check)), PACKED)
     packed = bucketed(packed, "block", 2 * partitions(spark))
     shares = packed.select("block", F.inline("shares")).repartition(partitions(spark), "share")
     held = shares.select("share", "block", "base", F.posexplode(F.split("words", " ")).alias("i", "word")).select("share", "word", F.expr("shiftleft(block, 32) | (base + i)").alias("holder"))
     words = held.groupBy("share", "word").agg(F.collect_list("holder").alias("holders"))
     encoded = encode_words(words, model, ("share", "word"), long=False).select("holders", "places")
-    back = encoded.mapInArrow(_by_block(model), "dictionary long, steps binary, counts binary, ids binary")
+    back = encoded.mapInArrow(tidy(_by_block(model)), "dictionary long, steps binary, counts binary, ids binary")
     schema = f"doc_id long, ids array<int>, n_tokens long, {'round_trip boolean' if check else 'text string'}"
     return packed.select("block", "docs", "numbers", "names", "long_words").groupBy("block").cogroup(back.groupBy("dictionary")).applyInArrow(_assemble(model, check), schema)
 
