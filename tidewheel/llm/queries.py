@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences
+from . import divergence, licences
 from .common import on_workers
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
@@ -65,6 +65,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +80,7 @@ QUERIES = {
     "op7_license_scans": op7_license_scans,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +118,7 @@ s as (select doc_id, run, min(i) as first, max(i) + 50 - min(i) as words, min(or
 select s.doc_id, cast(any_value(len(ws)) as bigint) as n_words, cast(sum(words) as bigint) as n_repeated, min(origin) as first_doc_id, string_agg(first || '+' || words, ';' order by first) as spans from s join w using (doc_id) group by 1
 """,
     "op7_license_scans": licences.oracle_sql(),
+    "op11_source_divergence": divergence.oracle_sql(),
     "op9_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as norm from documents),
 g as (select norm, count(*) as group_size, arg_min(doc_id, (-length(t), doc_id)) as keep_id from d group by norm)
