@@ -94,19 +94,24 @@ def tidy(run: Callable) -> Callable:
     return whole
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that extra columns can't clash."""
-    return docs.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+    return docs.select(*(F.col(quoted(source)).alias(name) for name, source in columns.items()))
 
 
 def others(docs: DataFrame, text_col: str):
     """All columns but the text as one struct: no name in it can clash, and the text is carried once."""
-    return F.struct(F.lit(True).alias("held"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("own")
+    return F.struct(F.lit(True).alias("held"), *(F.col(quoted(c)) for c in docs.columns if c != text_col)).alias("own")
 
 
 def restored(docs: DataFrame, text_col: str) -> list:
     """The columns of `docs` in their order, from `others` (own) and `text`."""
-    return [F.col("text" if c == text_col else f"own.`{c}`").alias(c) for c in docs.columns]
+    return [F.col("text" if c == text_col else f"own.{quoted(c)}").alias(c) for c in docs.columns]
 
 
 def partitions(spark: SparkSession) -> int:

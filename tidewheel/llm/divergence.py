@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, stash, tidy
+from .common import blocks, partitions, quoted, stash, tidy
 
 #: Fixed values of the audit: a term's least number of documents in its language, the rate scale, ranks of terms that are returned.
 LEAST_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
@@ -153,7 +153,7 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     a language without kept terms every pair has 0. The only source of a language has no pairs. Equal values are ranked by the item's bytes. No documents: no rows.
     """
     spark = docs.sparkSession
-    own = lambda c: F.coalesce(F.col(f"`{c.replace('`', '``')}`").cast("string"), F.lit(""))
+    own = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     texts = docs.select(own(lang_col).alias("lang"), own(source_col).alias("source"), own(text_col).alias("text"))
     counted = texts.mapInArrow(tidy(_count), _COUNTS).repartition(partitions(spark), "lang", "term")
     kept = stash(counted.mapInArrow(tidy(_kept), "lang string, term string, sources array<string>, counts array<long>"))
