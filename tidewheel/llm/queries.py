@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .jaccard_join import near_duplicates
 from .quality import classify
+from .secret_scan import find_secrets, summary
 from .sentencepieces import encode_and_decode
 from .sharding import shard
 from .suffix_dedup import repeated_passages
@@ -74,6 +75,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
@@ -87,6 +92,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
