@@ -1,45 +1,25 @@
-"""Linear forecasters from distributed normal equations: each task sends one Gram matrix, so nothing grows with the number of windows."""
+"""Linear forecasters from distributed normal equations: Gram matrices are added up in a tree, so nothing grows with the number of windows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grams
 
-def _design(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    x = np.stack(pdf["x"].to_numpy()).astype(float)
-    y = np.stack(pdf["y"].to_numpy()).astype(float)
-    return np.c_[x, np.ones(len(x))], y
 
-
-def normal_equations(windows: DataFrame, parts: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'Y (with an intercept) of rows with arrays x and y. Partial sums of tasks are added up in `parts` tasks before the driver adds the last."""
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xx = xy = None
-        for pdf in frames:
-            if len(pdf):
-                a, b = _design(pdf)
-                xx, xy = (a.T @ a, a.T @ b) if xx is None else (xx + a.T @ a, xy + a.T @ b)
-        if xx is not None:
-            yield pd.DataFrame({"xx": [xx.ravel().tolist()], "xy": [xy.ravel().tolist()], "n": [xx.shape[0]]})
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [pdf for pdf in frames if len(pdf)]
-        if got:
-            every = pd.concat(got)
-            yield pd.DataFrame({"xx": [np.sum(np.stack(every["xx"].to_numpy()), 0).tolist()], "xy": [np.sum(np.stack(every["xy"].to_numpy()), 0).tolist()], "n": [int(every["n"].iloc[0])]})
-
-    schema = "xx array<double>, xy array<double>, n int"
-    got = windows.select("x", "y").mapInPandas(partial, schema).repartition(parts).mapInPandas(add, schema).toPandas()
-    if not len(got):
+def normal_equations(windows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """X'X and X'Y (with an intercept) of rows with arrays x and y: one packed matrix comes to the driver."""
+    rows = windows.select(F.lit(0).alias("key"), F.col("x").alias("zx"), F.col("y").alias("zy"), F.lit(1.0).alias("s"))
+    got = grams.sums(rows).first()
+    if got is None:
         raise ValueError("no windows to fit on")
-    n = int(got["n"].iloc[0])
-    return np.sum(np.stack(got["xx"].to_numpy()), 0).reshape(n, n), np.sum(np.stack(got["xy"].to_numpy()), 0).reshape(n, -1)
+    xx, xy, _ = grams.unpacked(np.frombuffer(got.packed), got.lags, 2)
+    return xx, xy
 
 
 def fit_linear(windows: DataFrame, ridge: float = 0.0) -> np.ndarray:
@@ -80,9 +60,8 @@ def fit_periodic(windows: DataFrame, lags: list[list[int]]) -> np.ndarray:
 
 
 def predict_linear(windows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`windows` with pred, an array over the horizon, as one expression of literals."""
-    one = lambda h: F.aggregate(F.zip_with(F.col("x"), F.array(*(F.lit(float(v)) for v in weights[:-1, h])), lambda a, b: a * b), F.lit(float(weights[-1, h])), lambda s, v: s + v)
-    return windows.withColumn("pred", F.array(*(one(h) for h in range(weights.shape[1]))))
+    """`windows` with pred, an array over the horizon."""
+    return grams.with_product(windows, weights)
 
 
 def weights_table(spark, weights: np.ndarray) -> DataFrame:
@@ -112,3 +91,83 @@ def fit_per_series(windows: DataFrame, key: str = "series_id") -> DataFrame:
     """(key, step, slope, intercept) of each series' own regression on the last value: one aggregation for all series."""
     rows = windows.select(key, F.element_at("x", -1).cast("double").alias("last"), F.posexplode("y").alias("step", "target"))
     return rows.groupBy(key, (F.col("step") + 1).alias("step")).agg(F.regr_slope(F.col("target").cast("double"), F.col("last")).alias("slope"), F.regr_intercept(F.col("target").cast("double"), F.col("last")).alias("intercept"))
+
+
+def _solved(ridge: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                xx, xy, _ = grams.unpacked(np.frombuffer(b.column(1)[i].as_buffer(), float), b.column(2)[i].as_py(), 2)
+                out.append(_centred(xx, xy, ridge).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["key", "weights", "lags"])
+
+    return run
+
+
+def _centred(xx: np.ndarray, xy: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights with an intercept by least squares (of least norm where windows are few) or ridge, from centred sums, so that large values cost no digits."""
+    n = xx[-1, -1]
+    x0, y0 = xx[-1, :-1] / n, xy[-1] / n
+    cov, cross = xx[:-1, :-1] - n * np.outer(x0, x0), xy[:-1] - n * np.outer(x0, y0)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    scale[scale <= 1e-9 * max(scale.max(), 1e-140)] = np.inf  # a lag without variance has no weight
+    if ridge:
+        w = np.linalg.solve(cov + ridge * np.eye(len(cov)), cross)
+    else:
+        w = np.linalg.lstsq(cov / np.outer(scale, scale), cross / scale[:, None], rcond=1e-12)[0] / scale[:, None]
+    return np.r_[w, (y0 - x0 @ w)[None]]
+
+
+def fit_users(windows: DataFrame, key: str = "series_id", ridge: float = 0.0) -> DataFrame:
+    """(key, weights, lags): each user's own least squares on all lags, with an intercept; weights are (lags, horizon) numbers as bytes.
+
+    A user's Gram matrix is added up from partial sums where the windows are, however many tasks hold them, and solved on an executor. A user of fewer windows than lags gets
+    the solution of least norm.
+    """
+    rows = windows.select(F.col(key).alias("key"), F.col("x").alias("zx"), F.col("y").alias("zy"), F.lit(1.0).alias("s"))
+    kind = windows.schema[key].dataType.simpleString()
+    return grams.sums(rows).mapInArrow(_solved(ridge), f"key {kind}, weights binary, lags int").withColumnRenamed("key", key)
+
+
+#: Shares that a user's windows are dealt over when they meet the user's weights.
+USER_SALTS = 8
+
+
+def predict_users(windows: DataFrame, weights: DataFrame, key: str = "series_id", salts: int = USER_SALTS) -> DataFrame:
+    """`windows` with pred by their user's own weights (`fit_users`), null for users without any.
+
+    Weights come once a user and share, right before that share's windows in their order, so that no row carries a matrix and a user with most windows is dealt over tasks.
+    """
+    schema = grams.with_field(windows.schema, "pred")
+    names = windows.columns
+    kind = windows.schema[key].dataType.simpleString()
+    mine = windows.select(F.col(key).alias("_key"), F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int").alias("_salt"), F.lit(1).alias("_order"), F.lit(None).cast("binary").alias("_weights"), F.lit(0).alias("_lags"), F.struct(*names).alias("_row"))
+    heads = weights.select(F.col(key).cast(kind).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(0).alias("_order"), F.col("weights").alias("_weights"), F.col("lags").alias("_lags"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"))
+    together = mine.unionByName(heads).repartition("_key", "_salt").sortWithinPartitions("_key", "_salt", "_order")
+    x_at = names.index("x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, w = object(), None
+        for b in batches:
+            keys, order, at = b.column(0).to_pylist(), b.column(2).to_numpy(), 0
+            rows = b.column(5)
+            while at < b.num_rows:
+                if order[at] == 0:
+                    have, w = keys[at], np.frombuffer(b.column(3)[at].as_buffer(), float).reshape(b.column(4)[at].as_py(), -1)
+                    at += 1
+                    continue
+                end = at + 1
+                while end < b.num_rows and order[end] == 1 and keys[end] == keys[at]:
+                    end += 1
+                part = rows.slice(at, end - at)
+                columns = part.flatten()
+                if w is not None and keys[at] == have:
+                    z = grams.matrix(columns[x_at], end - at) @ w[:-1] + w[-1]
+                    pred = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))
+                else:
+                    pred = pa.nulls(end - at, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*columns, pred], [*names, "pred"])
+                at = end
+
+    return together.mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""Mini-batch training of linear forecasters: Spark adds up one weighted Gram matrix for each batch, optimizers step over those.
+"""Mini-batch training of linear forecasters: Spark adds up one weighted Gram matrix for each batch, optimizers step over those; absolute losses step over the windows themselves.
 
 A batch is a share of the windows by the hash of their key, so its size grows with the data while the number of batches (a parameter) doesn't: what reaches the driver
 is `batches` matrices of (lags + 1) x (lags + 1 + horizon) numbers, whatever the number of windows. Quadratic losses need nothing else, for gradients and for validation alike.
@@ -11,15 +11,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import grams
 from . import normalize as nrm
-from .windows import EPS, std
+from ..sources.shared import discard, stash
+from .windows import EPS, ranked, std
 
 #: Weights under which a loss of (y - pred) is a weighted mean of squares, from a window's moments in hundredths. `floor` bounds the scale from below (0: EPS is added).
 LOSSES = ("mse", "nmse", "relative_mse")
+#: Losses whose gradient needs the windows: absolute errors over the same scales.
+ABSOLUTE = {"mae": "mse", "nmae": "nmse"}
 Step = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
 
@@ -59,36 +63,177 @@ def normalized_windows(windows: DataFrame, name: str = "identity") -> DataFrame:
     return windows.withColumn("zx", each("x")).withColumn("zy", each("y"))
 
 
-def batch_grams(windows: DataFrame, batches: int = 16, seed: int = 0, normalization: str = "identity", loss: str = "mse", floor: float = 0.0, key: tuple[str, ...] = ("series_id", "t")) -> list[Grams]:
-    """One Grams for each batch that has windows; losses are those of the predictions brought back to the panel's units. Tasks send partial sums of each batch; a batch's sums are added in parts, so no batch's windows meet anywhere."""
+def batch_grams(windows: DataFrame, batches: int | None = 16, seed: int = 0, normalization: str = "identity", loss: str = "mse", floor: float = 0.0, key: tuple[str, ...] = ("series_id", "t")) -> list[Grams]:
+    """One Grams for each batch that has windows; losses are those of the predictions brought back to the panel's units. Tasks send partial sums of each batch; a batch's sums are added in parts, so no batch's windows meet anywhere. `batches` None takes the batches
+    of `sized_batches`; their matrices must fit GRAM_BYTES, else batches are too small for their number and should be larger."""
     if normalization in ("sigmoid", "tanh", "revin_arcsinh"):
         raise ValueError(f"{normalization} isn't affine, so its losses aren't quadratic")
     inverse = nrm.NORMALIZATIONS[normalization][1]
-    weight = F.pow((inverse(F.lit(1.0)) - inverse(F.lit(0.0))) * 100 / scale_of(loss, floor), F.lit(2.0))
-    batch = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(batches)).cast("int").alias("batch")
-    rows = normalized_windows(windows, normalization).select(batch, "zx", "zy", weight.alias("w"))
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
-        for pdf in frames:
-            for b, part in pdf.groupby("batch"):
-                x, y, w = np.stack(part["zx"].to_numpy()), np.stack(part["zy"].to_numpy()), part["w"].to_numpy()
-                a = np.c_[x, np.ones(len(x))]
-                got = [a.T @ (a * w[:, None]), a.T @ (y * w[:, None]), float(np.sum(y * y * w[:, None])), float(y.size)]
-                sums[b] = [p + q for p, q in zip(sums[b], got, strict=True)] if b in sums else got
-        for b, (xx, xy, yy, k) in sums.items():
-            yield pd.DataFrame({"batch": [b], "values": [np.r_[xx.ravel(), xy.ravel(), yy, k].tolist()], "lags": [xx.shape[0]]})
-
-    parts = rows.mapInPandas(partial, "batch int, values array<double>, lags int")
-    added = parts.select("batch", "lags", F.posexplode("values").alias("place", "v")).groupBy("batch", "lags", "place").agg(F.sum("v").alias("v"))
-    table = added.groupBy("batch", "lags").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("cells"))
+    scale = (inverse(F.lit(1.0)) - inverse(F.lit(0.0))) * 100 / scale_of(loss, floor)
+    batch = (F.col("batch") if batches is None else F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(batches)).cast("int")).alias("key")
+    rows = normalized_windows(windows, normalization).select(batch, "zx", "zy", scale.alias("s"))
+
+    if batches is None:
+        r = windows.select("batch", F.size("x").alias("l"), F.size("y").alias("h")).agg(F.max("batch").alias("n"), F.max("l").alias("l"), F.max("h").alias("h")).first()
+        if r.n is not None and (r.n + 1) * (r.l + 1) * (r.l + 1 + r.h) * 8 > GRAM_BYTES:
+            raise ValueError(f"{r.n + 1} batches of {r.l} lags and {r.h} steps are more than the driver takes; make batches larger")
     out = []
-    for r in table.select("batch", "lags", F.col("cells.v").alias("v")).orderBy("batch").collect():  # `batches` rows at most
-        v, n = np.array(r.v), r.lags
-        out.append(Grams(v[: n * n].reshape(n, n), v[n * n : -2].reshape(n, -1), v[-2], v[-1]))
+    for r in grams.sums(rows).orderBy("key").collect():  # a row a batch, bounded above
+        xx, xy, (yy, k) = grams.unpacked(np.frombuffer(r.packed), r.lags, 2)
+        out.append(Grams(xx, xy, yy, k))
     return out
 
 
+def sized_batches(windows: DataFrame, size: int, seed: int = 0, key: tuple[str, ...] = ("series_id", "t")) -> DataFrame:
+    """`windows` with batch, from 0: every batch but the last has `size` of them, in the order of a seeded hash of their key.
+
+    Ranks are counted inside buckets of the hash and bucket counts tell how many come before, so no task numbers all windows.
+    """
+    order = F.xxhash64(F.lit(seed), *key)
+    placed = ranked(windows, [], F.shiftright(order, 52), [order, *key], "_rank")
+    return placed.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
+
+
+#: Bytes of Gram matrices that the driver takes at most.
+GRAM_BYTES = 1 << 30
+
+
+class Scattered:
+    """A batch whose windows stay on executors: each loss and gradient is one pass, with the weights sent along and the sums added in a tree.
+
+    rows: (zx, zy, s), the error of a step being s |x W + b - y|. With `smooth` a small error counts as its square, so that the loss has a gradient everywhere:
+    sqrt(e^2 + smooth^2) - smooth.
+    """
+
+    def __init__(self, rows: DataFrame, smooth: float = 0.0):
+        self.rows, self.smooth, self._known = rows.select(F.lit(0).alias("key"), "zx", "zy", F.col("s").cast("double").alias("s")), smooth, None
+
+    @property
+    def xy(self) -> np.ndarray:
+        """Zeros of the weights' shape."""
+        first = self.rows.first()
+        return np.zeros((len(first.zx) + 1, len(first.zy)))
+
+    def both(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        if self._known is not None and np.array_equal(self._known[0], w):
+            return self._known[1:]
+        smooth, held = self.smooth, self.rows.sparkSession.sparkContext.broadcast(w.copy())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, w = None, held.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, y, s = grams.matrix(b.column(1), b.num_rows), grams.matrix(b.column(2), b.num_rows), b.column(3).to_numpy(zero_copy_only=False)[:, None]
+                e = (x @ w[:-1] + w[-1] - y) * s
+                size = np.sqrt(e * e + smooth * smooth)
+                slope = (np.sign(e) if not smooth else e / size) * s
+                got = np.concatenate([(x.T @ slope).ravel(), slope.sum(0), [float(np.sum(size - smooth)), float(e.size)]])
+                total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int32())], ["key", "packed", "lags"])
+
+        try:
+            got = grams.tree(self.rows.mapInArrow(run, "key int, packed binary, lags int")).first()
+        finally:
+            held.unpersist()
+        if got is None:
+            raise ValueError("no windows to fit on")
+        v = np.frombuffer(got.packed)
+        self._known = (w.copy(), float(v[-2] / v[-1]), v[:-2].reshape(w.shape) / v[-1])
+        return self._known[1:]
+
+    def loss(self, w: np.ndarray) -> float:
+        return self.both(w)[0]
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        return self.both(w)[1]
+
+    def __add__(self, other: Scattered) -> Scattered:
+        return Scattered(self.rows.unionByName(other.rows), self.smooth)
+
+
+def error_rows(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0) -> DataFrame:
+    """(batch if there is one, zx, zy, s): windows in a normalization's units, and what brings an error back to those of the loss."""
+    if normalization in ("sigmoid", "tanh", "revin_arcsinh"):
+        raise ValueError(f"{normalization} isn't affine")
+    inverse = nrm.NORMALIZATIONS[normalization][1]
+    scale = (inverse(F.lit(1.0)) - inverse(F.lit(0.0))) * 100 / scale_of(ABSOLUTE.get(loss, loss), floor)
+    kept = ["batch"] if "batch" in windows.columns else []
+    return normalized_windows(windows, normalization).select(*kept, "zx", "zy", scale.alias("s"))
+
+
+def scattered_batches(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0) -> list[Scattered]:
+    """One `Scattered` for each value of `batch` (`sized_batches`), or one of all windows. Rows are written once, sorted by batch, so a batch reads its own row groups."""
+    rows = error_rows(windows, normalization, loss, floor)
+    if "batch" not in rows.columns:
+        return [Scattered(stash(rows))]
+    kept = stash(rows.repartitionByRange("batch").sortWithinPartitions("batch"))
+    last = kept.agg(F.max("batch")).first()[0]
+    return [] if last is None else [Scattered(kept.filter(F.col("batch") == b)) for b in range(last + 1)]
+
+
+def minimized(batch: Scattered | Grams, start: np.ndarray, rounds: int = 60, memory: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
+    """(weights, losses of the rounds) by L-BFGS with halved steps until the loss falls enough; stops when it falls by less than `tolerance` of itself."""
+    w, pairs = start.copy(), []
+    loss, g = batch.loss(w), batch.gradient(w)
+    history = [loss]
+    for _ in range(rounds):
+        q, alphas = g.copy(), []
+        for s, y in reversed(pairs):
+            alphas.append(np.sum(s * q) / np.sum(s * y))
+            q -= alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            q *= np.sum(s * y) / np.sum(y * y)
+        for (s, y), a in zip(pairs, reversed(alphas), strict=True):
+            q += (a - np.sum(y * q) / np.sum(s * y)) * s
+        slope, step = float(np.sum(g * q)), 1.0 if pairs else min(1.0, 1 / (np.abs(g).sum() + 1e-12))
+        if slope <= 0:
+            break
+        while step > 1e-8:
+            new = w - step * q
+            now = batch.loss(new)
+            if now <= loss - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        after = batch.gradient(new)
+        s, y = new - w, after - g
+        if np.sum(s * y) > 1e-14 * np.sum(y * y):
+            pairs = [*pairs, (s, y)][-memory:]
+        fell, w, g, loss = loss - now, new, after, now
+        history.append(loss)
+        if fell <= tolerance * max(loss, 1e-300):
+            break
+    return w, history
+
+
+def fit_absolute(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0, rounds: int = 40, smooth: tuple[float, ...] = (0.3, 0.03, 0.003)) -> tuple[np.ndarray, list[float]]:
+    """(weights, losses) of the least mean absolute error over all windows: from the quadratic solution, by losses that are smoothed less and less (shares of its own error).
+
+    The windows are written once and read in every round; what moves is weights and gradients.
+    """
+    first = batch_grams(windows, 1, 0, normalization, ABSOLUTE[loss], floor)
+    if not first:
+        raise ValueError("no windows to fit on")
+    scale = np.sqrt(np.maximum(np.diag(first[0].xx), 1e-300) / max(first[0].xx[-1, -1], 1e-300))
+    w = np.linalg.lstsq(first[0].xx / np.outer(scale, scale), first[0].xy / scale[:, None], rcond=None)[0] / scale[:, None]
+    rows = stash(error_rows(windows, normalization, loss, floor))
+    scaled = rows.withColumn("zx", F.transform("zx", lambda v, i: v / F.element_at(F.lit(scale[:-1].tolist()), i + 1)))
+    start, history = w * scale[:, None], []
+    start[-1] = w[-1]
+    least = Scattered(scaled).loss(start)
+    for share in smooth:
+        start, got = minimized(Scattered(scaled, share * max(least, 1e-12)), start, rounds)
+        history += got
+    discard(rows)
+    out = start / scale[:, None]
+    out[-1] = start[-1]
+    return out, history
+
+
 def optimizer(name: str | Callable[[], Step], rate: float = 1e-5, **options: float) -> Step:
     """A step (weights, gradient, number of the step from 1) -> weights, by the usual rules of adam, adamw, sgd and rmsprop, or what a factory gives."""
     if callable(name):
@@ -205,8 +350,8 @@ def predict(windows: DataFrame, weights: np.ndarray, normalization: str = "ident
     """`windows` with pred (an array of hundredths) of weights that were fitted in a normalization's units."""
     z = normalized_windows(windows, normalization)
     inverse = nrm.NORMALIZATIONS[normalization][1]
-    one = lambda h: F.aggregate(F.zip_with(F.col("zx"), F.array(*(F.lit(float(v)) for v in weights[:-1, h])), lambda a, b: a * b), F.lit(float(weights[-1, h])), lambda s, v: s + v)
-    return z.withColumn("pred", F.array(*(inverse(one(h)) * 100 for h in range(weights.shape[1])))).drop("zx", "zy")
+    done = grams.with_product(z, weights, "zx").drop("zx", "zy")
+    return done.withColumn("pred", F.transform("pred", lambda v: inverse(v) * 100))
 
 
 def save_state(spark: SparkSession, weights: np.ndarray, path: str) -> None:

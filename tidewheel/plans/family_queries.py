@@ -10,6 +10,7 @@ from ..operators import linear as lin
 from ..operators import normalize as nrm
 from ..operators import sampling as smp
 from ..operators import training
+from ..operators import blocks
 from ..operators import windows as win
 from ..sources import panels as src
 from .model_queries import _FORWARD, _G, _INVERSE, PREDICTIONS, evaluated, rows_sql, summary_sql
@@ -74,7 +75,7 @@ select policy, count(*) as rows, round(avg(power((y - a * x - b) / 100, 2)), 3)
 def fitted_policies(spark, sf_dir):
     """What happens to constant windows in training, in evaluation, in both, or to the users that have any: a head for each step, fitted under the policy."""
     panel = src.events_hourly(spark, sf_dir)
-    q = win.split_queries(ev.base_windows(panel, L, H, arrays=False), win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]), L, H, H)
+    q = blocks.windows(panel, win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]), L, H, H, past=False)
     bad = q.filter("mx = mn").select("series_id").distinct().withColumn("bad", F.lit(True))
     varies, fine, train = F.col("mx") > F.col("mn"), F.col("bad").isNull(), F.col("split") == "train"
     held = [F.when((varies | ~(train & F.lit(a)) & ~(~train & F.lit(b))) & (fine | ~F.lit(c)), n) for n, a, b, c in _POLICIES]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import normalize as nrm
+from ..operators import blocks
 from ..operators import windows as win
 from ..sources import panels as src
 from .panel_queries import split_panel, split_panel_mv, synthetic_population
@@ -26,9 +27,7 @@ def evaluated(spark, sf_dir, method: str = "persistence", split: str = "test1",
     """Losses of a fixed-rule forecast on every step of a split's windows."""
     panel = src.events_hourly(spark, sf_dir)
     spans = [s for s in win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]) if s[0] == split]
-    halo = win.prune_halo(panel, spans[0][1] - 1, spans[0][2], L, H)
-    w = ev.base_windows(halo, L, H, arrays=method not in ("persistence", "expected"))
-    q = win.split_queries(w, spans, L, H, H)
+    q = blocks.windows(panel, spans, L, H, H, past=method not in ("persistence", "expected"))
     q = q if keep_constant else q.filter("mx > mn")
     rows = q.select("split", "series_id", "t", "c", "n", "s1", "s2", *(["x"] if "x" in q.columns else []), F.posexplode("y").alias("step", "y")).withColumn("step", F.col("step") + 1)
     return ev.losses(rows.withColumn("pred", ev.forecast(method, F.col("step"), L, H, period=24)))

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import windows as win
 from ..sources import panels as src
 from ..sources.wide_csv import read_transposed, read_wide
@@ -113,9 +114,7 @@ def wide_export(spark, sf_dir):
 def unrolled(spark, sf_dir):
     panel = src.events_hourly(spark, sf_dir)
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])[-1:]
-    halo = win.prune_halo(panel, spans[0][1] - 1, spans[0][2], L, H)
-    arrays = win.with_future(win.with_past(halo, L), H)
-    q = win.split_queries(arrays, spans, L, H, H)
+    q = blocks.windows(panel, spans, L, H, H)
     grid = F.broadcast(src.date_grid(src.table(spark, sf_dir, "events")).select(F.col("t").alias("date_id"), "ts"))
     rows = q.select("split", "series_id", F.col("t").alias("query_t"), F.posexplode(F.concat("x", "y")).alias("step", "c"))
     return rows.withColumn("date_id", F.col("query_t") - (L - 1) + F.col("step")).join(grid, "date_id").select("split", "series_id", "query_t", F.col("step").cast("long").alias("step"), "date_id", "ts", "c")
@@ -265,8 +264,7 @@ def near_constant(spark, sf_dir):
 def gather(spark, sf_dir):
     panel = src.events_hourly(spark, sf_dir)
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])[-1:]
-    halo = win.prune_halo(panel, spans[0][1] - 1, spans[0][2], L, H)
-    return win.split_queries(win.with_future(win.with_past(halo, L), H), spans, L, H, H).select("series_id", "t", "x", "y")
+    return blocks.windows(panel, spans, L, H, H).select("series_id", "t", "x", "y")
 
 
 @query("jon2_date_major_pairs", f"{BASE} select split, t, series_id, row_number() over (partition by split order by t, series_id) as nth from q")
@@ -345,7 +343,7 @@ select tq.series_id, tq.t, st.step, count(*) as cycles, cast(sum(x.c) as bigint)
 def phases(spark, sf_dir):
     panel = src.events_hourly(spark, sf_dir)
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])[-1:]
-    q = win.split_queries(win.with_past(win.prune_halo(panel, spans[0][1] - 1, spans[0][2], L, H), L), spans, L, H, H)
+    q = blocks.windows(panel, spans, L, H, H)
     rows = q.select("series_id", "t", "x", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(H).cast("long"))).alias("step"))
     phase = F.expr(f"filter(x, (v, i) -> i % 8 = ({L} + step - 1) % 8)")
     return rows.select("series_id", "t", "step", F.size(phase).cast("long").alias("cycles"), F.aggregate(phase, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))

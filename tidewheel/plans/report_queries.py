@@ -13,6 +13,7 @@ from ..operators import evaluate as ev
 from ..operators import linear as lin
 from ..operators import report as rep
 from ..operators import sampling as smp
+from ..operators import blocks
 from ..operators import windows as win
 from ..sources import panels as src
 from .model_queries import PREDICTIONS, evaluated, no_minus, rows_sql, stat_windows, summary_sql
@@ -290,8 +291,7 @@ def id_context(spark, sf_dir):
 def linear_windows(spark, sf_dir, split):
     panel = src.events_hourly(spark, sf_dir)
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])
-    w = ev.base_windows(panel, L, H)
-    return win.split_queries(w, [s for s in spans if s[0] == split], L, H, H).filter("mx > mn")
+    return blocks.windows(panel, [s for s in spans if s[0] == split], L, H, H).filter("mx > mn")
 
 
 def scored(windows):
@@ -350,7 +350,7 @@ def decomposed(spark, sf_dir):
 def linear_windows_all(spark, sf_dir):
     panel = src.events_hourly(spark, sf_dir)
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])[-1:]
-    return win.split_queries(win.with_past(win.prune_halo(panel, spans[0][1] - 1, spans[0][2], L, H), L), spans, L, H, H)
+    return blocks.windows(panel, spans, L, H, H)
 
 
 # Catalog -----------------------------------------------------------------------------
@@ -586,7 +586,7 @@ def family(spark, sf_dir):
 l as (select q2.policy, q2.series_id, power((y.c - q2.c) / 100.0, 2) as mse from q2 join p y on y.series_id = q2.series_id and y.t > q2.t and y.t <= q2.t + 6), {summary_sql('mse', 'policy')}""")
 def constants(spark, sf_dir):
     panel = src.events_hourly(spark, sf_dir)
-    q = win.split_queries(ev.base_windows(panel, L, H, arrays=False), win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]), L, H, H)
+    q = blocks.windows(panel, win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]), L, H, H, past=False)
     bad = q.filter("mx = mn").select("series_id").distinct().withColumn("bad", F.lit(True))
     t = q.filter("split = 'test1'").join(bad, "series_id", "left")
     policies = F.filter(F.array(F.lit("keep"), F.when(F.col("mx") > F.col("mn"), "remove_windows"), F.when(F.col("bad").isNull(), "drop_users")), lambda x: x.isNotNull())
