@@ -127,7 +127,7 @@ def test_experiment_from_training_to_results(spark, panel, tmp_path):
 
 
 def test_an_experiment_that_fails_is_interrupted_and_resumed(spark, panel, tmp_path):
-    config = CONFIG | {"training": {"epochs": 1, "loss": "mae"}}
+    config = CONFIG | {"normalization": "sigmoid"}
     with pytest.raises(ValueError):
         ex.run_experiment(spark, config, panel, tmp_path)
     assert Registry(tmp_path).manifests("small/6_2")[0]["status"] == "interrupted"

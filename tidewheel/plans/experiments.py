@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
-from ..operators import linear, models, training
+from ..operators import blocks, linear, models, training
 from ..operators import windows as win
-from ..sources.config import write_json
+from ..sources import files
+from ..sources.shared import stash
 from .runs import Registry
 
 #: Columns of a manifest as Spark reads them.
 MANIFEST = "schema int, identity string, run_index int, signature string, config map<string,string>, purposes array<string>, status string, seed_status map<string,string>, finished_at string"
-LINEAR = {"linear", "decomposed", "least_squares", "ridge"}
+LINEAR = {"linear", "decomposed", "least_squares", "ridge", "per_user"}
 
 
 def check_alignment(rows: DataFrame, horizon: int) -> DataFrame:
@@ -30,9 +29,20 @@ def check_alignment(rows: DataFrame, horizon: int) -> DataFrame:
 
 
 def write_losses(rows: DataFrame, path: str, horizon: int) -> None:
-    """The loss table of a run and seed. `split` is a column, sorted in each file, so tables of many runs are read as one and a split's row groups are found by their bounds."""
+    """The loss table of a run and seed. `split` is a column, sorted in each file, so tables of many runs are read as one and a split's row groups are found by their bounds.
+
+    Written aside once, checked as written, and moved into place: losses are computed once, and no reader sees a table that isn't aligned.
+    """
+    spark = rows.sparkSession
     columns = ["split", "series_id", "t", "step", *(m for m in ev.LOSSES if m in rows.columns)]
-    check_alignment(rows, horizon).select(*columns).sortWithinPartitions("split").write.mode("overwrite").parquet(path)
+    aside = f"{path}.unchecked"
+    rows.select(*columns).sortWithinPartitions("split").write.mode("overwrite").parquet(aside)
+    try:
+        check_alignment(spark.read.parquet(aside), horizon)
+    except ValueError:
+        files.remove(spark, aside)
+        raise
+    files.replace(spark, aside, path)
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -98,49 +108,96 @@ def statistics(train: DataFrame) -> tuple[float, float, float, float]:
     return tuple(0.0 if v is None else float(v) for v in r)
 
 
+def loader_statistics(windows: DataFrame) -> dict[str, float | int | None]:
+    """All measures of a split's loader in one pass: counts of windows (finite ones, constant ones), means over windows of their own moments, values pooled over lookbacks, future values, and gamma statistics.
+
+    A value that k windows share counts k times. Without windows the counts are 0 and the measures are None.
+    """
+    n, s1, s2 = (F.col(c).cast("double") for c in ("n", "s1", "s2"))
+    y = F.transform("y", lambda v: v.cast("double"))
+    total = lambda f: F.aggregate(F.transform(y, f), F.lit(0.0), lambda a, v: a + v)
+    h, y1, y2 = F.size("y").cast("double"), total(lambda v: v), total(lambda v: v * v)
+    rows = windows.select(
+        "series_id", "t", "n", "s1", "s2", "mn", "mx", (s1 / n / 100).alias("m"), (F.sqrt(F.greatest(n * s2 - s1 * s1, F.lit(0.0))) / n / 100).alias("d"), (y1 / h / 100).alias("fm"), (F.sqrt(F.greatest(h * y2 - y1 * y1, F.lit(0.0))) / h / 100).alias("fd"),
+    )
+    varies, pooled = F.col("mx") > F.col("mn"), F.sum("s1").cast("double") / F.sum("n") / 100
+    square = F.sum(F.col("s2").cast("double")) / F.sum("n") / 10000
+    eps = F.lit(win.EPS)
+    got = rows.agg(
+        F.count("*").alias("variate_windows"), F.count_distinct("series_id", "t").alias("item_windows"), F.count("m").alias("finite_variate_windows"), (F.count("*") - F.count("m")).alias("invalid_variate_windows"),
+        F.coalesce(F.count_if(~varies), F.lit(0)).alias("constant_variate_windows"), F.avg("m").alias("lookback_mean"), F.avg("d").alias("lookback_std"), F.avg("fm").alias("future_mean"), F.avg("fd").alias("future_std"),
+        pooled.alias("lookback_value_mean"), F.sqrt(F.greatest(square - pooled * pooled, F.lit(0.0))).alias("lookback_value_std"), (F.min("mn") / 100).alias("lookback_value_min"), (F.max("mx") / 100).alias("lookback_value_max"),
+        F.avg("fm").alias("future_value_mean"), F.avg("fd").alias("future_value_std"), F.avg(F.col("fd") / (F.col("d") + eps)).alias("alpha"), F.avg((F.col("fm") - F.col("m")) / (F.col("d") + eps)).alias("beta"),
+    ).first()
+    out = got.asDict()
+    return {"accessible_windows": out["item_windows"], "sampled_windows": out["item_windows"]} | out
+
+
 def splits_of(panel: DataFrame, config: dict) -> dict[str, DataFrame]:
-    """Windows of each split, with arrays, moments and the training split's statistics. A cluster's own options stand over the shared ones (`clusters`: {id: options})."""
+    """Windows of each split, with arrays, moments and the training split's statistics. A cluster's own options stand over the shared ones (`clusters`: {id: options}).
+
+    Windows are made once and kept in the shared folder: statistics, batches, validation and evaluation all read them.
+    """
     lookback, horizon = config["lookback"], config["horizon"]
     spans = win.split_ranges(win.dates_of(panel), config.get("ratios", [0.6, 0.2, 0.2]))
-    base = ev.base_windows(panel, lookback, horizon)
     own, parts = config.get("clusters") or {}, []
     for cluster, options in [(None, {}), *own.items()]:
-        rows = base if not own else base.filter(~F.col("cluster_id").isin(*own) | F.col("cluster_id").isNull()) if cluster is None else base.filter(F.col("cluster_id") == cluster)
+        rows = panel if not own else panel.filter(~F.col("cluster_id").isin(*own) | F.col("cluster_id").isNull()) if cluster is None else panel.filter(F.col("cluster_id") == cluster)
         opts = config | options
-        q = win.split_queries(rows, spans, lookback, horizon, opts.get("stride", 1))
+        q = blocks.windows(rows, spans, lookback, horizon, opts.get("stride", 1))
         parts.append(q.filter("mx > mn") if opts.get("remove_constant") else q)
     q = parts[0]
     for p in parts[1:]:
         q = q.unionByName(p)
+    q = stash(q)
     m, d, lo, hi = statistics(q.filter(F.col("split") == spans[0][0]))
     q = q.withColumns({"gm": F.lit(m), "gd": F.lit(d), "lo": F.lit(lo), "hi": F.lit(hi)})
     return {name: q.filter(F.col("split") == name) for name, *_ in spans}
 
 
+def batches_for(windows: DataFrame, config: dict, batches: int) -> list:
+    """Batches of a configuration's loss: Gram matrices for quadratic ones, windows on executors for absolute ones. `batch_size` asks for batches of so many windows, else `batches` hash shares are made."""
+    opts, norm, seed = config.get("training", {}), config.get("normalization", "identity"), config.get("seed", 0)
+    loss, size = opts.get("loss", "mse"), opts.get("batch_size") if batches != 1 else None
+    rows = training.sized_batches(windows, size, seed) if size else windows
+    if loss not in training.ABSOLUTE:
+        return training.batch_grams(rows, None if size else batches, seed, norm, loss)
+    if not size and batches != 1:
+        rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "series_id", "t"), F.lit(batches)).cast("int"))
+    return training.scattered_batches(rows, norm, loss)
+
+
 def train_stage(spark: SparkSession, config: dict, splits: dict[str, DataFrame], folder: str) -> dict[str, Any]:
     """Fits the model of a configuration and saves its weights. Fixed rules have nothing to train, `epochs` of 0 or less leave the start: then the history is empty and says why."""
     name, opts = config.get("model", "linear"), config.get("training", {})
+    empty: dict[str, Any] = {"train": [], "train_batch": [], "valid": {}, "elapsed_seconds": 0.0}
     if name not in LINEAR:
-        return {"weights": None, "state_path": None, "history": {"train": [], "train_batch": [], "valid": {}, "elapsed_seconds": 0.0, "skipped": "no trainable parameters"}}
-    norm, loss, batches = config.get("normalization", "identity"), opts.get("loss", "mse"), opts.get("batches", 16)
-    grams = lambda s, k: training.batch_grams(splits[s], k, config.get("seed", 0), norm, loss)
+        return {"weights": None, "state_path": None, "history": empty | {"skipped": "no trainable parameters"}}
+    state = f"{folder}/model_state"
+    if name == "per_user":
+        linear.fit_users(splits["train"], ridge=opts.get("ridge", 0.0)).write.mode("overwrite").parquet(state)
+        return {"weights": spark.read.parquet(state), "state_path": state, "history": empty | {"skipped": "closed form"}}
     if name in ("linear", "decomposed"):
         step = training.optimizer(opts.get("optimizer", "adam"), opts.get("rate", 1e-5), **opts.get("optimizer_options", {}))
-        valid = {s: grams(s, 1) for s in splits if "valid" in s} if opts.get("epochs", 200) > 0 else {}
+        valid = {s: batches_for(splits[s], config, 1) for s in splits if "valid" in s} if opts.get("epochs", 200) > 0 else {}
+        if name == "decomposed" and opts.get("loss", "mse") in training.ABSOLUTE:
+            raise ValueError("decomposed heads are trained on quadratic losses")
         fit = training.fit if name == "linear" else training.fit_two_heads
-        weights, history = fit(grams("train", batches), opts.get("epochs", 200), step, valid, valid_every=opts.get("valid_every"), log_every=opts.get("log_every"), clip=opts.get("clip"), seed=config.get("seed", 0))
+        weights, history = fit(batches_for(splits["train"], config, opts.get("batches", 16)), opts.get("epochs", 200), step, valid, valid_every=opts.get("valid_every"), log_every=opts.get("log_every"), clip=opts.get("clip"), seed=config.get("seed", 0))
     else:
-        both = grams("train", 1)
+        both = batches_for(splits["train"], config, 1)
         if not both:
             raise ValueError("no windows to fit on")
         penalty = opts.get("ridge", 1.0 if name == "ridge" else 0.0)
-        weights, history = linear.solve(both[0].xx, both[0].xy, penalty), {"train": [], "train_batch": [], "valid": {}, "elapsed_seconds": 0.0, "skipped": "closed form"}
-    training.save_state(spark, weights, f"{folder}/model_state")
-    return {"weights": weights, "state_path": f"{folder}/model_state", "history": history}
+        weights, history = linear.solve(both[0].xx, both[0].xy, penalty), empty | {"skipped": "closed form"}
+    training.save_state(spark, weights, state)
+    return {"weights": weights, "state_path": state, "history": history}
 
 
 def predictions(config: dict, windows: DataFrame, weights) -> DataFrame:
     name = config.get("model", "linear")
+    if name == "per_user":  # users that training never saw have no forecast
+        return linear.predict_users(windows, weights).filter("pred is not null")
     if name in LINEAR:
         return training.predict(windows, weights, config.get("normalization", "identity"))
     return models.model(name)(windows, windows, config["lookback"], config["horizon"])
@@ -161,13 +218,13 @@ def eval_stage(config: dict, splits: dict[str, DataFrame], weights, folder: str)
     return path
 
 
-def run_experiment(spark: SparkSession, config: dict, panel: DataFrame, root: str | Path, launch: str = "default") -> dict[str, Any]:
+def run_experiment(spark: SparkSession, config: dict, panel: DataFrame, root: str, launch: str = "default") -> dict[str, Any]:
     """One configuration with each of its seeds, under the run registry: windows, training, evaluation, manifest.
 
     Training is skipped by `skip_training`, and by `pretrained` (a saved state) unless `bypass_training_with_pretrained` is false; `evaluate` false ends after training. What fails
     leaves the run interrupted; what is completed isn't run again.
     """
-    registry, seeds = Registry(root), config.get("seeds", [config.get("seed", 0)])
+    registry, seeds = Registry(str(root), spark=spark), config.get("seeds", [config.get("seed", 0)])
     plain = {k: v for k, v in config.items() if k not in ("seeds", "seed")}
     identity = f"{config['dataset']}/{config['lookback']}_{config['horizon']}"
     run, action = registry.allocate(identity, plain, seeds, launch, config.get("policy", "overwrite_exact"))
@@ -192,23 +249,23 @@ def _seed(spark: SparkSession, config: dict, panel: DataFrame, folder: str) -> d
         trained = train_stage(spark, config, splits, folder)
         weights = trained.pop("weights")
         out |= trained
-        write_json(Path(folder) / "train_history.json", trained["history"])
+        files.write_json(spark, f"{folder}/train_history.json", trained["history"])
     elif config.get("model", "linear") in LINEAR:
         out["state_path"] = pretrained or f"{folder}/model_state"
-        weights = training.load_state(spark, out["state_path"])
+        weights = spark.read.parquet(out["state_path"]) if config.get("model") == "per_user" else training.load_state(spark, out["state_path"])
     counts = {s: w.count() for s, w in splits.items()} if config.get("loader_artifacts") else {}
     if counts:
-        write_json(Path(folder) / "metadata.json", {"windows": counts, "lookback": config["lookback"], "horizon": config["horizon"]})
-        write_json(Path(folder) / "stats.json", dict(zip(("mean", "std", "min", "max"), statistics(splits[next(iter(splits))]), strict=True)))
+        files.write_json(spark, f"{folder}/metadata.json", {"windows": counts, "lookback": config["lookback"], "horizon": config["horizon"]})
+        files.write_json(spark, f"{folder}/stats.json", {s: loader_statistics(w) for s, w in splits.items()})
     if config.get("evaluate", True):
         out["losses_path"] = eval_stage(config, splits, weights, folder)
     return out
 
 
-def write_report(path: str | Path, selected: list[dict], config_policy: str, repeat_policy: str, filters: dict) -> None:
+def write_report(path: str, selected: list[dict], config_policy: str, repeat_policy: str, filters: dict) -> None:
     """What a report was asked for and which runs it took: each with its folder, label, signature, configuration and purposes."""
     keys = ("identity", "run_index", "run_dir", "label", "signature", "config", "purposes")
-    write_json(path, {"schema": 1, "requested": {"config_policy": config_policy, "repeat_policy": repeat_policy, "filters": filters}, "obtained": {"count": len(selected), "inputs": [{k: r.get(k) for k in keys} for r in selected]}})
+    files.write_json(SparkSession.active(), str(path), {"schema": 1, "requested": {"config_policy": config_policy, "repeat_policy": repeat_policy, "filters": filters}, "obtained": {"count": len(selected), "inputs": [{k: r.get(k) for k in keys} for r in selected]}})
 
 
 def with_upstream(config: dict, upstream: dict[str, dict]) -> dict:
@@ -221,11 +278,11 @@ def with_upstream(config: dict, upstream: dict[str, dict]) -> dict:
 
 def read_json_results(spark: SparkSession, root: str, pattern: str = "*{results,summary}.json") -> DataFrame:
     """Rows of all result and summary files below a folder, with their paths; files that can't be parsed give a row with `error`."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     parsed: Column = F.from_json("value", "map<string,string>")
     return rows.select("path", F.when(parsed.isNotNull() & (F.size(parsed) > 0), parsed).alias("values"), F.when(parsed.isNull() | (F.size(parsed) < 1), "not a JSON object").alias("error"))
 
 
-def load_history(folder: str | Path) -> dict:
-    return json.loads((Path(folder) / "train_history.json").read_text())
+def load_history(folder: str, spark: SparkSession | None = None) -> dict:
+    return files.read_json(spark or SparkSession.active(), f"{folder}/train_history.json")
