@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import ranked as ranked_in
+from ..sources.shared import stash
+from .tails import tail_means
 from .windows import EPS, std, with_future, with_moments, with_past
 
 #: Loss names; `rmse` is an alias of relative_mse, not a root.
@@ -57,25 +58,19 @@ def floored_losses(rows: DataFrame, floor: float) -> DataFrame:
     return rows.withColumns({"mse": e * e, "mae": F.abs(e), "nmse": (e / dev) * (e / dev), "nmae": F.abs(e) / dev, "relative_mse": (e / mean) * (e / mean)})
 
 
-def falling(column: str) -> Column:
-    """A bucket that rises as a loss (never negative) falls: 64 to a doubling."""
-    return F.coalesce(-F.floor(F.log2(F.when(F.col(column) > 0, F.col(column))) * 64), F.lit(1 << 20)).cast("long")
-
-
 def summaries(rows: DataFrame, metric: str, by: list[str] | None = None, user: str = "series_id") -> DataFrame:
     """Element mean and deviation, equal-user mean and deviation, and the mean of the worst tenth of users, by group.
 
-    Users are summed first (pre-aggregated before the shuffle), so only one row a user is ranked, in buckets of near losses.
+    Users are summed first (pre-aggregated before the shuffle) and kept, one row each; the tail comes from histograms of them.
     """
     by = by or []
     m = F.col(metric)
-    users = rows.groupBy(*by, user).agg(F.avg(m).alias("m"), F.sum(m).alias("s"), F.sum(m * m).alias("ss"), F.count(m).alias("k"))
-    total = users.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))
-    rows = ranked_in(users, by, falling("m"), [F.col("m").desc(), user], "rank")
-    ranked = rows.join(total, by) if by else rows.join(F.broadcast(total))
+    users = stash(rows.groupBy(*by, user).agg(F.avg(m).alias("m"), F.sum(m).alias("s"), F.sum(m * m).alias("ss"), F.count(m).alias("k")))
     k, s, ss = F.sum("k"), F.sum("s"), F.sum("ss")
-    return ranked.groupBy(*by).agg(
+    whole = users.groupBy(*by).agg(
         F.round(s / k, 6).alias(metric), F.round(F.sqrt(F.greatest(ss / k - (s / k) * (s / k), F.lit(0.0))), 4).alias(f"std_{metric}"),
-        F.round(F.avg("m"), 6).alias(f"user_{metric}"), F.round(F.stddev_pop("m"), 4).alias(f"std_user_{metric}"),
-        F.round(F.avg(F.when(F.col("rank") <= F.col("tail"), F.col("m"))), 6).alias(f"w10_{metric}"), F.count("*").alias("users"),
+        F.round(F.avg("m"), 6).alias(f"user_{metric}"), F.round(F.stddev_pop("m"), 4).alias(f"std_user_{metric}"), F.count("*").alias("users"),
     )
+    tail = tail_means(users, by, "m").withColumnRenamed("tail_mean", "_tail")
+    both = whole.join(tail, by, "left") if by else whole.join(F.broadcast(tail), how="left")  # one row
+    return both.select(*by, metric, f"std_{metric}", f"user_{metric}", f"std_user_{metric}", F.round("_tail", 6).alias(f"w10_{metric}"), "users")

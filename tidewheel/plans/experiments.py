@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import blocks, linear, models, training
 from ..operators import windows as win
+from ..operators.tails import tail_means
 from ..sources import files
 from ..sources.shared import stash
 from .runs import Registry
@@ -69,12 +70,10 @@ def results(spark: SparkSession, root: str, selected: DataFrame) -> DataFrame:
     losses = spark.read.option("mergeSchema", True).parquet(*sorted({k.path for k in known})).withColumn("source", F.regexp_extract("_metadata.file_path", "^(.*/all_losses)/", 1))
     names = [m for m in ev.LOSSES if m in losses.columns]
     by = ["source", "split"]
-    users = losses.groupBy(*by, "series_id").agg(*(F.avg(m).alias(m) for m in names), *(F.sum(m).alias(f"sum_{m}") for m in names), *(F.count(m).alias(f"n_{m}") for m in names))
-    size = users.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))
+    users = stash(losses.groupBy(*by, "series_id").agg(*(F.avg(m).alias(m) for m in names), *(F.sum(m).alias(f"sum_{m}") for m in names), *(F.count(m).alias(f"n_{m}") for m in names)))
     out = users.groupBy(*by).agg(*((F.sum(f"sum_{m}") / F.sum(f"n_{m}")).alias(m) for m in names), *(F.avg(m).alias(f"user_{m}") for m in names))
     for m in names:
-        worst = win.ranked(users.select(*by, "series_id", m), by, ev.falling(m), [F.col(m).desc(), "series_id"], "rank").join(size, by).filter("rank <= tail")
-        out = out.join(worst.groupBy(*by).agg(F.avg(m).alias(f"w10_{m}")), by, "left")
+        out = out.join(tail_means(users, by, m).withColumnRenamed("tail_mean", f"w10_{m}"), by, "left")
     long = out.unpivot(by, [c for c in out.columns if c not in by], "metric", "value")
     labels = paths.withColumnRenamed("path", "source")
     return long.join(labels, "source").select("dataset", "setting", "label", "split", "seed", "metric", "value")

@@ -9,7 +9,9 @@ from ..operators import evaluate as ev
 from ..operators import normalize as nrm
 from ..operators import blocks
 from ..operators import windows as win
+from ..operators.tails import tail_means
 from ..sources import panels as src
+from ..sources.shared import stash
 from .panel_queries import split_panel, split_panel_mv, synthetic_population
 from .registry import BASE, MV, H, L, M, P, SPLIT_Q, SPLITS, STD, TEST_Q, WINDOWS, query
 
@@ -65,12 +67,12 @@ for _loss in ev.LOSSES:  # LOS1-3
 @query("mdl1_report_persistence", rows_sql(*PREDICTIONS["persistence"]) + """, um as (select series_id, avg(mse) as m from l group by 1), r as (select *, row_number() over (order by m desc, series_id) as rk, count(*) over () as n from um)
 select round((select avg(mse) from l), 6) as mse, round((select avg(nmse) from l), 6) as nmse, round((select avg(mae) from l), 6) as mae, round(avg(m), 6) as user_mse, round(avg(case when rk <= greatest(1, ceil(0.1 * n)) then m end), 6) as w10_mse, count(*) as users from r""")
 def report_persistence(spark, sf_dir):
-    """Losses of all steps and of users; users are ranked in buckets of near losses, so they never meet in one task."""
+    """Losses of all steps and of users; the worst tenth comes from histograms of users."""
     rows = evaluated(spark, sf_dir)
-    users = rows.groupBy("series_id").agg(*(F.sum(m).alias(m) for m in ("mse", "nmse", "mae")), F.count("*").alias("k")).withColumn("m", F.col("mse") / F.col("k"))
-    tail = users.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1)).alias("tail"))  # one row
-    users = win.ranked(users, [], ev.falling("m"), [F.col("m").desc(), "series_id"], "rk").join(F.broadcast(tail))
-    return users.agg(*(F.round(F.sum(m) / F.sum("k"), 6).alias(m) for m in ("mse", "nmse", "mae")), F.round(F.avg("m"), 6).alias("user_mse"), F.round(F.avg(F.when(F.col("rk") <= F.col("tail"), F.col("m"))), 6).alias("w10_mse"), F.count("*").alias("users"))
+    users = stash(rows.groupBy("series_id").agg(*(F.sum(m).alias(m) for m in ("mse", "nmse", "mae")), F.count("*").alias("k")).withColumn("m", F.col("mse") / F.col("k")))
+    whole = users.agg(*(F.round(F.sum(m) / F.sum("k"), 6).alias(m) for m in ("mse", "nmse", "mae")), F.round(F.avg("m"), 6).alias("user_mse"), F.count("*").alias("users"))
+    tail = tail_means(users, [], "m").select(F.round("tail_mean", 6).alias("w10_mse"))
+    return whole.join(F.broadcast(tail), how="left").select("mse", "nmse", "mae", "user_mse", "w10_mse", "users")  # one row
 
 
 @query("trn4_evaluate_one_pass", rows_sql(*PREDICTIONS["persistence"]) + " select series_id, t as query_id, step, round(mse, 6) as mse, round(nmse, 6) as nmse, round(mae, 6) as mae, round(nmae, 6) as nmae, round(relative_mse, 4) as relative_mse from l")
