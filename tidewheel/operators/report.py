@@ -84,3 +84,20 @@ def render_latex(cells: list[dict], row: list[str], methods: list[str], decimals
             shown.append(text + (rf" $\pm$ {c['dev']:.{decimals}f}" if c.get("dev") is not None else ""))
         lines.append(" & ".join([*map(str, key), *shown]) + r" \\")
     return "\n".join(lines)
+
+
+def binned_density(rows: DataFrame, column: str, width: float, bandwidth: float, reach: int) -> DataFrame:
+    """(bin, density): counts on a grid of `width`, each spread over `reach` bins to both sides by a Gaussian of `bandwidth`. Bins are counted where rows are; only they are smoothed."""
+    bins = rows.groupBy(F.floor(F.col(column) / width).cast("long").alias("b")).agg(F.count("*").alias("n"))
+    total = bins.agg(F.sum("n").alias("total"))
+    wide = bins.withColumn("o", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    spread = wide.select((F.col("b") + F.col("o")).alias("bin"), (F.col("n") * F.exp(-0.5 * F.pow(F.col("o") * width / bandwidth, F.lit(2.0)))).alias("w"))
+    summed = spread.groupBy("bin").agg(F.sum("w").alias("w")).join(F.broadcast(total))  # one row
+    return summed.select("bin", (F.col("w") / F.col("total") / bandwidth / F.sqrt(2 * F.pi())).alias("density"))
+
+
+def tiles(rows: DataFrame, a: str, b: str, count: int) -> DataFrame:
+    """`rows` with `<a>_tile` and `<b>_tile`: `count` even parts of each whole-numbered column's range, from 0."""
+    ranges = rows.agg(F.min(a).alias("_a0"), F.max(a).alias("_a1"), F.min(b).alias("_b0"), F.max(b).alias("_b1"))
+    part = lambda c, lo, hi: F.floor((F.col(c) - F.col(lo)) * count / (F.col(hi) - F.col(lo) + 1)).cast("long")
+    return rows.join(F.broadcast(ranges)).withColumn(f"{a}_tile", part(a, "_a0", "_a1")).withColumn(f"{b}_tile", part(b, "_b0", "_b1")).drop("_a0", "_a1", "_b0", "_b1")  # one row

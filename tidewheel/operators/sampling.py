@@ -57,3 +57,14 @@ def batches(frame: DataFrame, by: list[str], seed: int, key: list[str], size: in
     drawn = draw_key(seed, *key)
     out = ranked(frame, by, F.substring(drawn, 1, 3), [drawn, *key], "batch")
     return out.select(*frame.columns, F.floor((F.col("batch") - 1) / size).cast("long").alias("batch"))
+
+
+def loader_order(windows: DataFrame, epochs: list[int], seed: int, size: int, key: tuple[str, ...] = ("series_id", "t")) -> DataFrame:
+    """`windows` once an epoch, with nth (its place in the epoch's shuffled order, from 0) and batch: what a loader gives, as columns, so that any later step can be put in that order.
+
+    The place is counted by ranks of the key alone and joined to the windows, so no array is sorted.
+    """
+    keys = windows.select(*key).withColumn("epoch", F.explode(F.array(*(F.lit(e) for e in epochs))))
+    drawn = draw_key(seed, "epoch", *key)
+    placed = ranked(keys, ["epoch"], F.substring(drawn, 1, 3), [drawn, *key], "nth").withColumn("nth", (F.col("nth") - 1).cast("long"))
+    return windows.join(placed, list(key)).withColumn("batch", F.floor(F.col("nth") / size).cast("long"))

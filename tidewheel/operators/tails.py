@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets to a doubling in the first histogram, buckets of each refinement, and refinements: afterwards a bucket is as narrow as a thousand neighbouring doubles.
-DOUBLING, FINER, ROUNDS = 64, 4096, 3
+#: Buckets to a doubling in the first histogram, buckets of each refinement, and refinements: afterwards a bucket holds some ten thousand neighbouring doubles at most.
+DOUBLING, FINER, ROUNDS = 64, 1 << 16, 2
 _STATE = "struct<left:bigint,above:double,lo:double,hi:double>"
 
 

@@ -72,9 +72,9 @@ def results(spark: SparkSession, root: str, selected: DataFrame) -> DataFrame:
     by = ["source", "split"]
     users = stash(losses.groupBy(*by, "series_id").agg(*(F.avg(m).alias(m) for m in names), *(F.sum(m).alias(f"sum_{m}") for m in names), *(F.count(m).alias(f"n_{m}") for m in names)))
     out = users.groupBy(*by).agg(*((F.sum(f"sum_{m}") / F.sum(f"n_{m}")).alias(m) for m in names), *(F.avg(m).alias(f"user_{m}") for m in names))
-    for m in names:
-        out = out.join(tail_means(users, by, m).withColumnRenamed("tail_mean", f"w10_{m}"), by, "left")
-    long = out.unpivot(by, [c for c in out.columns if c not in by], "metric", "value")
+    each = users.unpivot([*by, "series_id"], names, "metric", "v")
+    worst = tail_means(each, [*by, "metric"], "v").select(*by, F.concat(F.lit("w10_"), "metric").alias("metric"), F.col("tail_mean").alias("value"))
+    long = out.unpivot(by, [c for c in out.columns if c not in by], "metric", "value").unionByName(worst)
     labels = paths.withColumnRenamed("path", "source")
     return long.join(labels, "source").select("dataset", "setting", "label", "split", "seed", "metric", "value")
 
