@@ -57,3 +57,28 @@ def windows(panel: DataFrame, splits: list[tuple[str, int, int]], lookback: int,
     zero = F.lit(0).cast("long")
     moments = [F.size("x").cast("long").alias("n"), F.aggregate("x", zero, lambda a, v: a + v).alias("s1"), F.aggregate("x", zero, lambda a, v: a + v * v).alias("s2"), F.array_max("x").alias("mx"), F.array_min("x").alias("mn")]
     return q.select(*KEYS, "t", *(F.col(f"cell.{c}").alias(c) for c in own), *moments, "y", *(["x"] if past else []), "split")
+
+
+def varying_windows(panel: DataFrame, splits: list[tuple[str, int, int]], lookback: int, horizon: int, stride: int = 1, size: int | None = None) -> DataFrame:
+    """`windows` (with x) of queries of which any variate varies in the lookback, all variates of them.
+
+    A series' variates lie in one row a block, so whether any of them varies is asked there: the only exchange is the one that makes the blocks.
+    """
+    size = size or block_size(lookback, horizon)
+    lo, hi = min(s[1] for s in splits), max(s[2] for s in splits)
+    t = F.col("t")
+    rows = panel.filter((t >= lo - lookback) & (t < hi))
+    first, last = F.floor((t - horizon) / size), F.floor((t + lookback - 1) / size)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(max(0, lo - 1) // size)), F.least(last, F.lit((hi - 1) // size))))).repartition("series_id", "block")
+    own = [c for c in panel.columns if c not in (*KEYS, "t")]
+    b = rows.groupBy("series_id", "variate", "block").agg(F.sort_array(F.collect_list(F.struct("t", *own))).alias("cells"))
+    whole = b.groupBy("series_id", "block").agg(F.sort_array(F.collect_list(F.struct("variate", "cells"))).alias("all"))  # a series' variates over a block's dates
+    q = whole.withColumn("q", F.explode(kept_queries(splits, lookback, horizon, stride, size)))
+    q = q.withColumn("place", (F.col("q.t") - F.element_at("all", 1)["cells"][0]["t"]).cast("int"))
+    cut = lambda cells, start, n: F.array_compact(F.transform(F.slice(cells, start, n), lambda z: z["c"]))
+    past = lambda v: cut(v["cells"], F.col("place") + 2 - lookback, lookback)
+    kept = q.filter(F.exists("all", lambda v: F.array_max(past(v)) > F.array_min(past(v)))).withColumn("v", F.explode("all"))
+    x = kept.select("series_id", F.col("v.variate").alias("variate"), F.col("q.t").alias("t"), F.col("v.cells")[F.col("place")].alias("cell"), "q.split", past(F.col("v")).alias("x"), cut(F.col("v.cells"), F.col("place") + 2, horizon).alias("y"))
+    zero = F.lit(0).cast("long")
+    moments = [F.size("x").cast("long").alias("n"), F.aggregate("x", zero, lambda a, v: a + v).alias("s1"), F.aggregate("x", zero, lambda a, v: a + v * v).alias("s2"), F.array_max("x").alias("mx"), F.array_min("x").alias("mn")]
+    return x.select(*KEYS, "t", *(F.col(f"cell.{c}").alias(c) for c in own), *moments, "y", "x", "split")

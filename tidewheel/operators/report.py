@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,32 @@ def render_latex(cells: list[dict], row: list[str], methods: list[str], decimals
     return "\n".join(lines)
 
 
+def render_html(cells: list[dict], row: list[str], methods: list[str], decimals: int = 2, caption: str = "") -> str:
+    """An HTML table of a small, collected comparison: a line for each row, missing cells as --, the best in bold, deviations after ±, all names escaped."""
+    by: dict[tuple, dict[str, dict]] = {}
+    for c in cells:
+        by.setdefault(tuple(c[k] for k in row), {})[c["method"]] = c
+
+    def shown(c: dict | None) -> str:
+        if c is None or c["mean"] is None or c["mean"] != c["mean"]:
+            return "--"
+        text = f"{c['mean']:.{decimals}f}" + (f" ± {c['dev']:.{decimals}f}" if c.get("dev") is not None else "")
+        return f"<b>{text}</b>" if c.get("best") else text
+
+    head = "".join(f"<th>{html.escape(str(n))}</th>" for n in (*row, *methods))
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(k))}</td>" for k in key) + "".join(f"<td>{shown(got.get(m))}</td>" for m in methods) + "</tr>" for key, got in by.items())
+    title = f"<caption>{html.escape(caption)}</caption>" if caption else ""
+    return f"<table>{title}<thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+
+
+def family_tables(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """(family, method, seeds, metric, mean, dev, best) of results (family, method, seed, metrics...): what tables and bar charts of a family show. The deviation is that of a sample, null for one seed; the best of a family and metric is the least finite mean."""
+    long = rows.unpivot(["family", "method", "seed"], metrics, "metric", "value")
+    known = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    table = long.groupBy("family", "method", "metric").agg(F.count_distinct("seed").alias("seeds"), F.avg(known).alias("mean"), F.when(F.count(known) > 1, F.stddev_samp(known)).alias("dev"))
+    return best_flags(table, ["family", "metric"]).withColumn("best", F.coalesce("best", F.lit(False)))
+
+
 def binned_density(rows: DataFrame, column: str, width: float, bandwidth: float, reach: int) -> DataFrame:
     """(bin, density): counts on a grid of `width`, each spread over `reach` bins to both sides by a Gaussian of `bandwidth`. Bins are counted where rows are; only they are smoothed."""
     bins = rows.groupBy(F.floor(F.col(column) / width).cast("long").alias("b")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.config import save_clusters
 from .windows import ranked
 
 
@@ -68,3 +69,26 @@ def loader_order(windows: DataFrame, epochs: list[int], seed: int, size: int, ke
     drawn = draw_key(seed, "epoch", *key)
     placed = ranked(keys, ["epoch"], F.substring(drawn, 1, 3), [drawn, *key], "nth").withColumn("nth", (F.col("nth") - 1).cast("long"))
     return windows.join(placed, list(key)).withColumn("batch", F.floor(F.col("nth") / size).cast("long"))
+
+
+def iid_sizes(n: int, ratios: list[float] | None = None, sizes: list[int] | None = None, clusters: int | None = None) -> list[int]:
+    """Cluster sizes of n series by exactly one of: ratios that sum to 1 (largest remainders), sizes that sum to n, or a number of clusters (larger ones first)."""
+    if sum(v is not None for v in (ratios, sizes, clusters)) != 1:
+        raise ValueError("exactly one of ratios, sizes and clusters")
+    if ratios is not None:
+        if abs(sum(ratios) - 1) > 1e-8 or min(ratios) <= 0:
+            raise ValueError("positive ratios that sum to 1")
+        return largest_remainder(n, ratios)
+    out = sizes if sizes is not None else [n // clusters + (i < n % clusters) for i in range(clusters)]
+    if sum(out) != n or min(out) < 1:
+        raise ValueError(f"sizes {out} of {n} series")
+    return out
+
+
+def create_iid_clusters(series: DataFrame, path: str, group: str = "default", seed: int = 0, **how) -> dict[int, list[int]]:
+    """{cluster: series} drawn by `iid_sizes` and saved with its provenance: a specification, so its size is the number of series."""
+    method = next(iter(how), None)
+    got = cluster_ids(series, iid_sizes(series.count(), **how), seed).groupBy("cluster_id").agg(F.sort_array(F.collect_list("series_id")).alias("members")).collect()
+    clusters = {r.cluster_id: list(r.members) for r in got}
+    save_clusters(path, group, clusters, {"creation_mode": "generated", "access_mode": "created", "randomized": True, "method": method, "seed": seed} | how)
+    return clusters

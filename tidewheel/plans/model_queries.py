@@ -25,13 +25,13 @@ def no_minus(x):
     return F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(0.0))
 
 
-def evaluated(spark, sf_dir, method: str = "persistence", split: str = "test1", keep_constant: bool = False):
+def evaluated(spark, sf_dir, method: str = "persistence", split: str = "test1", keep_constant: bool = False, extra: tuple[str, ...] = ()):
     """Losses of a fixed-rule forecast on every step of a split's windows."""
     panel = src.events_hourly(spark, sf_dir)
     spans = [s for s in win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]) if s[0] == split]
     q = blocks.windows(panel, spans, L, H, H, past=method not in ("persistence", "expected"))
     q = q if keep_constant else q.filter("mx > mn")
-    rows = q.select("split", "series_id", "t", "c", "n", "s1", "s2", *(["x"] if "x" in q.columns else []), F.posexplode("y").alias("step", "y")).withColumn("step", F.col("step") + 1)
+    rows = q.select("split", "series_id", "t", "c", "n", "s1", "s2", *extra, *(["x"] if "x" in q.columns else []), F.posexplode("y").alias("step", "y")).withColumn("step", F.col("step") + 1)
     return ev.losses(rows.withColumn("pred", ev.forecast(method, F.col("step"), L, H, period=24)))
 
 

@@ -207,7 +207,8 @@ def split_panel_mv(spark, sf_dir):
 
 @query("flt12_window_filter_any_variate", f"{MV_Q} select split, series_id, t, count(*) as variates from q group by 1, 2, 3 having bool_or(mx > mn)")
 def window_filter(spark, sf_dir):
-    kept = win.not_constant(split_panel_mv(spark, sf_dir), ["split", "series_id", "t"])
+    panel = src.events_hourly_mv(spark, sf_dir)
+    kept = blocks.varying_windows(panel, win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]), L, H, H)
     return kept.groupBy("split", "series_id", "t").agg(F.count("*").alias("variates"))
 
 

@@ -117,6 +117,50 @@ def load_specs(path: str | Path, group: str, series: int, dates: int) -> dict:
     return specs
 
 
+SUBSET_MODES = ("dates", "individuals", "all")
+
+
+def save_subset(path: str | Path, split: str, mode: str, indices: list[int], stride: int, series: int, dates: int, group: str = "default", metadata: dict | None = None) -> None:
+    """A subset of a split's queries, anchored at query dates; other subsets of the file stay. Without metadata it counts as provided, not drawn."""
+    if mode not in SUBSET_MODES:
+        raise ValueError(f"no such mode: {mode}")
+    path = Path(path)
+    content = json.loads(path.read_text()) if path.exists() else {"version": 3, "kind": "subset_specs", "groups": {}}
+    if content.get("kind") != "subset_specs":
+        raise ValueError(f"{path} has no subsets")
+    held = metadata or {"creation_mode": "precomputed", "access_mode": "provided", "randomized": False}
+    content["groups"].setdefault(group, {})[split] = {"metadata": held, "mode": mode, "indices": [int(i) for i in indices], "stride": int(stride), "individuals": int(series), "valid_dates": int(dates), "date_anchor": "query_t"}
+    write_json(path, content)
+
+
+def load_subset(path: str | Path, split: str, series: int, dates: int, group: str = "default") -> dict:
+    """Mode, indices, stride and metadata of a saved subset, made for a panel of just this size and anchored at query dates. An index beyond its axis, or twice, fails."""
+    content = json.loads(Path(path).read_text())
+    if content.get("kind") != "subset_specs":
+        raise ValueError(f"{path} has no subsets")
+    try:
+        spec = content["groups"][group][split]
+    except KeyError as e:
+        raise KeyError(f"{path} has no subset {group}/{split}") from e
+    if spec.get("date_anchor") != "query_t":
+        raise ValueError("the subset isn't anchored at query dates; make it again")
+    if (spec["individuals"], spec["valid_dates"]) != (series, dates):
+        raise ValueError(f"the subset is of {spec['individuals']} series and {spec['valid_dates']} dates, not {series} and {dates}")
+    end = {"dates": dates, "individuals": series, "all": series * dates}[spec["mode"]]
+    if len(set(spec["indices"])) != len(spec["indices"]) or not all(0 <= i < end for i in spec["indices"]):
+        raise ValueError("indices are out of bounds or repeated")
+    return {k: spec[k] for k in ("mode", "indices", "stride", "metadata")}
+
+
+def save_clusters(path: str | Path, group: str, clusters: dict[int, list[int]], metadata: dict) -> None:
+    """Clusters of series with how they came about."""
+    save_specs(path, group, {str(k): sorted(v) for k, v in clusters.items()})
+    path = Path(path)
+    content = json.loads(path.read_text())
+    content.setdefault("metadata", {})[group] = metadata
+    write_json(path, content)
+
+
 def load_clusters(path: str | Path, group: str, series: int) -> dict[int, int]:
     """{series: cluster}; overlapping clusters fail, unassigned series are -1."""
     out = dict.fromkeys(range(series), -1)
