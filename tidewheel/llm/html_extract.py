@@ -16,19 +16,35 @@ from .common import pick
 # Element names by role, and words of class, id and role attributes.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li legend main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object audio video canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript template iframe textarea svg audio video canvas noembed noframes annotation annotation-xml".split())
 SKIPPED = frozenset("head title select option datalist".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset search dir".split())
 CLOSES_P = BLOCK - frozenset("body html head title option optgroup".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SIBLING_STOPS = frozenset("ul ol dl table select menu".split())
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising alert banner bottombar breadcrumb breadcrumbs byline captcha comment comments commentlist consent contentinfo cookie cookies copyright complementary discussion disqus donate footer footnav form gdpr header login logo masthead menu menubar meta modal nav navbar navigation navigation-menu newsletter notice notification pager pagination paywall popup promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup site-info skip skiplink social sponsor sponsored subscribe subscription tags toc toolbar topbar trending warning widget".split())
+#: Words that only say where a part is or what shape it has: a name of several words is a bad one if one is bad and all others are bad or of these.
+PLACE_WORDS = frozenset("area article bar block body bottom box btn button buttons col column container content desktop entry floating form global group holder horizontal icon icons inline inner item items left line link links list lists main menu mobile outer page panel post primary right row secondary section site slot small sticky story sub text title top vertical wrap wrapper".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maintext post postbody story text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[/a-zA-Z!?][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
 
+
+def bad_names(text: str) -> int:
+    """How many different bad words the names of an attribute have. A name of one word must be a bad one; of several words (joined by hyphens, underscores or digits) one must be
+    bad and the others too, or say a place: `comment-list` and `site-footer` are parts of a page, `comments-open` and `category-social` say something about an article."""
+    found = set()
+    for name in text.split():
+        words = WORD.findall(name)
+        if name in BAD_WORDS:
+            found.add(name)
+        elif words and all(w in BAD_WORDS or w in PLACE_WORDS for w in words):
+            found.update(w for w in words if w in BAD_WORDS)
+    return len(found)
+
+
 #: Strength of the edges between neighbouring blocks and between blocks of one parent.
 SMOOTH, PROXIMITY, SCALE = 0.6, 0.4, 1000
 
@@ -66,11 +82,9 @@ def _element(tag: str, attributes: str, parent: Element | None) -> Element:
         for name, *value in ATTRIBUTE.findall(attributes):
             name, text = name.lower(), "".join(value).lower()
             if name in ("class", "id", "role", "itemprop") and tag not in ("body", "html"):
-                for word in set(WORD.findall(text)):
-                    if word in BAD_WORDS:
-                        e.boilerplate += 7.0
-                    elif word in GOOD_WORDS and tag not in ("p", "span", "a"):
-                        e.content = max(e.content, 2.5)
+                e.boilerplate += 7.0 * bad_names(text)
+                if tag not in ("p", "span", "a") and GOOD_WORDS.intersection(WORD.findall(text)):
+                    e.content = max(e.content, 2.5)
             elif name == "hidden" or name == "aria-hidden" and text == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", text):
                 e.boilerplate += 9.0
     return e
@@ -114,6 +128,11 @@ def parse(page: str) -> list[Block]:
                 if tag not in BLOCK and stack[i].tag in BLOCK:  # an inline end tag closes nothing beyond its block
                     break
             continue
+        if tag == "xmp" and not closing:  # its text is literal
+            end = re.compile(r"</xmp\s*>", re.I).search(page, at)
+            out.append(Block(stack[-1], [html.escape(page[at : end.start() if end else n])]))
+            at, block = end.end() if end else n, None
+            continue
         if tag in RAW:
             if not (attributes or "").rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
