@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, blocks, components, mix, pick, signed, stash
+from .common import SPACE_WORDS, Words, blocks, components, mix, pick, quoted, signed, stash
 
 #: Cells of up to so many classes are joined directly; larger ones recur.
 CELL_ROWS = 12
@@ -318,6 +318,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of each group of near copies, that of the smallest id (any row where all ids are null), and every row that is in no group; rows of one id and text count once."""
     rows = _components(docs, id_col, text_col, k, percent)
     kept = _least("comp", rows.filter("comp is not null")).select("rep", "rep_mark").union(rows.filter("comp is null").select("doc_id", "mark"))
-    kept = kept.select(F.struct(F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark")).alias("_kept"))
-    name = F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"))
-    return docs.withColumn("_name", name).join(kept, F.col("_name") == F.col("_kept"), "left_semi").dropDuplicates(["_name"]).drop("_name")
+    own = "_name"
+    while own.lower() in {c.lower() for c in docs.columns}:  # a name that no column of the caller has
+        own += "_"
+    kept = kept.select(F.struct(F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark")).alias(own))
+    name = F.struct(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(F.col(quoted(text_col))).alias("mark"))
+    return docs.withColumn(own, name).join(kept, own, "left_semi").dropDuplicates([own]).select(*(F.col(quoted(c)) for c in docs.columns))
