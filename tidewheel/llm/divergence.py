@@ -182,7 +182,10 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     pair = every.groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value")).withColumn("part", F.lit("pair"))
 
     by = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    term = shards.filter("part = 'term'").withColumn("value", F.col("value").cast("long")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP_TERMS)
+    # first among a share of the terms, so that the last ranking takes SALTS * TOP_TERMS rows of a group at most, however many shards there are
+    shares = Window.partitionBy("lang", "source", "salt").orderBy(F.desc("value"), "item")
+    first = shards.filter("part = 'term'").withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("nth", F.row_number().over(shares)).filter(F.col("nth") <= TOP_TERMS)
+    term = first.drop("salt", "nth").withColumn("value", F.col("value").cast("long")).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP_TERMS)
     return pair.withColumn("rank", F.row_number().over(by)).unionByName(term).select("lang", "source", "part", "item", "value", "rank")
 
 
