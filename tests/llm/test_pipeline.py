@@ -4,9 +4,11 @@ import os
 
 import cases
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewheel.llm import queries
+from tidewheel.llm.common import stash
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -43,5 +45,22 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered_queries_run(spark):
-    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 13
     assert corpus_pipeline.run(spark, DATA).columns[0] == "doc_id"
+
+
+@pytest.mark.parametrize("none", [False, True])
+def test_stages_on_awkward_documents(spark, none):
+    """Nulls in any column, empty and long texts, repeated rows, names that stages use themselves, and an empty table."""
+    docs = (cases.empty(spark) if none else cases.documents(spark)).withColumn("_name", F.lit("own")).withColumn("_score", F.lit(None).cast("string"))
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, DATA)
+        assert kept.dtypes == docs.dtypes
+        docs = stash(kept)
+        rows = docs.collect()
+        assert {(r.doc_id, r.text) for r in rows} <= texts and all(r._name == "own" for r in rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert len(last) == docs.count() and all(r.round_trip for r in last) and (none or len(last) > 5)
+    if not none:
+        assert len({(r.doc_id, r.text) for r in rows}) == len(rows)  # rows of one id and text count once
