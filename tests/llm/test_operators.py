@@ -13,6 +13,7 @@ import pytest
 
 from tidewheel.llm import decontaminate, html_extract, jaccard_join, licences, quality, sentencepieces, token_counts
 from tidewheel.llm.common import components, model_file, on_workers
+from tidewheel.llm import exact_dedup as exact_dedup_module
 from tidewheel.llm.exact_dedup import directory, drop_exact_copies, exact_dedup
 from tidewheel.llm.sharding import difference, shard
 from tidewheel.llm.suffix_dedup import repeated_passages
@@ -63,6 +64,36 @@ def test_directory_doubles(spark):
     assert directory(spark.range(500).selectExpr("7L key").distinct(), 1)[0].count() == 1
 
 
+def test_directory_places_rows(spark, monkeypatch):
+    """Owners are ranges of keys of about equal bytes; one bucket in place of the directory leaves all rows but those of the hot key with one owner."""
+    docs = spark.range(600).selectExpr("id doc_id", "case when id % 3 = 0 then 'hot' else concat('text ', id % 350) end text")
+    got = exact_dedup(docs, bucket_rows=8).collect()
+    held, owned, keys = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        held[r.bucket, r.local_depth] += 1
+        owned[r.owner] += len(re.sub(" ", "", docs_text(r.doc_id))) + 1
+    hot = {(r.bucket, r.local_depth) for r in got if docs_text(r.doc_id) == "hot"}
+    assert len(hot) == 1 and len({r.owner for r in got if (r.bucket, r.local_depth) in hot}) > 5
+    assert max(n for b, n in held.items() if b not in hot) <= 8 and len(held) > 40
+    assert all(len({r.owner for r in got if (r.bucket, r.local_depth) == b}) == 1 for b in held if b not in hot)
+    assert len(owned) > 20 and max(owned.values()) <= sum(owned.values()) / 8
+    for r in got:
+        norm = re.sub(" ", "", docs_text(r.doc_id))
+        keys[norm] = r
+    order = spark.createDataFrame([(k,) for k in keys], "norm string").selectExpr("norm", "shiftrightunsigned(xxhash64(norm), 1) k").orderBy("k").collect()
+    placed = [keys[r.norm].owner for r in order if r.norm != "hot"]
+    assert placed == sorted(placed)
+    monkeypatch.setattr(exact_dedup_module, "directory", lambda k, *_: (k.selectExpr("0L cell", "0L bucket", "0 local_depth", "weight").groupBy("cell", "bucket", "local_depth").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "weight"), 0))
+    flat = exact_dedup(docs, bucket_rows=8).collect()
+    assert len({r.owner for r in flat if (r.bucket, r.local_depth) not in hot}) == 1
+    same = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(tuple(r[c] for c in same) for r in flat) == sorted(tuple(r[c] for c in same) for r in got)
+
+
+def docs_text(i: int) -> str:
+    return "hot" if i % 3 == 0 else f"text {i % 350}"
+
+
 # 4 ------------------------------------------------------------------------------
 
 
