@@ -1,6 +1,7 @@
 """Each operator against a plain version, over awkward rows and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -12,8 +13,8 @@ import pyarrow as pa
 import pytest
 
 from tidewheel.llm import decontaminate, html_extract, jaccard_join, licences, quality, sentencepieces, token_counts
-from tidewheel.llm.common import components, model_file, on_workers
 from tidewheel.llm import exact_dedup as exact_dedup_module
+from tidewheel.llm.common import ALNUM_WORDS, Words, components, model_file, on_workers
 from tidewheel.llm.exact_dedup import directory, drop_exact_copies, exact_dedup
 from tidewheel.llm.sharding import difference, shard
 from tidewheel.llm.suffix_dedup import repeated_passages
@@ -164,6 +165,40 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_by_all_suffixes():
+    """Longest matches against a comparison of every pair of places, in words of few letters, so that windows repeat and overlap."""
+    r = random.Random(2)
+    for _ in range(60):
+        def seq(n):
+            return [r.choice("abc") for _ in range(n)]
+
+        items, rows, window = [seq(r.choice([0, 1, 3, 9, 14])) for _ in range(3)], [seq(r.randrange(40)) for _ in range(3)], r.choice([2, 4, 10])
+        rows.append(items[0] + ["x"] + items[1])
+        plain = []
+        for d, row in enumerate(rows):
+            for i, item in enumerate(items):
+                for p, q in itertools.product(range(len(row)), range(len(item))):
+                    n = 0
+                    while p + n < len(row) and q + n < len(item) and row[p + n] == item[q + n]:
+                        n += 1
+                    if n >= min(window, len(item)) and not (p and q and row[p - 1] == item[q - 1]):
+                        plain.append((d, i, q, p, n))
+        words = Words(pa.array([" ".join(x) for x in rows], pa.large_string()), ALNUM_WORDS)
+        got = decontaminate.matches(words, decontaminate.Items(["i"] * 3, [" ".join(x) for x in items], window))
+        assert sorted(map(tuple, got.tolist())) == sorted(plain)
+
+
+def test_decontamination_searches_near_windows_only():
+    """However long the benchmark, only test suffixes whose window the shard has are searched."""
+    r = random.Random(3)
+    items = [" ".join(f"w{r.randrange(50)}" for _ in range(60)) for _ in range(300)]
+    held = decontaminate.Items(list(range(300)), items, 10)
+    words = Words(pa.array([" ".join(f"w{r.randrange(50)}" for _ in range(5000)), items[7]], pa.large_string()), ALNUM_WORDS)
+    covered, query = held.near(words)
+    assert int(covered.sum()) == 60 and len(query) == 51 and set(held.item[held.at[query]]) == {7}
+    assert decontaminate.matches(words, held).tolist() == [[1, 7, 0, 0, 60]]
+
+
 # 6 ------------------------------------------------------------------------------
 
 

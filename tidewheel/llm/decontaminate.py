@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, LOWER, Words, blocks, others, pick, restored, stash
+from .common import ALNUM_WORDS, LOWER, Words, blocks, discard, others, pick, restored, stash
 
 #: Most bytes of benchmark text in one block; a longer benchmark is searched block after block, each in a pass over the documents.
 BLOCK_LIMIT = 16 << 20
@@ -36,7 +36,33 @@ class Items:
         need = np.minimum(length, window)[w.row]
         ok = left >= need
         self.at, self.need, self.left = np.flatnonzero(ok), need[ok], left[ok]
-        self.least = int(need.min()) if len(need) else 0
+        self.starts = [(int(k), *self._starts(w, np.flatnonzero(self.need == k), int(k))) for k in np.unique(self.need)]
+
+    def _starts(self, w: Words, suffixes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of the first `k` words of these test suffixes, the suffixes in that order, and where each hash's suffixes begin."""
+        at, gram = w.grams(k)
+        gram = gram[np.searchsorted(at, self.at[suffixes])]
+        order = np.argsort(gram, kind="stable")
+        hashes, first = np.unique(gram[order], return_index=True)
+        return hashes, suffixes[order], np.r_[first, len(order)]
+
+    def near(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each word of a shard may lie in a match, test suffixes that may have one): a match holds a suffix's window, so the hash of its words is among the shard's.
+
+        Hashes only choose; the words are compared by bytes afterwards. The search goes from the shard's words to the sorted windows, so its cost grows with the shard, not with the
+        benchmark times the corpus.
+        """
+        covered, chosen = np.zeros(len(words.hash) + 1, np.int64), [np.zeros(0, np.int64)]
+        for k, hashes, suffixes, first in self.starts:
+            at, gram = words.grams(k)
+            place = np.minimum(np.searchsorted(hashes, gram), len(hashes) - 1)
+            hit = hashes[place] == gram
+            covered[at[hit]] += 1
+            covered[at[hit] + k] -= 1
+            place = np.unique(place[hit])
+            n = first[place + 1] - first[place]
+            chosen.append(suffixes[np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+        return np.cumsum(covered)[:-1] > 0, np.sort(np.concatenate(chosen))
 
 
 def same_bytes(a: np.ndarray, a_start: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_len: np.ndarray) -> np.ndarray:
@@ -82,29 +108,32 @@ def _bound(seq: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, dept
 def search(words: Words, items: Items) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """Occurrences of test suffixes in one shard: (shard word positions, test suffix, match lengths in words).
 
-    The shard's suffix array has every suffix whose words, for the shortest window, are all in the test vocabulary: no
-    other suffix can hold a window. Every test suffix is binary-searched word by word, as far as anything matches;
-    the places lost at each depth give each place its longest match.
+    The shard's suffix array has every suffix that lies where windows of the benchmark may (`Items.near`): no other suffix can hold a match, since all windows of a match are windows of
+    its item. Every test suffix whose window the shard may have is binary-searched word by word, as far as anything matches; the places lost at each depth give each place its longest
+    match. A place where the same item matches one word earlier too is part of that match and left out at once, so repeated words hold no places times suffixes.
     """
     if not len(items.at) or not len(words.hash):
         return
-    place = np.minimum(np.searchsorted(items.vocabulary, words.hash), len(items.vocabulary) - 1)
-    known = items.vocabulary[place] == words.hash
+    known, query = items.near(words)
     at = np.flatnonzero(known)  # every word that may match is compared byte by byte
-    known[at] = same_bytes(LOWER[words.data], words.start[at], (words.end - words.start)[at], items.bytes, items.start[place[at]], items.length[place[at]])
-    breaks = np.ones(len(known) + 1, bool)
-    breaks[1:-1] = ~(known[1:] & known[:-1] & (words.row[1:] == words.row[:-1]))
-    at = np.flatnonzero(breaks)
-    run = np.repeat(np.diff(at), np.diff(at))
-    keep = np.flatnonzero(known & (run >= items.least))
+    place = np.zeros(len(known), np.int64)
+    place[at] = np.minimum(np.searchsorted(items.vocabulary, words.hash[at]), len(items.vocabulary) - 1)
+    known[at] = (items.vocabulary[place[at]] == words.hash[at]) & same_bytes(LOWER[words.data], words.start[at], (words.end - words.start)[at], items.bytes, items.start[place[at]], items.length[place[at]])
+    keep = np.flatnonzero(known)
     if not len(keep):
         return
-    gap = np.flatnonzero(np.diff(keep) != 1) + 1
-    gap = np.union1d(gap, np.flatnonzero(np.diff(words.row[keep]) != 0) + 1)
+    gap = np.flatnonzero((np.diff(keep) != 1) | (np.diff(words.row[keep]) != 0)) + 1
     seq = np.insert(place[keep].astype(np.int64), gap, -1 - np.arange(len(gap)))
     pos = np.insert(keep, gap, -1)
-    sa = _suffix_array(seq, int(items.left.max()))
-    query = np.arange(len(items.at))
+    before = np.r_[-1, seq[:-1]]  # the word before each place; negative at the start of a run
+
+    def longest(places: np.ndarray, q: int, length: int) -> tuple[np.ndarray, int, np.ndarray]:
+        own = items.at[q]
+        if own > items.first[items.item[own]]:
+            places = places[before[places] != items.number[own - 1]]
+        return pos[places], q, np.full(len(places), length)
+
+    sa = _suffix_array(seq, int(items.left[query].max()))
     lo, hi = np.zeros(len(query), np.int64), np.full(len(query), len(sa), np.int64)
     depth = 0
     while len(query):
@@ -113,30 +142,24 @@ def search(words: Words, items: Items) -> Iterator[tuple[np.ndarray, int, np.nda
         new_hi = _bound(seq, sa, new_lo, hi, depth, value, True)
         depth += 1
         going = (new_lo < new_hi) & (items.left[query] > depth)
-        for i in np.flatnonzero((items.need[query] <= depth - 1) | (items.left[query] == depth) & (new_lo < new_hi)):
+        lost_any = (items.need[query] <= depth - 1) & ((lo < new_lo) | (new_hi < hi))
+        for i in np.flatnonzero(lost_any | (items.left[query] == depth) & (new_lo < new_hi)):
             q = query[i]
             if items.need[q] <= depth - 1:  # places that matched so far and no further
                 lost = np.r_[sa[lo[i] : new_lo[i]], sa[new_hi[i] : hi[i]]]
                 if len(lost):
-                    yield pos[lost], int(q), np.full(len(lost), depth - 1)
+                    yield longest(lost, int(q), depth - 1)
             if not going[i] and new_lo[i] < new_hi[i]:
-                yield pos[sa[new_lo[i] : new_hi[i]]], int(q), np.full(new_hi[i] - new_lo[i], depth)
+                yield longest(sa[new_lo[i] : new_hi[i]], int(q), depth)
         query, lo, hi = query[going], new_lo[going], new_hi[going]
 
 
 def matches(words: Words, items: Items) -> np.ndarray:
-    """Rows (row of the shard, item, word of the item, word of the row, length) of the longest verbatim matches.
-
-    A match that only continues another of the same item to the left is part of it and left out.
-    """
+    """Rows (row of the shard, item, word of the item, word of the row, length) of the longest verbatim matches: none can be continued by its item to the left or right."""
     found = [np.stack([at, np.full(len(at), items.at[q]), length]) for at, q, length in search(words, items)]
     if not found:
         return np.zeros((0, 5), np.int64)
     at, own, length = np.concatenate(found, axis=1)
-    order = np.lexsort((at, at - own))
-    at, own, length = at[order], own[order], length[order]
-    goes_on = np.r_[False, (np.diff(at) == 1) & (np.diff(own) == 1) & (items.item[own[1:]] == items.item[own[:-1]]) & (words.row[at[1:]] == words.row[at[:-1]]) & (np.diff(at + length) == 0)]
-    at, own, length = at[~goes_on], own[~goes_on], length[~goes_on]
     row, item = words.row[at], items.item[own]
     return np.stack([row, item, own - items.first[item], at - words.first[row], length], axis=1)
 
@@ -201,9 +224,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return scan
 
-    passes = 0
+    passes, kept = 0, None
     for items in _item_blocks(pick(benchmark, item=item_col, text=item_text_col), window):
-        out = stash(out) if passes else out
+        if passes:
+            before, kept = kept, stash(out)
+            out = kept
+            if before is not None:
+                discard(docs.sparkSession, before.stash_path)
         out, passes = out.mapInArrow(scan_with(sc.broadcast(items)), out.schema), passes + 1
     return out
 
