@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.operators import blocks, gates
 from tidewheel.operators import normalize as nrm
@@ -87,3 +88,42 @@ def test_the_head_is_the_least_squares_one(windows):
     a = np.c_[(x - m[:, None]) * inv[:, None], np.ones(len(x))] / inv[:, None]
     best = np.linalg.lstsq(a, y - m[:, None], rcond=None)[0]
     assert loss(p, w, x, y, m, inv) == pytest.approx(loss(p, best, x, y, m, inv), rel=1e-6) and history == [pytest.approx(loss(p, best, x, y, m, inv) / y.size, rel=1e-6)]
+
+
+def test_clusters_train_their_own_gates_under_one_head(spark, windows):
+    own = windows.withColumn("cluster_id", F.expr("case series_id when 0 then null when 1 then 4 else 7 end"))
+    w, shared, params, history = gates.fit_gated_clusters(own, "grevin", free=("ab", "cd"), start={"a": 0.5, "b": 0.5, "c": 0.5, "d": 0.5}, rounds=4)
+    assert set(params) == {4, 7} and len(history) > 1 and all(b <= a for a, b in zip(history, history[1:], strict=False)) and history[-1] < history[0]
+    assert len({tuple(p[k] for k in "abcd") for p in (shared, params[4], params[7])}) == 3 and all(p["gamma"] == 1 for p in params.values())
+
+    # the loss is that of each cluster's windows under its own parameters, and no other head is better
+    x, y, m, inv = plain(windows)
+    at = np.array([r.series_id for r in windows.orderBy("series_id", "t").collect()])
+    sets = [nrm.effective("grevin", p) for p in (shared, params[4], params[7])]
+
+    def whole(head):
+        return sum(loss(p, head, x[at == i], y[at == i], m[at == i], inv[at == i]) for i, p in enumerate(sets)) / y.size
+
+    assert whole(w) == pytest.approx(history[-1], rel=1e-6)
+    pick = lambda k: np.array([sets[i][k] for i in at])
+    u, v = 1 + pick("b") * (inv - 1), 1 + pick("d") * (inv - 1)
+    s = (pick("alpha") / v)[:, None]
+    z = np.c_[(x - (pick("a") * m)[:, None]) * u[:, None] * pick("gamma")[:, None] + pick("nu")[:, None], np.ones(len(x))] * s
+    best = np.linalg.lstsq(z, y - (pick("c") * m)[:, None] - (pick("beta") / v)[:, None], rcond=None)[0]
+    assert whole(w) == pytest.approx(whole(best), rel=1e-6)
+
+    rows = gates.predict_gated(own, w, "grevin", shared, params).orderBy("series_id", "t").collect()
+    assert np.mean((np.array([r.pred for r in rows]) / 100 - y) ** 2) == pytest.approx(history[-1], rel=1e-6)
+
+
+def test_clusters_fall_back_to_the_shared_parameters(windows):
+    every = windows.withColumn("cluster_id", F.lit(-3))
+    w, shared, params, history = gates.fit_gated_clusters(every, "previn", rounds=2)
+    alone = gates.fit_gated(windows, "previn", rounds=2)
+    assert params == {} and np.allclose(w, alone[0]) and shared == pytest.approx(alone[1]) and history == pytest.approx(alone[2])
+    _, shared, params, _ = gates.fit_gated_clusters(windows.withColumn("cluster_id", F.lit(2)), "previn", rounds=2)
+    assert shared == nrm.preset("previn") and params[2] == pytest.approx(alone[1])
+    with pytest.raises(ValueError):
+        gates.fit_gated_clusters(every.limit(0))
+    with pytest.raises(ValueError):
+        gates.fit_gated_clusters(windows.selectExpr("*", "t as cluster_id").withColumn("cluster_id", F.explode(F.sequence(F.col("t") * 100, F.col("t") * 100 + 99))), "previn")

@@ -1,7 +1,8 @@
 """Training of gated normalizations: gates and affine layers by gradients through each window's moments, the linear head by weighted Gram matrices, in turns.
 
 With the gates fixed the head is a weighted least-squares problem over x-hat; with the head fixed the gradient of the gates is eight sums over the windows. Both are one pass
-over kept windows each; a third pass tries several steps at once and takes the best, so that no round makes the loss larger.
+over kept windows each; a third pass tries several steps at once and takes the best, so that no round makes the loss larger. Clusters may have gates of their own under one head:
+with the head fixed their losses don't depend on each other, so each takes its own best step in the same passes.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from .windows import EPS, std
 NAMES = ("a", "b", "c", "d", "gamma", "nu", "alpha", "beta")
 #: Step sizes that are tried along a gradient whose largest entry is 1.
 STEPS = tuple(0.5 * 4.0**-k for k in range(10))
+#: Key of windows without a cluster, whose parameters are the shared ones. Clusters with parameters of their own, at most: the driver holds these.
+SHARED, MOST_CLUSTERS = -1, 4096
 
 
-def _rows(windows: DataFrame) -> DataFrame:
-    """(x, y in units, mean, 1 / (deviation + EPS)) of each window."""
+def _rows(windows: DataFrame, cluster: str | None = None) -> DataFrame:
+    """(key, x, y in units, mean, 1 / (deviation + EPS)) of each window. A null or negative cluster has the shared key."""
     units = lambda c: F.transform(c, lambda v: v.cast("double") / 100)
-    return windows.select(units("x").alias("x"), units("y").alias("y"), (F.col("s1").cast("double") / F.col("n") / 100).alias("m"), (1 / (std(F.col("n"), F.col("s1"), F.col("s2")) / 100 + EPS)).alias("inv"))
+    key = F.lit(SHARED) if cluster is None else F.when(F.col(cluster) >= 0, F.col(cluster)).otherwise(SHARED)
+    return windows.select(key.cast("long").alias("key"), units("x").alias("x"), units("y").alias("y"), (F.col("s1").cast("double") / F.col("n") / 100).alias("m"), (1 / (std(F.col("n"), F.col("s1"), F.col("s2")) / 100 + EPS)).alias("inv"))
 
 
 def terms(p: dict[str, float], w: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, inv: np.ndarray) -> tuple[float, np.ndarray]:
@@ -52,85 +56,125 @@ def through_ties(name: str, params: dict[str, float], g: np.ndarray) -> np.ndarr
     return np.array([a + c, b + d, 0.0, 0.0, gamma + free * (-alpha + beta * params["nu"]) / size**2, nu - beta / size, 0.0, 0.0])
 
 
-def _summed(rows: DataFrame, w: np.ndarray, sets: list[dict[str, float]], slopes: bool) -> np.ndarray:
-    """Sums over all windows for each set of parameters: squared errors, (with `slopes`) the gradient, and the number of targets."""
+def _summed(rows: DataFrame, w: np.ndarray, sets: dict[int, list[dict[str, float]]], slopes: bool) -> dict[int, np.ndarray]:
+    """Sums over each key's windows for each of its sets of parameters: squared errors, (with `slopes`) the gradient, and the number of targets."""
     held = rows.sparkSession.sparkContext.broadcast((w, sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, sets = held.value
-        total = None
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
             if b.num_rows:
-                x, y = grams.matrix(b.column(0), b.num_rows), grams.matrix(b.column(1), b.num_rows)
-                m, inv = b.column(2).to_numpy(), b.column(3).to_numpy()
-                got = []
-                for p in sets:
-                    loss, g = terms(p, w, x, y, m, inv)
-                    got.append(np.r_[loss, g, y.size] if slopes else np.r_[loss, y.size])
-                total = np.array(got) if total is None else total + np.array(got)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int32())], ["key", "packed", "lags"])
+                x, y = grams.matrix(b.column(1), b.num_rows), grams.matrix(b.column(2), b.num_rows)
+                m, inv = b.column(3).to_numpy(), b.column(4).to_numpy()
+                for key, at in grams.groups(b.column(0)):
+                    got = []
+                    for p in sets[key]:
+                        loss, g = terms(p, w, x[at], y[at], m[at], inv[at])
+                        got.append(np.r_[loss, g, y[at].size] if slopes else np.r_[loss, y[at].size])
+                    totals[key] = totals.get(key, 0.0) + np.array(got)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([t.tobytes() for t in totals.values()], pa.binary()), pa.array([0] * len(totals), pa.int32())], ["key", "packed", "lags"])
 
     try:
-        got = grams.tree(rows.select("x", "y", "m", "inv").mapInArrow(run, "key int, packed binary, lags int")).first()
+        got = grams.tree(rows.select("key", "x", "y", "m", "inv").mapInArrow(run, "key long, packed binary, lags int")).collect()  # one row a key
     finally:
         held.unpersist()
-    if got is None:
-        raise ValueError("no windows to fit on")
-    return np.frombuffer(got.packed).reshape(len(sets), -1)
-
-
-def _head(rows: DataFrame, p: dict[str, float]) -> np.ndarray:
-    """The head of least squared error under effective parameters."""
-    gate = lambda g: 1 + p[g] * (F.col("inv") - 1)
-    zx = F.transform("x", lambda v: (v - p["a"] * F.col("m")) * gate("b") * p["gamma"] + p["nu"])
-    zy = F.transform("y", lambda v: ((v - p["c"] * F.col("m")) * gate("d") - p["beta"]) / p["alpha"])
-    got = grams.sums(rows.select(F.lit(0).alias("key"), zx.alias("zx"), zy.alias("zy"), (p["alpha"] / gate("d")).alias("s"))).first()
+    return {r.key: np.frombuffer(r.packed).reshape(len(sets[r.key]), -1) for r in got}
+
+
+def _head(rows: DataFrame, params: dict[int, dict[str, float]]) -> np.ndarray:
+    """The head of least squared error over all windows, under each key's effective parameters."""
+    if len(params) == 1:
+        (p,) = params.values()
+        held = rows.withColumns({k: F.lit(float(p[k])) for k in NAMES})
+    else:
+        table = rows.sparkSession.createDataFrame([(k, *(float(p[n]) for n in NAMES)) for k, p in params.items()], "key long, " + ", ".join(f"{n} double" for n in NAMES))
+        held = rows.join(F.broadcast(table), "key")  # MOST_CLUSTERS rows at most
+    gate = lambda g: 1 + F.col(g) * (F.col("inv") - 1)
+    zx = F.transform("x", lambda v: (v - F.col("a") * F.col("m")) * gate("b") * F.col("gamma") + F.col("nu"))
+    zy = F.transform("y", lambda v: ((v - F.col("c") * F.col("m")) * gate("d") - F.col("beta")) / F.col("alpha"))
+    got = grams.sums(held.select(F.lit(0).alias("key"), zx.alias("zx"), zy.alias("zy"), (F.col("alpha") / gate("d")).alias("s"))).first()
     xx, xy, _ = grams.unpacked(np.frombuffer(got.packed), got.lags, 2)
     return linear.solve(xx, xy)
 
 
-def fit_gated(windows: DataFrame, name: str = "grevin", free: tuple[str, ...] | None = None, start: dict[str, float] | None = None, rounds: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, dict[str, float], list[float]]:
-    """(head, parameters, losses): a preset's free groups (or the ones given) and a linear head, fitted in turns to the mean squared error in units.
+def _descent(name: str, params: dict[str, float], sums: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The gradient of the mean error by a preset's free parameters; a gate at its bound doesn't move beyond it."""
+    _, *g, n = sums
+    g = through_ties(name, params, np.array(g)) * mask / n
+    return np.array([0.0 if k in "abcd" and ((params[k] <= 0 and v > 0) or (params[k] >= 1 and v < 0)) else v for k, v in zip(NAMES, g, strict=True)])
 
-    losses has the error after the first head and after each round, never rising. Frozen groups keep their start. Stops when a round gains less than `tolerance` of the
-    loss. No windows: an error. Windows that don't vary should be left out, since a gate below 1 leaves them a scale of 1 / EPS.
-    """
-    rows = stash(_rows(windows))
-    params = nrm.preset(name) | (start or {})
+
+def _in_turns(rows: DataFrame, name: str, free: tuple[str, ...] | None, start: dict[str, float] | None, rounds: int, tolerance: float) -> tuple[np.ndarray, dict[int, dict[str, float]], list[float]]:
+    """(head, parameters of each key, losses) of kept rows."""
+    first = nrm.preset(name) | (start or {})
     moving = nrm.updated(name, dict.fromkeys(NAMES, 0.0), dict.fromkeys(NAMES, 1.0), free)
     mask = np.array([moving[k] for k in NAMES])
-    if rows.isEmpty():
+    keys = sorted(r.key for r in rows.select("key").distinct().limit(MOST_CLUSTERS + 2).collect())
+    if not keys:
         raise ValueError("no windows to fit on")
-    w = _head(rows, nrm.effective(name, params))
-    (loss, n), = _summed(rows, w, [nrm.effective(name, params)], False)
-    history = [loss / n]
-    for _ in range(rounds):
-        if not mask.any():
-            break
-        (_, *g, n), = _summed(rows, w, [nrm.effective(name, params)], True)
-        g = through_ties(name, params, np.array(g)) * mask / n
-        # a gate at its bound doesn't move beyond it
-        g = np.array([0.0 if k in "abcd" and ((params[k] <= 0 and v > 0) or (params[k] >= 1 and v < 0)) else v for k, v in zip(NAMES, g, strict=True)])
-        if not np.abs(g).max() > 0:
+    if len(keys) > MOST_CLUSTERS + 1:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters: the driver holds their parameters")
+    params = dict.fromkeys(keys, first)
+    effective = lambda own: {k: [nrm.effective(name, p) for p in v] for k, v in own.items()}
+
+    def head_of(own: dict[int, dict[str, float]]) -> tuple[np.ndarray, float]:
+        """The best head and its mean error."""
+        sets = effective({k: [p] for k, p in own.items()})
+        w = _head(rows, {k: p for k, (p,) in sets.items()})
+        loss, n = sum(v[0] for v in _summed(rows, w, sets, False).values())
+        return w, float(loss / n)
+
+    w, loss = head_of(params)
+    history = [loss]
+    for _ in range(rounds if mask.any() else 0):
+        slopes = {k: _descent(name, params[k], v[0], mask) for k, v in _summed(rows, w, effective({k: [p] for k, p in params.items()}), True).items()}
+        tried = {k: [params[k]] for k in keys}
+        for k, g in slopes.items():
+            if np.abs(g).max() > 0:
+                unit = dict(zip(NAMES, g / np.abs(g).max(), strict=True))
+                tried[k] += [nrm.updated(name, params[k], nrm.clamp_gates({n: params[k][n] - t * unit[n] for n in NAMES}), free) for t in STEPS]
+        if all(len(v) == 1 for v in tried.values()):
             break
-        tried = [params] + [nrm.updated(name, params, nrm.clamp_gates({k: params[k] - t * v for k, v in zip(NAMES, g / np.abs(g).max(), strict=True)}), free) for t in STEPS]
-        losses = _summed(rows, w, [nrm.effective(name, p) for p in tried], False)[:, 0]
-        best = tried[int(np.nanargmin(losses))]
-        head = _head(rows, nrm.effective(name, best))
-        (now, n), = _summed(rows, head, [nrm.effective(name, best)], False)
-        if not now / n <= history[-1]:
+        best = {k: tried[k][int(np.nanargmin(v[:, 0]))] for k, v in _summed(rows, w, effective(tried), False).items()}
+        head, now = head_of(best)
+        if not now <= history[-1]:
             break
         params, w = best, head
-        history.append(now / n)
+        history.append(now)
         if history[-2] - history[-1] <= tolerance * history[-2]:
             break
-    discard(rows)
     return w, params, history
 
 
-def predict_gated(windows: DataFrame, w: np.ndarray, name: str, params: dict[str, float]) -> DataFrame:
-    """`windows` with pred in hundredths."""
-    forward, inverse = nrm.gated(**nrm.effective(name, params))
+def fit_gated(windows: DataFrame, name: str = "grevin", free: tuple[str, ...] | None = None, start: dict[str, float] | None = None, rounds: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, dict[str, float], list[float]]:
+    """(head, parameters, losses): a preset's free groups (or the ones given) and a linear head, fitted in turns to the mean squared error in units.
+
+    losses has the error after the first head and after each round, never rising. Frozen groups keep their start. Stops when a round gains less than `tolerance` of the
+    loss. No windows: an error. Windows that don't vary should be left out, since a gate below 1 leaves them a scale of 1 / EPS.
+    """
+    rows = stash(_rows(windows))
+    w, params, history = _in_turns(rows, name, free, start, rounds, tolerance)
+    discard(rows)
+    return w, params[SHARED], history
+
+
+def fit_gated_clusters(windows: DataFrame, name: str = "previn", cluster: str = "cluster_id", free: tuple[str, ...] | None = None, start: dict[str, float] | None = None, rounds: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, dict[str, float], dict[int, dict[str, float]], list[float]]:
+    """(head, shared parameters, each cluster's own, losses): as `fit_gated`, with one head for all windows and the free groups of each cluster trained on its own windows.
+
+    Windows whose cluster is null or negative train the shared parameters, which clusters that aren't known have too; without such windows the shared ones keep their start.
+    A cluster may hold most windows: its sums are added up where they are. More than MOST_CLUSTERS clusters, or no windows: an error.
+    """
+    rows = stash(_rows(windows, cluster))
+    w, params, history = _in_turns(rows, name, free, start, rounds, tolerance)
+    discard(rows)
+    shared = params.pop(SHARED, nrm.preset(name) | (start or {}))
+    return w, shared, params, history
+
+
+def predict_gated(windows: DataFrame, w: np.ndarray, name: str, params: dict[str, float], own: dict[int, dict[str, float]] | None = None, cluster: str = "cluster_id") -> DataFrame:
+    """`windows` with pred in hundredths, by the shared parameters or a cluster's own."""
+    forward, inverse = nrm.of_clusters(name, params, own, cluster) if own else nrm.gated(**nrm.effective(name, params))
     z = windows.withColumn("_z", F.transform("x", lambda v: forward(v.cast("double") / 100)))
     return grams.with_product(z, w, "_z").drop("_z").withColumn("pred", F.transform("pred", lambda v: inverse(v) * 100))

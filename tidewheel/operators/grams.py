@@ -32,7 +32,7 @@ def matrix(col: pa.Array, rows: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
-def _groups(key: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
+def groups(key: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
     """(value, rows) of each value of a key."""
     codes = key.dictionary_encode()
     at = codes.indices.fill_null(-1).to_numpy()
@@ -57,7 +57,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = b.column(0).type
         x, y, s = matrix(b.column(1), b.num_rows), matrix(b.column(2), b.num_rows), b.column(3).to_numpy(zero_copy_only=False)
         x, y = np.c_[x, np.ones(len(x))] * s[:, None], y * s[:, None]
-        for key, at in _groups(b.column(0)):
+        for key, at in groups(b.column(0)):
             a, t = x[at], y[at]
             got = packed(a.T @ a, a.T @ t, float(np.sum(t * t)), float(t.size))
             had = held.get(key)

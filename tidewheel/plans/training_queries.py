@@ -148,6 +148,17 @@ def trained_gates(spark, sf_dir):
     return out
 
 
+@query("jon11_trained_cluster_gates")
+def trained_cluster_gates(spark, sf_dir):
+    """A preset with parameters of each cluster's own, trained under one head: parameters and test loss of two clusters (by the user's id) and of users without one, who have the shared ones."""
+    own = F.when(F.col("series_id") % 3 > 0, F.col("series_id") % 3)
+    train, test = (linear_windows(spark, sf_dir, s).withColumn("cluster_id", own) for s in ("train", "test1"))
+    w, shared, clusters, history = gates.fit_gated_clusters(train, "previn", rounds=3)
+    losses = scored(gates.predict_gated(test, w, "previn", shared, clusters)).groupBy((F.col("series_id") % 3).alias("cluster_id")).agg(F.avg("mse").alias("test_mse"))
+    params = spark.createDataFrame([(k, float(p["gamma"]), float(p["nu"]), history[0], history[-1]) for k, p in {0: shared, **clusters}.items()], "cluster_id long, gamma double, nu double, first_loss double, last_loss double")
+    return losses.join(F.broadcast(params), "cluster_id", "left")
+
+
 # Results that a run wrote --------------------------------------------------------------
 
 
