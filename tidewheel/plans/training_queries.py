@@ -138,25 +138,20 @@ def trained_losses(spark, sf_dir):
 
 @query("nrm11_trained_gates")
 def trained_gates(spark, sf_dir):
-    """Presets of the gated normalization after training: parameters, losses before and after, and the test loss."""
-    train, test = linear_windows(spark, sf_dir, "train"), linear_windows(spark, sf_dir, "test1")
+    """Presets of the gated normalization after training: parameters, losses before and after, and the test loss. `previn` has parameters of each cluster's own (two clusters by the
+    user's id) under one head; users without a cluster have the shared ones."""
+    own = F.when(F.col("series_id") % 3 > 0, F.col("series_id") % 3)
+    train, test = (linear_windows(spark, sf_dir, s).withColumn("cluster_id", own) for s in ("train", "test1"))
     out = None
     for name in ("in", "revin", "cmin", "grevin"):
         w, params, history = gates.fit_gated(train, name, rounds=3)
-        row = scored(gates.predict_gated(test, w, name, params)).agg(F.avg("mse").alias("test_mse")).select(F.lit(name).alias("preset"), *(F.lit(float(params[k])).alias(k) for k in gates.NAMES), F.lit(history[0]).alias("first_loss"), F.lit(history[-1]).alias("last_loss"), "test_mse")
+        row = scored(gates.predict_gated(test, w, name, params)).agg(F.avg("mse").alias("test_mse")).select(F.lit(name).alias("preset"), F.lit(None).cast("long").alias("cluster_id"), *(F.lit(float(params[k])).alias(k) for k in gates.NAMES), F.lit(history[0]).alias("first_loss"), F.lit(history[-1]).alias("last_loss"), "test_mse")
         out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("jon11_trained_cluster_gates")
-def trained_cluster_gates(spark, sf_dir):
-    """A preset with parameters of each cluster's own, trained under one head: parameters and test loss of two clusters (by the user's id) and of users without one, who have the shared ones."""
-    own = F.when(F.col("series_id") % 3 > 0, F.col("series_id") % 3)
-    train, test = (linear_windows(spark, sf_dir, s).withColumn("cluster_id", own) for s in ("train", "test1"))
-    w, shared, clusters, history = gates.fit_gated_clusters(train, "previn", rounds=3)
-    losses = scored(gates.predict_gated(test, w, "previn", shared, clusters)).groupBy((F.col("series_id") % 3).alias("cluster_id")).agg(F.avg("mse").alias("test_mse"))
-    params = spark.createDataFrame([(k, float(p["gamma"]), float(p["nu"]), history[0], history[-1]) for k, p in {0: shared, **clusters}.items()], "cluster_id long, gamma double, nu double, first_loss double, last_loss double")
-    return losses.join(F.broadcast(params), "cluster_id", "left")
+    w, shared, params, history = gates.fit_gated_clusters(train, "previn", rounds=3)
+    losses = scored(gates.predict_gated(test, w, "previn", shared, params)).groupBy(own.alias("cluster_id")).agg(F.avg("mse").alias("test_mse"))
+    table = spark.createDataFrame([(c, *(float(p[k]) for k in gates.NAMES), history[0], history[-1]) for c, p in [(None, shared), *params.items()]], "cluster_id long, " + ", ".join(f"{k} double" for k in (*gates.NAMES, "first_loss", "last_loss")))
+    rows = losses.join(F.broadcast(table.withColumnRenamed("cluster_id", "cluster")), F.col("cluster_id").eqNullSafe(F.col("cluster"))).drop("cluster")
+    return out.unionByName(rows.withColumn("preset", F.lit("previn")))
 
 
 # Results that a run wrote --------------------------------------------------------------
