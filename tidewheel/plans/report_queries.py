@@ -334,8 +334,11 @@ def one_lag(spark, sf_dir):
 
 @query("mdl15_per_user_regression", f"{REG} select series_id, step, round(regr_slope(y, x), 5) as slope, round(regr_intercept(y, x), 2) as intercept from r group by 1, 2")
 def per_user(spark, sf_dir):
+    """As in SQL, a user whose last values are all equal has a slope that isn't a number, and no intercept."""
     fitted = lin.fit_per_series(linear_windows(spark, sf_dir, "train"))
-    return fitted.select("series_id", F.col("step").cast("long").alias("step"), no_minus(F.round("slope", 5)).alias("slope"), no_minus(F.round("intercept", 2)).alias("intercept"))
+    known = F.col("slope").isNotNull()
+    slope, intercept = F.when(known, no_minus(F.round("slope", 5))).otherwise(float("nan")), F.when(known, no_minus(F.round("intercept", 2)))
+    return fitted.select("series_id", F.col("step").cast("long").alias("step"), slope.alias("slope"), intercept.alias("intercept"))
 
 
 @query("mdl10_decomposed_at_start", f"{BASE}, d as (select q.series_id, q.t, sum(x.c) / 24.0 / 100 as pred from q join p x on x.series_id = q.series_id and x.t between q.t - 23 and q.t where split = 'test1' group by 1, 2) select series_id, t, round(pred, 6) as pred from d")
