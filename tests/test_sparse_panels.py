@@ -6,7 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 
+from tidewheel.operators import blocks
+from tidewheel.operators import windows as win
 from tidewheel.plans import model_queries, panel_queries, registry, report_queries, training_queries  # noqa: F401
+from tidewheel.sources import panels as src
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +37,43 @@ def equal(spark, folder, name):
 
 def test_equal_last_values_have_no_slope(spark, folder):
     assert any("nan" in r and "None" in r for r in equal(spark, folder, "mdl15_per_user_regression"))
+
+
+@pytest.mark.parametrize("name", ["jon3_individual_context", "nrm_standard", "nrm11_presets", "mdl17_constant_rule", "mdl10_decomposed_at_start", "mdl15_two_lags_per_user"])
+def test_queries_on_sparse_events_equal_sql(spark, folder, name):
+    equal(spark, folder, name)
+
+
+def shuffled(frame):
+    """Columns of the rows that a plan exchanges by a hash."""
+    return [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_only_known_cells_are_shuffled(spark, folder):
+    panel = src.events_hourly(spark, folder)
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and len(shuffled(panel)) <= 3
+    assert len(shuffled(registry.QUERIES["jon3_individual_context"](spark, folder))) <= 3
+    w = blocks.windows(panel, win.split_ranges(200, [0.6, 0.2, 0.2]), 24, 6, 6)
+    assert "Window" not in w._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("lookback", "horizon", "stride", "size"), [(24, 6, 6, None), (7, 3, 1, 16), (50, 20, 4, 9)])
+def test_windows_of_known_cells_equal_those_of_dense_rows(spark, folder, lookback, horizon, stride, size, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD_CELLS", 3000)
+    panel = src.events_hourly(spark, folder)
+    splits = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])
+    dense = panel.select("*")
+    assert getattr(dense, "known", None) is None
+    got, want = (blocks.windows(p, splits, lookback, horizon, stride, size=size) for p in (panel, dense))
+    rows = lambda df: sorted(map(repr, df.select(*sorted(got.columns)).collect()))
+    assert rows(got) == rows(want) and got.count() > 0
+    assert blocks.windows(panel, [], lookback, horizon).collect() == []
+    assert rows(blocks.windows(blocks.kept(panel), splits, lookback, horizon, stride, size=size)) == rows(want)
+
+
+def test_sums_of_squares_are_exact_or_fail():
+    x = np.array([[3_000_000_000, 0], [1, 2]])
+    assert blocks._squares(x).tolist() == [9 * 10**18, 5]
+    with pytest.raises(OverflowError):
+        blocks._squares(np.array([[3_000_000_000, 3_000_000_000]]))

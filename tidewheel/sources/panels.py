@@ -39,16 +39,31 @@ def resample(frame: DataFrame, unit: str, how: str = "sum") -> DataFrame:
     return frame.groupBy("series_id", "variate", F.date_trunc(unit, "ts").alias("ts")).agg(aggregate(how, F.col("c"), F.col("ts")).alias("c"))
 
 
-def densify(binned: DataFrame, grid: DataFrame, missing: str = "zero") -> DataFrame:
+#: Dates of a block of a dense panel.
+DATES = 256
+
+
+def densify(binned: DataFrame, grid: DataFrame, missing: str = "zero", keys: DataFrame | None = None) -> DataFrame:
     """Every series and variate at every bin of the grid. An absent bin is 0 (`zero`), stays null (`keep`), or fails (`error`).
 
-    The grid has one row for each bin, so it is broadcast to the distinct series; rows then meet by an equi-join.
+    The grid has one row for each bin, so it is broadcast. Only known bins are shuffled: they meet in blocks of dates, whose other dates are filled in where the block is. A null key
+    equals none, so its bins are all absent. `keys` are the distinct (series_id, variate), if they are known from elsewhere, with other columns that every row gets. A panel of zeros and
+    whole numbers carries its known bins, from which windows are cut without its other dates (`blocks.windows`).
     """
-    keys = binned.select("series_id", "variate").distinct().join(F.broadcast(grid))
-    full = keys.join(binned, ["series_id", "variate", "ts"], "left")
-    value = {"zero": F.coalesce("c", F.lit(0)), "keep": F.col("c"), "error": F.coalesce("c", F.raise_error(F.lit("missing value")).cast("long"))}[missing]
-    out = full.select("series_id", "variate", "t", "ts", value.alias("c"))
+    keys = binned.select("series_id", "variate").distinct() if keys is None else keys
+    more = [c for c in keys.columns if c not in ("series_id", "variate")]
+    dates = grid.groupBy(F.floor(F.col("t") / DATES).alias("block")).agg(F.sort_array(F.collect_list(F.struct("t", "ts"))).alias("dates"))
+    known = binned.join(F.broadcast(grid), "ts").select("series_id", "variate", "t", "c").filter("series_id is not null and variate is not null and c is not null")
+    cells = known.select("series_id", "variate", F.floor(F.col("t") / DATES).alias("block"), F.struct("t", "c").alias("cell"), *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in more))
+    every = keys.join(F.broadcast(dates.select("block"))).select("series_id", "variate", "block", F.lit(None).cast(cells.schema["cell"].dataType).alias("cell"), *more)
+    met = cells.unionByName(every).groupBy("series_id", "variate", "block").agg(F.map_from_entries(F.collect_list("cell")).alias("cells"), *(F.max(c).alias(c) for c in more))
+    value = lambda t: F.try_element_at("cells", t)
+    filled = {"zero": lambda v: F.coalesce(v, F.lit(0)), "keep": lambda v: v, "error": lambda v: F.coalesce(v, F.raise_error(F.lit("missing value")).cast("long"))}[missing]
+    rows = met.join(F.broadcast(dates), "block").select("series_id", "variate", F.inline(F.transform("dates", lambda d: F.struct(d["t"].alias("t"), d["ts"].alias("ts"), filled(value(d["t"])).alias("c")))), *more)
+    out = rows.select("series_id", "variate", "t", "ts", "c", *more)
     out.grid = grid
+    if missing == "zero" and dict(binned.dtypes)["c"] == "bigint" and not more:
+        out.known, out.keys = known, keys
     return out
 
 
@@ -56,7 +71,7 @@ def events_hourly(spark: SparkSession, sf_dir: str, how: str = "sum", missing: s
     """Users' event values by hour."""
     events = table(spark, sf_dir, "events")
     rows = events.select(F.col("user_id").alias("series_id"), F.lit(0).alias("variate"), "ts", cents(F.col("value")).alias("c"))
-    return densify(resample(rows, "hour", how), date_grid(events), missing)
+    return densify(resample(rows, "hour", how), date_grid(events), missing, rows.select("series_id", "variate").distinct())
 
 
 def events_hourly_mv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +79,7 @@ def events_hourly_mv(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     base = events.select(F.col("user_id").alias("series_id"), "ts", cents(F.col("value")).alias("c"))
     rows = base.withColumn("variate", F.lit(0)).unionByName(base.withColumn("variate", F.lit(1)).withColumn("c", F.lit(1).cast("long")))
-    return densify(resample(rows, "hour"), date_grid(events))
+    return densify(resample(rows, "hour"), date_grid(events), keys=base.select("series_id").distinct().select("series_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variate")))
 
 
 def ship_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
