@@ -12,7 +12,7 @@ from ..operators import windows as win
 from ..operators.tails import tail_means
 from ..sources import panels as src
 from ..sources.shared import stash
-from .panel_queries import split_panel, split_panel_mv, synthetic_population
+from .panel_queries import spans_of, split_panel, split_panel_mv, synthetic_population
 from .registry import BASE, MV, H, L, M, P, SPLIT_Q, SPLITS, STD, TEST_Q, WINDOWS, query
 
 HOURLY = f"with {P}"
@@ -88,7 +88,7 @@ def metadata(spark, sf_dir):
 
 @query("mdl17_constant_rule", f"with {MV}, {WINDOWS}, {SPLITS}, {SPLIT_Q} select series_id, t, bool_and({STD} / 100 <= 1e-8) as constant, max(case when variate = 0 then c end) as last from q where split = 'test1' group by 1, 2")
 def constant_rule(spark, sf_dir):
-    q = split_panel_mv(spark, sf_dir).filter("split = 'test1'")
+    q = split_panel_mv(spark, sf_dir, "test1")
     return q.groupBy("series_id", "t").agg(F.bool_and(win.std(F.col("n"), F.col("s1"), F.col("s2")) / 100 <= 1e-8).alias("constant"), F.max(F.when(F.col("variate") == 0, F.col("c"))).alias("last"))
 
 
@@ -194,11 +194,11 @@ FUT = "fw as (select series_id, variate, t, count(*) over x as fn, cast(sum(c) o
 FSTD = "sqrt(greatest(cast(fn as double) * cast(f2 as double) - cast(f1 as double) * cast(f1 as double), 0.0)) / cast(fn as double)"
 
 
-def stat_windows(spark, sf_dir):
+def stat_windows(spark, sf_dir, only=None):
     panel = src.events_hourly(spark, sf_dir)
-    w = win.over(1, H)
-    moments = win.with_moments(panel, L).select("*", F.count("c").over(w).alias("fn"), F.sum("c").over(w).alias("f1"), F.sum(F.col("c") * F.col("c")).over(w).alias("f2"))
-    return win.split_queries(moments, win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2]), L, H, H)
+    q = blocks.windows(panel, spans_of(panel, only), L, H, H, past=False)
+    total = lambda f: F.aggregate("y", F.lit(0).cast("long"), lambda a, v: a + f(v))
+    return q.withColumns({"fn": F.size("y").cast("long"), "f1": total(lambda v: v), "f2": total(lambda v: v * v)})
 
 
 @query("agg4_window_moments", f"{BASE}, {FUT} select q.split, q.series_id, q.t, round(cast(s1 as double) / n / 100, 6) as mean, round({STD} / 100, 6) as std, round(cast(f1 as double) / fn / 100, 6) as future_mean, round({FSTD} / 100, 6) as future_std from q join fw on fw.series_id = q.series_id and fw.t = q.t")
@@ -215,10 +215,10 @@ def extremes(spark, sf_dir):
 
 @query("agg6_gamma_statistics", f"""{BASE}, {FUT}, a as (select q.split, ({FSTD} / 100) / {DEV} as alpha, (cast(f1 as double) / fn / 100 - cast(s1 as double) / n / 100) / {DEV} as beta from q join fw on fw.series_id = q.series_id and fw.t = q.t where mx > mn)
 select split, round(avg(alpha), 6) as alpha, round(avg(beta), 6) as beta, count(*) as windows from a group by 1""")
-def gamma(spark, sf_dir):
+def gamma(spark, sf_dir, only=None):
     dev = win.std(F.col("n"), F.col("s1"), F.col("s2")) / 100 + win.EPS
     fdev = win.std(F.col("fn"), F.col("f1"), F.col("f2")) / 100
-    rows = stat_windows(spark, sf_dir).filter("mx > mn").select("split", (fdev / dev).alias("alpha"), ((F.col("f1").cast("double") / F.col("fn") / 100 - F.col("s1").cast("double") / F.col("n") / 100) / dev).alias("beta"))
+    rows = stat_windows(spark, sf_dir, only).filter("mx > mn").select("split", (fdev / dev).alias("alpha"), ((F.col("f1").cast("double") / F.col("fn") / 100 - F.col("s1").cast("double") / F.col("n") / 100) / dev).alias("beta"))
     return rows.groupBy("split").agg(F.round(F.avg("alpha"), 6).alias("alpha"), F.round(F.avg("beta"), 6).alias("beta"), F.count("*").alias("windows"))
 
 
@@ -337,9 +337,9 @@ union all select series_id, t, 'previn', coalesce(nullif(round(i * g + 0.1, 6),
 union all select series_id, t, 'cmin', coalesce(nullif(round(i, 6), 0), 0), coalesce(nullif(round((alpha * i + beta) {_BACKI}, 4), 0), 0) from v""")
 def presets(spark, sf_dir):
     """Presets after one proposed step: `in` is frozen, `revin` and `previn` (with one cluster of its own) move gamma and nu and stay tied, `cmin` starts from the training statistics."""
-    stats = gamma(spark, sf_dir).filter("split = 'train'").first()  # one row
+    stats = gamma(spark, sf_dir, "train").first()  # one row
     start = preset_start(None if stats is None else stats.asDict())
-    q = split_panel(spark, sf_dir).filter("split = 'test1' and mx > mn").withColumn("cluster_id", F.col("series_id") % 3)
+    q = split_panel(spark, sf_dir, only="test1").filter("mx > mn").withColumn("cluster_id", F.col("series_id") % 3)
     both = {n: nrm.of_clusters(n, p, {1: {"gamma": 1.5}} if n == "previn" else {}) for n, p in start.items()}
     x = F.col("c") / 100
     rows = q.select("series_id", "t", F.explode(F.array(*(F.struct(F.lit(n).alias("preset"), f(x).alias("z"), g(f(x)).alias("back")) for n, (f, g) in both.items()))).alias("r"))
