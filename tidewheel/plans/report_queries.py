@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..operators import evaluate as ev
 from ..operators import linear as lin
 from ..operators import report as rep
 from ..operators import sampling as smp
-from ..operators import blocks
+from ..operators import blocks, training
 from ..operators import windows as win
 from ..sources import panels as src
 from .model_queries import PREDICTIONS, evaluated, no_minus, rows_sql, stat_windows, summary_sql
@@ -288,8 +289,8 @@ def id_context(spark, sf_dir):
 # Linear models ---------------------------------------------------------------------
 
 
-def linear_windows(spark, sf_dir, split):
-    panel = src.events_hourly(spark, sf_dir)
+def linear_windows(spark, sf_dir, split, panel=None):
+    panel = src.events_hourly(spark, sf_dir) if panel is None else panel
     spans = win.split_ranges(win.dates_of(panel), [0.6, 0.2, 0.2])
     return blocks.windows(panel, [s for s in spans if s[0] == split], L, H, H).filter("mx > mn")
 
@@ -343,11 +344,11 @@ def per_user(spark, sf_dir):
 
 @query("mdl10_decomposed_at_start", f"{BASE}, d as (select q.series_id, q.t, sum(x.c) / 24.0 / 100 as pred from q join p x on x.series_id = q.series_id and x.t between q.t - 23 and q.t where split = 'test1' group by 1, 2) select series_id, t, round(pred, 6) as pred from d")
 def decomposed(spark, sf_dir):
-    """Residual and trend heads that start at 1/L give the lookback's mean."""
-    q = linear_windows_all(spark, sf_dir)
-    residual, trend = arr.decompose(F.transform("x", lambda v: v.cast("double")))
-    total = F.aggregate(F.zip_with(residual, trend, lambda a, b: a / L + b / L), F.lit(0.0), lambda s, v: s + v)
-    return q.select("series_id", "t", F.round(total / 100, 6).alias("pred"))
+    """Residual and trend heads that start at 1/L give the lookback's mean. Both are linear in the lags, so the two heads are one product."""
+    heads, _ = training.two_heads(L)
+    one = np.r_[np.full(L, 1 / L), 0.0]
+    done = lin.predict_linear(linear_windows_all(spark, sf_dir).filter("series_id is not null").select("series_id", "t", "x"), heads @ np.r_[one, one][:, None])
+    return done.select("series_id", "t", F.round(F.col("pred")[0] / 100, 6).alias("pred"))
 
 
 def linear_windows_all(spark, sf_dir):
@@ -618,7 +619,8 @@ def losses_family(spark, sf_dir):
 
 @query("fam6_linear_models")
 def linear_models(spark, sf_dir):
-    train, test = linear_windows(spark, sf_dir, "train"), linear_windows(spark, sf_dir, "test1")
+    panel = blocks.kept(src.events_hourly(spark, sf_dir))
+    train, test = linear_windows(spark, sf_dir, "train", panel), linear_windows(spark, sf_dir, "test1", panel)
     fits = {"least_squares": lin.fit_linear(train), "ridge": lin.fit_linear(train, 1e6), "adam": lin.fit_adam(train)}
     out = ev.summaries(evaluated(spark, sf_dir), "mse").withColumn("method", F.lit("persistence"))
     for name, w in fits.items():
