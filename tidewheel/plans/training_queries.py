@@ -63,9 +63,9 @@ def _two(by: str) -> str:
 fit as (select {by}step, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) as w1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) as w2, my - (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) * m1 - (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) * m2 as b from m where v1 > 0 and v2 > 0 and v1 * v2 - v12 * v12 > 0.001 * v1 * v2)"""
 
 
-def two_lags(spark, sf_dir, split):
+def two_lags(spark, sf_dir, split, panel=None):
     """Windows whose lookback is their last two values."""
-    return linear_windows(spark, sf_dir, split).withColumn("x", F.slice("x", L - 1, 2))
+    return linear_windows(spark, sf_dir, split, panel).withColumn("x", F.slice("x", L - 1, 2))
 
 
 @query("mdl7_two_lags", f"{BASE}, {_LAGS}, {_two('')} select step, round(avg(power((y - w1 * x1 - w2 * x2 - b) / 100, 2)), 3) as mse, count(*) as rows from r join fit using (step) where split = 'test1' group by 1")
@@ -77,18 +77,20 @@ def central_two_lags(spark, sf_dir):
 @query("mdl15_two_lags_per_user", f"{BASE}, {_LAGS}, {_two('series_id, ')} select r.series_id, round(avg(power((y - w1 * x1 - w2 * x2 - b) / 100, 2)), 3) as mse, count(*) as rows from r join fit using (series_id, step) where split = 'test1' group by 1")
 def users_two_lags(spark, sf_dir):
     """Each user's own least squares, for users whose two lags aren't collinear."""
-    train = two_lags(spark, sf_dir, "train")
+    panel = blocks.kept(src.events_hourly(spark, sf_dir))
+    train = two_lags(spark, sf_dir, "train", panel)
     a, b = F.element_at("x", 2).cast("double"), F.element_at("x", 1).cast("double")
     lags = train.groupBy("series_id").agg(F.covar_pop(a, a).alias("v1"), F.covar_pop(a, b).alias("v12"), F.covar_pop(b, b).alias("v2"))
     well = lags.filter("v1 > 0 and v2 > 0 and v1 * v2 - v12 * v12 > 0.001 * v1 * v2").select("series_id")
-    done = lin.predict_users(two_lags(spark, sf_dir, "test1").join(well, "series_id", "left_semi"), lin.fit_users(train))
+    done = lin.predict_users(two_lags(spark, sf_dir, "test1", panel).join(well, "series_id", "left_semi"), lin.fit_users(train))
     return scored(done).groupBy("series_id").agg(F.round(F.avg("mse"), 3).alias("mse"), F.count("*").alias("rows"))
 
 
 @query("fam7_all_lags")
 def scopes_all_lags(spark, sf_dir):
     """One head for all users against one a user, on all lags."""
-    train, test = linear_windows(spark, sf_dir, "train"), linear_windows(spark, sf_dir, "test1")
+    panel = blocks.kept(src.events_hourly(spark, sf_dir))
+    train, test = linear_windows(spark, sf_dir, "train", panel), linear_windows(spark, sf_dir, "test1", panel)
     central = ev.summaries(scored(lin.predict_linear(test, lin.fit_linear(train))), "mse").withColumn("scope", F.lit("central"))
     own = scored(lin.predict_users(test, lin.fit_users(train, ridge=1e6)).filter("pred is not null"))
     return central.unionByName(ev.summaries(own, "mse").withColumn("scope", F.lit("per_user")))
@@ -123,7 +125,8 @@ def composed_model(spark, sf_dir):
 @query("fam5_trained_losses")
 def trained_losses(spark, sf_dir):
     """A head trained on each of the five losses, scored by all of them: quadratic ones from Gram matrices, absolute ones by passes over the windows."""
-    train, test = linear_windows(spark, sf_dir, "train"), linear_windows(spark, sf_dir, "test1")
+    panel = blocks.kept(src.events_hourly(spark, sf_dir))
+    train, test = linear_windows(spark, sf_dir, "train", panel), linear_windows(spark, sf_dir, "test1", panel)
     out = None
     for loss in ev.LOSSES:
         if loss in training.ABSOLUTE:
@@ -141,7 +144,8 @@ def trained_gates(spark, sf_dir):
     """Presets of the gated normalization after training: parameters, losses before and after, and the test loss. `previn` has parameters of each cluster's own (two clusters by the
     user's id) under one head; users without a cluster have the shared ones."""
     own = F.when(F.col("series_id") % 3 > 0, F.col("series_id") % 3)
-    train, test = (linear_windows(spark, sf_dir, s).withColumn("cluster_id", own) for s in ("train", "test1"))
+    panel = blocks.kept(src.events_hourly(spark, sf_dir))
+    train, test = (linear_windows(spark, sf_dir, s, panel).withColumn("cluster_id", own) for s in ("train", "test1"))
     out = None
     for name in ("in", "revin", "cmin", "grevin"):
         w, params, history = gates.fit_gated(train, name, rounds=3)
