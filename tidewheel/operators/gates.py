@@ -33,14 +33,17 @@ def _rows(windows: DataFrame, cluster: str | None = None) -> DataFrame:
     return windows.select(key.cast("long").alias("key"), units("x").alias("x"), units("y").alias("y"), (F.col("s1").cast("double") / F.col("n") / 100).alias("m"), (1 / (std(F.col("n"), F.col("s1"), F.col("s2")) / 100 + EPS)).alias("inv"))
 
 
-def terms(p: dict[str, float], w: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, inv: np.ndarray) -> tuple[float, np.ndarray]:
-    """(sum of squared errors, its gradient by NAMES) of windows under effective parameters."""
+def terms(p: dict[str, float], w: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, inv: np.ndarray, slopes: bool = True, xw: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """(sum of squared errors, its gradient by NAMES or, without `slopes`, nothing) of windows under effective parameters. `xw` is x times the head's weights, if it is known."""
     m, more = m[:, None], inv[:, None] - 1
     ub, ud = 1 + p["b"] * more, 1 + p["d"] * more
-    low, total = (x - p["a"] * m) @ w[:-1], w[:-1].sum(0)
+    total = w[:-1].sum(0)
+    low = (x @ w[:-1] if xw is None else xw) - p["a"] * m * total
     z = p["gamma"] * low * ub + p["nu"] * total + w[-1]
     out = (p["alpha"] * z + p["beta"]) / ud
     e = 2 * (out + p["c"] * m - y)
+    if not slopes:
+        return float(np.sum(e * e) / 4), np.zeros(0)
     s = p["alpha"] / ud
     parts = (-s * p["gamma"] * m * ub * total, s * p["gamma"] * more * low, m, -out * more / ud, s * low * ub, s * total, z / ud, 1 / ud)
     return float(np.sum(e * e) / 4), np.array([float(np.sum(e * part)) for part in parts])
@@ -64,20 +67,17 @@ def _summed(rows: DataFrame, w: np.ndarray, sets: dict[int, list[dict[str, float
         w, sets = held.value
         totals: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                x, y = grams.matrix(b.column(1), b.num_rows), grams.matrix(b.column(2), b.num_rows)
-                m, inv = b.column(3).to_numpy(), b.column(4).to_numpy()
-                for key, at in grams.groups(b.column(0)):
-                    got = []
-                    for p in sets[key]:
-                        loss, g = terms(p, w, x[at], y[at], m[at], inv[at])
-                        got.append(np.r_[loss, g, y[at].size] if slopes else np.r_[loss, y[at].size])
-                    totals[key] = totals.get(key, 0.0) + np.array(got)
+            for key, x, y, (m, inv) in grams.windows_of(b):
+                xw, got = x @ w[:-1], []
+                for p in sets[key]:
+                    loss, g = terms(p, w, x, y, m, inv, slopes, xw)
+                    got.append(np.r_[loss, g, y.size])
+                totals[key] = totals.get(key, 0.0) + np.array(got)
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([t.tobytes() for t in totals.values()], pa.binary()), pa.array([0] * len(totals), pa.int32())], ["key", "packed", "lags"])
 
     try:
-        got = grams.tree(rows.select("key", "x", "y", "m", "inv").mapInArrow(run, "key long, packed binary, lags int")).collect()  # one row a key
+        got = grams.tree(rows.mapInArrow(run, "key long, packed binary, lags int"), grams.levels_for(sum(len(v) for v in sets.values()) * (len(NAMES) + 2))).collect()  # one row a key
     finally:
         held.unpersist()
     return {r.key: np.frombuffer(r.packed).reshape(len(sets[r.key]), -1) for r in got}
@@ -85,16 +85,25 @@ def _summed(rows: DataFrame, w: np.ndarray, sets: dict[int, list[dict[str, float
 
 def _head(rows: DataFrame, params: dict[int, dict[str, float]]) -> np.ndarray:
     """The head of least squared error over all windows, under each key's effective parameters."""
-    if len(params) == 1:
-        (p,) = params.values()
-        held = rows.withColumns({k: F.lit(float(p[k])) for k in NAMES})
-    else:
-        table = rows.sparkSession.createDataFrame([(k, *(float(p[n]) for n in NAMES)) for k, p in params.items()], "key long, " + ", ".join(f"{n} double" for n in NAMES))
-        held = rows.join(F.broadcast(table), "key")  # MOST_CLUSTERS rows at most
-    gate = lambda g: 1 + F.col(g) * (F.col("inv") - 1)
-    zx = F.transform("x", lambda v: (v - F.col("a") * F.col("m")) * gate("b") * F.col("gamma") + F.col("nu"))
-    zy = F.transform("y", lambda v: ((v - F.col("c") * F.col("m")) * gate("d") - F.col("beta")) / F.col("alpha"))
-    got = grams.sums(held.select(F.lit(0).alias("key"), zx.alias("zx"), zy.alias("zy"), (F.col("alpha") / gate("d")).alias("s"))).first()
+    held = rows.sparkSession.sparkContext.broadcast(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, lags = None, 0
+        for b in batches:
+            for key, x, y, (m, inv) in grams.windows_of(b):
+                p, m, more, lags = held.value[key], m[:, None], inv[:, None] - 1, x.shape[1] + 1
+                s = p["alpha"] / (1 + p["d"] * more)
+                zx = np.c_[(x - p["a"] * m) * (1 + p["b"] * more) * p["gamma"] + p["nu"], np.ones(len(x))] * s
+                zy = ((y - p["c"] * m) * (1 + p["d"] * more) - p["beta"]) / p["alpha"] * s
+                got = grams.packed(zx.T @ zx, zx.T @ zy, float(np.sum(zy * zy)), float(zy.size))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([lags], pa.int32())], ["key", "packed", "lags"])
+
+    try:
+        got = grams.tree(rows.mapInArrow(run, "key int, packed binary, lags int")).first()
+    finally:
+        held.unpersist()
     xx, xy, _ = grams.unpacked(np.frombuffer(got.packed), got.lags, 2)
     return linear.solve(xx, xy)
 
@@ -154,7 +163,7 @@ def fit_gated(windows: DataFrame, name: str = "grevin", free: tuple[str, ...] |
     losses has the error after the first head and after each round, never rising. Frozen groups keep their start. Stops when a round gains less than `tolerance` of the
     loss. No windows: an error. Windows that don't vary should be left out, since a gate below 1 leaves them a scale of 1 / EPS.
     """
-    rows = stash(_rows(windows))
+    rows = stash(grams.window_blocks(_rows(windows)))
     w, params, history = _in_turns(rows, name, free, start, rounds, tolerance)
     discard(rows)
     return w, params[SHARED], history
@@ -166,7 +175,7 @@ def fit_gated_clusters(windows: DataFrame, name: str = "previn", cluster: str =
     Windows whose cluster is null or negative train the shared parameters, which clusters that aren't known have too; without such windows the shared ones keep their start.
     A cluster may hold most windows: its sums are added up where they are. More than MOST_CLUSTERS clusters, or no windows: an error.
     """
-    rows = stash(_rows(windows, cluster))
+    rows = stash(grams.window_blocks(_rows(windows, cluster)))
     w, params, history = _in_turns(rows, name, free, start, rounds, tolerance)
     discard(rows)
     shared = params.pop(SHARED, nrm.preset(name) | (start or {}))

@@ -12,6 +12,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Bytes of matrices that a task holds before it sends them on, and matrices that one task of the tree's first level adds up to one.
 HELD_BYTES, FAN = 64 << 20, 32
+#: Numbers of a block of windows in kept tables, and of a slice of windows in one product.
+BLOCK_NUMBERS, SLICE_NUMBERS = 1 << 15, 1 << 19
+#: Numbers of a vector that is small: a thousand tasks send 16 MB.
+SMALL = 1 << 11
 
 
 def packed(xx: np.ndarray, xy: np.ndarray, *scalars: float) -> np.ndarray:
@@ -32,6 +36,40 @@ def matrix(col: pa.Array, rows: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in slices whose lists in `column` have some SLICE_NUMBERS numbers at most."""
+    for b in batches:
+        width = len(b.column(column)[0]) if b.num_rows else 0
+        step = max(1, SLICE_NUMBERS // max(1, width))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
+def windows_of(b: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, x, y, numbers) of each block of a batch of `window_blocks`; numbers has a row for each number of a window."""
+    for i in range(b.num_rows):
+        n, lags, steps = (b.column(c)[i].as_py() for c in (1, 2, 3))
+        v = np.frombuffer(b.column(4)[i].as_buffer(), float)
+        yield b.column(0)[i].as_py(), v[: n * lags].reshape(n, lags), v[n * lags : n * (lags + steps)].reshape(n, steps), v[n * (lags + steps) :].reshape(-1, n)
+
+
+def window_blocks(rows: DataFrame) -> DataFrame:
+    """(key, n, lags, steps, packed) of rows (key, x, y, numbers...): many windows of a key as one block of bytes, for tables that are read again and again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            x, y = matrix(b.column(1), b.num_rows), matrix(b.column(2), b.num_rows)
+            more = [b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(3, b.num_columns)]
+            step = max(1, BLOCK_NUMBERS // (x.shape[1] + y.shape[1] + len(more)))
+            for key, at in groups(b.column(0)):
+                for k in range(0, len(at), step):
+                    own = at[k : k + step]
+                    data = np.concatenate([x[own].ravel(), y[own].ravel(), *(v[own] for v in more)]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([key], b.column(0).type), *(pa.array([v], pa.int32()) for v in (len(own), x.shape[1], y.shape[1])), pa.array([data], pa.binary())], ["key", "n", "lags", "steps", "packed"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n int, lags int, steps int, packed binary")
+
+
 def groups(key: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
     """(value, rows) of each value of a key."""
     codes = key.dictionary_encode()
@@ -51,9 +89,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of each key's rows (key, zx, zy, s): of [x 1] and y, weighted by s squared, with the squares of y and the number of targets."""
     held: dict[object, tuple[np.ndarray, int]] = {}
     kind, size = None, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in slices(batches, 1):
         kind = b.column(0).type
         x, y, s = matrix(b.column(1), b.num_rows), matrix(b.column(2), b.num_rows), b.column(3).to_numpy(zero_copy_only=False)
         x, y = np.c_[x, np.ones(len(x))] * s[:, None], y * s[:, None]
@@ -97,6 +133,11 @@ def tree(parts: DataFrame, levels: int = 2) -> DataFrame:
     return out.repartition("key").sortWithinPartitions("key").mapInArrow(_added, schema)
 
 
+def levels_for(numbers: int) -> int:
+    """Levels of a tree that adds vectors of so many numbers: small ones of all tasks are added in one task, without a first level."""
+    return 1 if numbers <= SMALL else 2
+
+
 def sums(rows: DataFrame, levels: int = 2) -> DataFrame:
     """(key, packed, lags) of rows (key, zx, zy, s): see `_partial`. Nothing grows with the number of rows of a key; a key with most rows is added up where they are."""
     kind = rows.schema["key"].dataType.simpleString()
@@ -117,7 +158,7 @@ def with_product(rows: DataFrame, weights: np.ndarray, x: str | Column = "x", ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
-        for b in batches:
+        for b in slices(batches, -1):
             z = matrix(b.column(b.num_columns - 1), b.num_rows) @ w[:-1] + w[-1] if b.num_rows else np.zeros((0, w.shape[1]))
             at = pa.array(np.arange(b.num_rows + 1) * w.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(at, pa.array(z.ravel()))], schema=pa.schema([*(b.schema.field(i) for i in range(b.num_columns - 1)), pa.field(out, pa.list_(pa.float64()))]))

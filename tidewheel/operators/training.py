@@ -101,40 +101,40 @@ GRAM_BYTES = 1 << 30
 class Scattered:
     """A batch whose windows stay on executors: each loss and gradient is one pass, with the weights sent along and the sums added in a tree.
 
-    rows: (zx, zy, s), the error of a step being s |x W + b - y|. With `smooth` a small error counts as its square, so that the loss has a gradient everywhere:
-    sqrt(e^2 + smooth^2) - smooth.
+    rows: (zx, zy, s), or their `grams.window_blocks`, which passes over kept tables should read; the error of a step is s |x W + b - y|, with x divided by `scale`. With `smooth` a small
+    error counts as its square, so that the loss has a gradient everywhere: sqrt(e^2 + smooth^2) - smooth.
     """
 
-    def __init__(self, rows: DataFrame, smooth: float = 0.0):
-        self.rows, self.smooth, self._known = rows.select(F.lit(0).alias("key"), "zx", "zy", F.col("s").cast("double").alias("s")), smooth, None
+    def __init__(self, rows: DataFrame, smooth: float = 0.0, scale: np.ndarray | None = None):
+        self.rows = rows if "packed" in rows.columns else grams.window_blocks(rows.select(F.lit(0).alias("key"), "zx", "zy", F.col("s").cast("double").alias("s")))
+        self.smooth, self.scale, self._known = smooth, scale, None
 
     @property
     def xy(self) -> np.ndarray:
         """Zeros of the weights' shape."""
-        first = self.rows.first()
-        return np.zeros((len(first.zx) + 1, len(first.zy)))
+        first = self.rows.select("lags", "steps").first()
+        return np.zeros((first.lags + 1, first.steps))
 
     def both(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         if self._known is not None and np.array_equal(self._known[0], w):
             return self._known[1:]
-        smooth, held = self.smooth, self.rows.sparkSession.sparkContext.broadcast(w.copy())
+        smooth, scale, held = self.smooth, self.scale, self.rows.sparkSession.sparkContext.broadcast(w.copy())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, w = None, held.value
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y, s = grams.matrix(b.column(1), b.num_rows), grams.matrix(b.column(2), b.num_rows), b.column(3).to_numpy(zero_copy_only=False)[:, None]
-                e = (x @ w[:-1] + w[-1] - y) * s
-                size = np.sqrt(e * e + smooth * smooth)
-                slope = (np.sign(e) if not smooth else e / size) * s
-                got = np.concatenate([(x.T @ slope).ravel(), slope.sum(0), [float(np.sum(size - smooth)), float(e.size)]])
-                total = got if total is None else total + got
+                for _, x, y, (s,) in grams.windows_of(b):
+                    x, s = x if scale is None else x / scale, s[:, None]
+                    e = (x @ w[:-1] + w[-1] - y) * s
+                    size = np.sqrt(e * e + smooth * smooth)
+                    slope = (np.sign(e) if not smooth else e / size) * s
+                    got = np.concatenate([(x.T @ slope).ravel(), slope.sum(0), [float(np.sum(size - smooth)), float(e.size)]])
+                    total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int32())], ["key", "packed", "lags"])
 
         try:
-            got = grams.tree(self.rows.mapInArrow(run, "key int, packed binary, lags int")).first()
+            got = grams.tree(self.rows.mapInArrow(run, "key int, packed binary, lags int"), grams.levels_for(w.size)).first()
         finally:
             held.unpersist()
         if got is None:
@@ -150,7 +150,7 @@ class Scattered:
         return self.both(w)[1]
 
     def __add__(self, other: Scattered) -> Scattered:
-        return Scattered(self.rows.unionByName(other.rows), self.smooth)
+        return Scattered(self.rows.unionByName(other.rows), self.smooth, self.scale)
 
 
 def error_rows(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0) -> DataFrame:
@@ -167,10 +167,10 @@ def scattered_batches(windows: DataFrame, normalization: str = "identity", loss:
     """One `Scattered` for each value of `batch` (`sized_batches`), or one of all windows. Rows are written once, sorted by batch, so a batch reads its own row groups."""
     rows = error_rows(windows, normalization, loss, floor)
     if "batch" not in rows.columns:
-        return [Scattered(stash(rows))]
-    kept = stash(rows.repartitionByRange("batch").sortWithinPartitions("batch"))
-    last = kept.agg(F.max("batch")).first()[0]
-    return [] if last is None else [Scattered(kept.filter(F.col("batch") == b)) for b in range(last + 1)]
+        return [Scattered(stash(Scattered(rows).rows))]
+    kept = stash(grams.window_blocks(rows.repartitionByRange("batch").sortWithinPartitions("batch").select(F.col("batch").alias("key"), "zx", "zy", F.col("s").cast("double").alias("s"))))
+    last = kept.agg(F.max("key")).first()[0]
+    return [] if last is None else [Scattered(kept.filter(F.col("key") == b).withColumn("key", F.lit(0))) for b in range(last + 1)]
 
 
 def minimized(batch: Scattered | Grams, start: np.ndarray, rounds: int = 60, memory: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
@@ -220,13 +220,12 @@ def fit_absolute(windows: DataFrame, normalization: str = "identity", loss: str
         raise ValueError("no windows to fit on")
     scale = np.sqrt(np.maximum(np.diag(first[0].xx), 1e-300) / max(first[0].xx[-1, -1], 1e-300))
     w = np.linalg.lstsq(first[0].xx / np.outer(scale, scale), first[0].xy / scale[:, None], rcond=None)[0] / scale[:, None]
-    rows = stash(error_rows(windows, normalization, loss, floor))
-    scaled = rows.withColumn("zx", F.transform("zx", lambda v, i: v / F.element_at(F.lit(scale[:-1].tolist()), i + 1)))
+    rows = stash(Scattered(error_rows(windows, normalization, loss, floor)).rows)
     start, history = w * scale[:, None], []
     start[-1] = w[-1]
-    least = Scattered(scaled).loss(start)
+    least = Scattered(rows, 0.0, scale[:-1]).loss(start)
     for share in smooth:
-        start, got = minimized(Scattered(scaled, share * max(least, 1e-12)), start, rounds)
+        start, got = minimized(Scattered(rows, share * max(least, 1e-12), scale[:-1]), start, rounds)
         history += got
     discard(rows)
     out = start / scale[:, None]
