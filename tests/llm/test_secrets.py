@@ -131,3 +131,66 @@ def test_calibration(shift):
     labels = (r.random(20000) < 1 / (1 + np.exp(-(0.5 * z + shift)))).astype(float)
     a, b = ss.calibrated(z, labels)
     assert abs(a - 0.5) < 0.05 and abs(b - shift) < 0.1
+
+
+def test_all_candidates_are_examples(spark, monkeypatch):
+    r = random.Random(6)
+    chars = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    texts = [f"é {chars(9)}X é {chars(30)} {chars(9)}X" for _ in range(2500)] + ["y" * 300 + "1", "z1" * 3000 + " é" * 20 + chars(900)]
+    want = set()
+    for t in texts:
+        raw = t.encode()
+        found = [m for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{8,}", raw) if len(m[0]) >= 16 or re.search(rb"[0-9]", m[0])]
+        for m in found:
+            lo = max(0, m.start() - 24)
+            hexes = any(m.start() < b and m.end() > a for a, b in ((x.start(), x.end()) for x in re.finditer(rb"[0-9a-f]{24,}", raw)))
+            want.add((raw[lo : m.end() + 8], m.start() - lo, m.end() - lo, 4 if hexes else 0))
+    given_texts = given(spark, [*texts, *texts[:50], None])
+    rows = ss.examples(given_texts)
+    assert len(want) > 7000 and sorted(tuple(x) for x in rows.collect()) == sorted(want)
+    # each of them is in a share or held out, and windows beyond POSITIONS go in pieces, wherever tasks begin and end
+    monkeypatch.setattr(ss, "EPOCHS", 1)
+    monkeypatch.setattr(ss, "SHARE_BYTES", 1 << 16)
+    kept, real = [], ss.stash
+
+    def stash(df):
+        out = real(df)
+        if "own" in out.columns:
+            kept.append(out.selectExpr("explode(own) as x").select("x.w", "x.s", "x.e", "x.bits").collect())
+        if "z" in out.columns:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(ss, "stash", stash)
+    one, other = ss.train(rows), ss.train(rows.repartition(7))
+    used = {tuple(x) for x in kept[0]}
+    assert used < want and len(used) + kept[1] == len(want) and 0.2 < kept[1] / len(want) < 0.3
+    assert all(np.array_equal(getattr(one, k), getattr(other, k)) for k in ("table", "bias", "out")) and np.isfinite(one.threshold[2])
+
+
+@pytest.mark.parametrize("hidden", [False, True])
+def test_gradient_in_pieces_equals_that_of_a_batch(monkeypatch, hidden):
+    net, r = network(3), np.random.default_rng(3)
+    data, labels = r.integers(40, 140, 400).astype(np.uint8), np.array([0, 1, 0.0])
+    for lo, s, e, hi in ((0, 24, 300, 308), (10, 10, 70, 70), (5, 29, 45, 53)):
+        x, part = ss._padded(data, *(np.array([v]) for v in (lo, s, e, hi)))
+        x[:, 2 : 2 + part.shape[1]][hidden & (part == 1)] = 0
+        want = ss.gradient(net, x, part, np.array([float(e - s)]), labels[None], np.array([0.25]))
+        monkeypatch.setattr(ss, "POSITIONS", 17)
+        got = ss.gradient_in_pieces(net, data, lo, s, e, hi, labels, 0.25, hidden)
+        monkeypatch.undo()
+        assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_calibration_and_ranks_over_all_rows(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    z = r.normal(size=(3000, 3)).round(2)
+    bits = sum((r.random(3000) < 1 / (1 + np.exp(-2 * z[:, k] + k))).astype(int) << k for k in range(3))
+    held = spark.createDataFrame([(int(b), x.tolist()) for b, x in zip(bits, z, strict=True)], "bits int, z array<double>").repartition(5)
+    got = ss.calibrate(held, [0, 2])
+    assert np.allclose(got, [ss.calibrated(z[:, k], ((bits >> k) & 1).astype(float)) for k in (0, 2)])
+    monkeypatch.setattr(ss, "FEW", 5)
+    monkeypatch.setattr(ss, "BINS", 7)
+    for x in (z[:, 1], np.r_[z[:5, 1], np.full(200, 0.25), 1e9, -1e-300]):
+        values = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+        assert [ss.ranked(values, m) for m in (0, 3, len(x) // 2, len(x) - 1)] == [np.sort(x)[m] for m in (0, 3, len(x) // 2, len(x) - 1)]
