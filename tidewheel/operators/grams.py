@@ -12,10 +12,10 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Bytes of matrices that a task holds before it sends them on, and matrices that one task of the tree's first level adds up to one.
 HELD_BYTES, FAN = 64 << 20, 32
-#: Numbers of a block of windows in kept tables, and of a slice of windows in one product.
-BLOCK_NUMBERS, SLICE_NUMBERS = 1 << 15, 1 << 19
-#: Numbers of a vector that is small: a thousand tasks send 16 MB.
-SMALL = 1 << 11
+#: Numbers of a block of windows in kept tables, and of a slice of windows in one product. Spark reads thousands of blocks at a time (4096 rows of a file, 10000 for a Python worker), so a block is small.
+BLOCK_NUMBERS, SLICE_NUMBERS = 1 << 10, 1 << 19
+#: Numbers of a vector that is small: a thousand tasks send 32 MB.
+SMALL = 1 << 12
 
 
 def packed(xx: np.ndarray, xy: np.ndarray, *scalars: float) -> np.ndarray:
@@ -46,30 +46,53 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 
 def windows_of(b: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, x, y, numbers) of each block of a batch of `window_blocks`; numbers has a row for each number of a window."""
-    for i in range(b.num_rows):
-        n, lags, steps = (b.column(c)[i].as_py() for c in (1, 2, 3))
-        v = np.frombuffer(b.column(4)[i].as_buffer(), float)
-        yield b.column(0)[i].as_py(), v[: n * lags].reshape(n, lags), v[n * lags : n * (lags + steps)].reshape(n, steps), v[n * (lags + steps) :].reshape(-1, n)
+    """(key, x, y, numbers) of a batch of `window_blocks`, in slices of some SLICE_NUMBERS numbers: blocks of a key are joined. numbers has a row for each number of a window."""
+    n, lags, steps = (b.column(c).to_numpy() for c in (1, 2, 3))
+    for key, at in groups(b.column(0)):
+        cuts = np.flatnonzero((np.diff(lags[at]) != 0) | (np.diff(steps[at]) != 0)) + 1
+        for part in np.split(at, cuts):
+            most = max(len(b.column(4)[int(part[0])].as_buffer()) // int(n[part[0]]) * int(n[part].max()) // 8, 1)
+            step = max(1, SLICE_NUMBERS // most)
+            for k in range(0, len(part), step):
+                own = part[k : k + step]
+                v = np.concatenate([np.frombuffer(b.column(4)[int(i)].as_buffer(), float) for i in own]).reshape(int(n[own].sum()), -1)
+                x, y = int(lags[own[0]]), int(steps[own[0]])
+                yield key, v[:, :x], v[:, x : x + y], v[:, x + y :].T
 
 
 def window_blocks(rows: DataFrame) -> DataFrame:
-    """(key, n, lags, steps, packed) of rows (key, x, y, numbers...): many windows of a key as one block of bytes, for tables that are read again and again."""
+    """(key, n, lags, steps, packed) of rows (key, x, y, numbers...): some BLOCK_NUMBERS numbers of a key's windows, one after the other, as one block of bytes, for tables that are read again and again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             x, y = matrix(b.column(1), b.num_rows), matrix(b.column(2), b.num_rows)
-            more = [b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(3, b.num_columns)]
-            step = max(1, BLOCK_NUMBERS // (x.shape[1] + y.shape[1] + len(more)))
-            for key, at in groups(b.column(0)):
-                for k in range(0, len(at), step):
-                    own = at[k : k + step]
-                    data = np.concatenate([x[own].ravel(), y[own].ravel(), *(v[own] for v in more)]).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([key], b.column(0).type), *(pa.array([v], pa.int32()) for v in (len(own), x.shape[1], y.shape[1])), pa.array([data], pa.binary())], ["key", "n", "lags", "steps", "packed"])
+            whole = np.column_stack([x, y, *(b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in range(3, b.num_columns))])
+            step = max(1, BLOCK_NUMBERS // whole.shape[1])
+            parts = [(key, at[k : k + step]) for key, at in groups(b.column(0)) for k in range(0, len(at), step)]
+            shape = [pa.array([v] * len(parts), pa.int32()) for v in (x.shape[1], y.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([key for key, _ in parts], b.column(0).type), pa.array([len(at) for _, at in parts], pa.int32()), *shape, pa.array([whole[at].tobytes() for _, at in parts], pa.binary())], ["key", "n", "lags", "steps", "packed"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n int, lags int, steps int, packed binary")
 
 
+def block_sums(rows: DataFrame) -> DataFrame:
+    """`sums` of kept `window_blocks` weighted by each of a window's numbers in turn: (key, packed, lags), key is the number's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        lags = 0
+        for b in batches:
+            for _, x, y, numbers in windows_of(b):
+                x, lags = np.c_[x, np.ones(len(x))], x.shape[1] + 1
+                for i, s in enumerate(numbers):
+                    a, t = x * s[:, None], y * s[:, None]
+                    held[i] = held.get(i, 0.0) + packed(a.T @ a, a.T @ t, float(np.sum(t * t)), float(t.size))
+        if held:
+            yield _batch(list(held), list(held.values()), [lags] * len(held), pa.int32())
+
+    return tree(rows.mapInArrow(run, "key int, packed binary, lags int"))
+
+
 def groups(key: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
     """(value, rows) of each value of a key."""
     codes = key.dictionary_encode()

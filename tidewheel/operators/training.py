@@ -6,8 +6,9 @@ is `batches` matrices of (lags + 1) x (lags + 1 + horizon) numbers, whatever the
 
 from __future__ import annotations
 
+import itertools
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grams
+from . import grams, linear
 from . import normalize as nrm
 from ..sources.shared import discard, stash
 from .windows import EPS, ranked, std
@@ -96,18 +97,20 @@ def sized_batches(windows: DataFrame, size: int, seed: int = 0, key: tuple[str,
 
 #: Bytes of Gram matrices that the driver takes at most.
 GRAM_BYTES = 1 << 30
+#: Numbers of second derivatives that a task sends at most; a larger head is fitted by gradients alone.
+CURVES = 1 << 17
 
 
 class Scattered:
     """A batch whose windows stay on executors: each loss and gradient is one pass, with the weights sent along and the sums added in a tree.
 
     rows: (zx, zy, s), or their `grams.window_blocks`, which passes over kept tables should read; the error of a step is s |x W + b - y|, with x divided by `scale`. With `smooth` a small
-    error counts as its square, so that the loss has a gradient everywhere: sqrt(e^2 + smooth^2) - smooth.
+    error counts as its square, so that the loss has a gradient everywhere: sqrt(e^2 + smooth^2) - smooth. `number` tells which of the blocks' numbers is s.
     """
 
-    def __init__(self, rows: DataFrame, smooth: float = 0.0, scale: np.ndarray | None = None):
+    def __init__(self, rows: DataFrame, smooth: float = 0.0, scale: np.ndarray | None = None, number: int = 0):
         self.rows = rows if "packed" in rows.columns else grams.window_blocks(rows.select(F.lit(0).alias("key"), "zx", "zy", F.col("s").cast("double").alias("s")))
-        self.smooth, self.scale, self._known = smooth, scale, None
+        self.smooth, self.scale, self.number, self._known = smooth, scale, number, None
 
     @property
     def xy(self) -> np.ndarray:
@@ -115,34 +118,49 @@ class Scattered:
         first = self.rows.select("lags", "steps").first()
         return np.zeros((first.lags + 1, first.steps))
 
-    def both(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        if self._known is not None and np.array_equal(self._known[0], w):
-            return self._known[1:]
-        smooth, scale, held = self.smooth, self.scale, self.rows.sparkSession.sparkContext.broadcast(w.copy())
+    def _added(self, w: np.ndarray, curves: bool) -> np.ndarray:
+        """Sums over all windows, as one vector: the gradient, (with `curves`) each step's second derivatives, each step's losses and the number of windows."""
+        smooth, scale, number, held = self.smooth, self.scale, self.number, self.rows.sparkSession.sparkContext.broadcast(w.copy())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, w = None, held.value
+            upper = np.triu_indices(len(w))
             for b in batches:
-                for _, x, y, (s,) in grams.windows_of(b):
-                    x, s = x if scale is None else x / scale, s[:, None]
-                    e = (x @ w[:-1] + w[-1] - y) * s
+                for _, x, y, numbers in grams.windows_of(b):
+                    x, s = np.c_[x if scale is None else x / scale, np.ones(len(x))], numbers[number][:, None]
+                    e = (x @ w - y) * s
                     size = np.sqrt(e * e + smooth * smooth)
                     slope = (np.sign(e) if not smooth else e / size) * s
-                    got = np.concatenate([(x.T @ slope).ravel(), slope.sum(0), [float(np.sum(size - smooth)), float(e.size)]])
+                    bend = smooth * smooth / size**3 * s * s if curves else None
+                    second = [((x * c[:, None]).T @ x)[upper] for c in bend.T] if curves else []
+                    got = np.concatenate([(x.T @ slope).ravel(), *second, np.sum(size - smooth, 0), [float(len(e))]])
                     total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int32())], ["key", "packed", "lags"])
 
         try:
-            got = grams.tree(self.rows.mapInArrow(run, "key int, packed binary, lags int"), grams.levels_for(w.size)).first()
+            got = grams.tree(self.rows.mapInArrow(run, "key int, packed binary, lags int"), grams.levels_for(w.size + curves * curved_numbers(w))).first()
         finally:
             held.unpersist()
         if got is None:
             raise ValueError("no windows to fit on")
-        v = np.frombuffer(got.packed)
-        self._known = (w.copy(), float(v[-2] / v[-1]), v[:-2].reshape(w.shape) / v[-1])
+        return np.frombuffer(got.packed)
+
+    def both(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        if self._known is not None and np.array_equal(self._known[0], w):
+            return self._known[1:]
+        v, steps = self._added(w, False), w.shape[1]
+        self._known = (w.copy(), float(v[-1 - steps : -1].sum() / v[-1] / steps), v[: w.size].reshape(w.shape) / v[-1] / steps)
         return self._known[1:]
 
+    def curved(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mean loss, gradient, second derivatives) of each step of the horizon for itself: steps, lags + 1 by steps, and steps by lags + 1 squared."""
+        (n, steps), v = w.shape, self._added(w, True)
+        second = np.zeros((steps, n, n))
+        second[:, *np.triu_indices(n)] = v[w.size : -1 - steps].reshape(steps, -1)
+        second += np.triu(second, 1).transpose(0, 2, 1)
+        return v[-1 - steps : -1] / v[-1], v[: w.size].reshape(w.shape) / v[-1], second / v[-1]
+
     def loss(self, w: np.ndarray) -> float:
         return self.both(w)[0]
 
@@ -150,17 +168,27 @@ class Scattered:
         return self.both(w)[1]
 
     def __add__(self, other: Scattered) -> Scattered:
-        return Scattered(self.rows.unionByName(other.rows), self.smooth, self.scale)
+        return Scattered(self.rows.unionByName(other.rows), self.smooth, self.scale, self.number)
 
 
-def error_rows(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0) -> DataFrame:
-    """(batch if there is one, zx, zy, s): windows in a normalization's units, and what brings an error back to those of the loss."""
+def curved_numbers(w: np.ndarray) -> int:
+    """Numbers of the second derivatives of a head: a packed triangle a step."""
+    n, steps = w.shape
+    return steps * n * (n + 1) // 2
+
+
+def error_scale(normalization: str, loss: str, floor: float) -> Column:
+    """What brings an error in a normalization's units back to those of a loss."""
     if normalization in ("sigmoid", "tanh", "revin_arcsinh"):
         raise ValueError(f"{normalization} isn't affine")
     inverse = nrm.NORMALIZATIONS[normalization][1]
-    scale = (inverse(F.lit(1.0)) - inverse(F.lit(0.0))) * 100 / scale_of(ABSOLUTE.get(loss, loss), floor)
+    return (inverse(F.lit(1.0)) - inverse(F.lit(0.0))) * 100 / scale_of(ABSOLUTE.get(loss, loss), floor)
+
+
+def error_rows(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0) -> DataFrame:
+    """(batch if there is one, zx, zy, s): windows in a normalization's units, and what brings an error back to those of the loss."""
     kept = ["batch"] if "batch" in windows.columns else []
-    return normalized_windows(windows, normalization).select(*kept, "zx", "zy", scale.alias("s"))
+    return normalized_windows(windows, normalization).select(*kept, "zx", "zy", error_scale(normalization, loss, floor).alias("s"))
 
 
 def scattered_batches(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0) -> list[Scattered]:
@@ -173,12 +201,12 @@ def scattered_batches(windows: DataFrame, normalization: str = "identity", loss:
     return [] if last is None else [Scattered(kept.filter(F.col("key") == b).withColumn("key", F.lit(0))) for b in range(last + 1)]
 
 
-def minimized(batch: Scattered | Grams, start: np.ndarray, rounds: int = 60, memory: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
+def minimized(batch: Scattered | Grams, start: np.ndarray, rounds: int | None = 60, memory: int = 8, tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
     """(weights, losses of the rounds) by L-BFGS with halved steps until the loss falls enough; stops when it falls by less than `tolerance` of itself."""
     w, pairs = start.copy(), []
     loss, g = batch.loss(w), batch.gradient(w)
     history = [loss]
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         q, alphas = g.copy(), []
         for s, y in reversed(pairs):
             alphas.append(np.sum(s * q) / np.sum(s * y))
@@ -210,27 +238,62 @@ def minimized(batch: Scattered | Grams, start: np.ndarray, rounds: int = 60, mem
     return w, history
 
 
-def fit_absolute(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0, rounds: int = 40, smooth: tuple[float, ...] = (0.3, 0.03, 0.003)) -> tuple[np.ndarray, list[float]]:
-    """(weights, losses) of the least mean absolute error over all windows: from the quadratic solution, by losses that are smoothed less and less (shares of its own error).
+def settled(batch: Scattered, start: np.ndarray, rounds: int | None = None, tolerance: float = 1e-6) -> tuple[np.ndarray, list[float]]:
+    """(weights, losses of the rounds) by damped Newton steps, one pass each: steps of the horizon share passes but not weights, so each has its own damping, which rises where its loss would.
+
+    A step is done when an undamped move, or a second damped one, lowers its loss by less than `tolerance` of it, or when no move lowers it.
+    """
+    w, n = start.copy(), len(start)
+    loss, g, second = batch.curved(w)
+    damping, slow, going, history = np.full(len(loss), 1e-3), np.zeros(len(loss), bool), np.ones(len(loss), bool), [float(loss.mean())]
+    while going.any() and (rounds is None or len(history) <= rounds):
+        new = w.copy()
+        for i in np.flatnonzero(going):
+            new[:, i] -= np.linalg.lstsq(second[i] + damping[i] * np.trace(second[i]) / n * np.eye(n), g[:, i], rcond=None)[0]
+        now, slope, bend = batch.curved(new)
+        lower = going & (now <= loss)
+        little = lower & (loss - now <= tolerance * loss)
+        going &= ~(little & (slow | (damping <= 1e-3))) & (lower | (damping < 1e6))
+        slow = np.where(lower, little, slow)
+        damping = np.where(lower, np.maximum(damping / 10, 1e-9), damping * 10)
+        w[:, lower], g[:, lower], second[lower], loss = new[:, lower], slope[:, lower], bend[lower], np.where(lower, now, loss)
+        history.append(float(loss.mean()))
+    return w, history
+
+
+def fit_heads(windows: DataFrame, losses: Sequence[str], normalization: str = "identity", floor: float = 0.0, rounds: int | None = None, smooth: tuple[float, ...] = (0.3, 0.03, 0.003)) -> dict[str, tuple[np.ndarray, list[float]]]:
+    """(weights, losses of the rounds) of a head of least loss over all windows, for each of `losses`: quadratic ones by least squares, absolute ones from there by losses that are smoothed less
+    and less (shares of its own error), each until a round gains next to nothing, or for `rounds`.
 
-    The windows are written once and read in every round; what moves is weights and gradients.
+    The windows are cut and written once, with a scale for each kind of loss, and read in every round; what moves is weights and sums of tasks.
     """
-    first = batch_grams(windows, 1, 0, normalization, ABSOLUTE[loss], floor)
+    kinds = list(dict.fromkeys(ABSOLUTE.get(loss, loss) for loss in losses))
+    scales = [error_scale(normalization, kind, floor).cast("double").alias(f"s{i}") for i, kind in enumerate(kinds)]
+    rows = stash(grams.window_blocks(normalized_windows(windows, normalization).select(F.lit(0).alias("key"), "zx", "zy", *scales)))
+    out, first = {}, {kinds[r.key]: grams.unpacked(np.frombuffer(r.packed), r.lags, 2)[:2] for r in grams.block_sums(rows).collect()}  # a row a kind
     if not first:
         raise ValueError("no windows to fit on")
-    scale = np.sqrt(np.maximum(np.diag(first[0].xx), 1e-300) / max(first[0].xx[-1, -1], 1e-300))
-    w = np.linalg.lstsq(first[0].xx / np.outer(scale, scale), first[0].xy / scale[:, None], rcond=None)[0] / scale[:, None]
-    rows = stash(Scattered(error_rows(windows, normalization, loss, floor)).rows)
-    start, history = w * scale[:, None], []
-    start[-1] = w[-1]
-    least = Scattered(rows, 0.0, scale[:-1]).loss(start)
-    for share in smooth:
-        start, got = minimized(Scattered(rows, share * max(least, 1e-12), scale[:-1]), start, rounds)
-        history += got
+    for loss in losses:
+        xx, xy = first[ABSOLUTE.get(loss, loss)]
+        if loss not in ABSOLUTE:
+            out[loss] = linear.solve(xx, xy), []
+            continue
+        scale = np.sqrt(np.maximum(np.diag(xx), 1e-300) / max(xx[-1, -1], 1e-300))
+        w = np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale[:, None], rcond=None)[0]
+        w[-1] /= scale[-1]
+        batch = lambda share: Scattered(rows, share, scale[:-1], kinds.index(ABSOLUTE[loss]))  # noqa: B023, E731
+        fit, least, history = settled if curved_numbers(w) <= CURVES else minimized, batch(0.0).loss(w), []
+        for share in smooth:
+            w, got = fit(batch(share * max(least, 1e-12)), w, rounds)
+            history += got
+        out[loss] = np.r_[w[:-1] / scale[:-1, None], w[-1:]], history
     discard(rows)
-    out = start / scale[:, None]
-    out[-1] = start[-1]
-    return out, history
+    return out
+
+
+def fit_absolute(windows: DataFrame, normalization: str = "identity", loss: str = "mae", floor: float = 0.0, rounds: int | None = None, smooth: tuple[float, ...] = (0.3, 0.03, 0.003)) -> tuple[np.ndarray, list[float]]:
+    """(weights, losses) of the least mean absolute error over all windows: see `fit_heads`."""
+    return fit_heads(windows, [loss], normalization, floor, rounds, smooth)[loss]
 
 
 def optimizer(name: str | Callable[[], Step], rate: float = 1e-5, **options: float) -> Step:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import blocks, gates, training
@@ -127,16 +128,13 @@ def trained_losses(spark, sf_dir):
     """A head trained on each of the five losses, scored by all of them: quadratic ones from Gram matrices, absolute ones by passes over the windows."""
     panel = blocks.kept(src.events_hourly(spark, sf_dir))
     train, test = linear_windows(spark, sf_dir, "train", panel), linear_windows(spark, sf_dir, "test1", panel)
-    out = None
-    for loss in ev.LOSSES:
-        if loss in training.ABSOLUTE:
-            w, _ = training.fit_absolute(train, "instance", loss, floor=1e-4, rounds=8, smooth=(0.1, 0.01))
-        else:
-            g = training.batch_grams(train, 1, 0, "instance", loss, floor=1e-4)[0]
-            w = lin.solve(g.xx, g.xy)
-        means = scored(training.predict(test, w, "instance")).agg(*(F.avg(m).alias(m) for m in ev.LOSSES)).withColumn("trained_on", F.lit(loss))
-        out = means if out is None else out.unionByName(means)
-    return out
+    heads = training.fit_heads(train, ev.LOSSES, "instance", floor=1e-4, rounds=8, smooth=(0.1, 0.01))
+    every = training.predict(test, np.hstack([heads[loss][0] for loss in ev.LOSSES]), "instance")  # one product: a head's steps after another's
+    rows = scored(every.withColumn("y", F.flatten(F.array_repeat("y", len(ev.LOSSES)))))
+    trained_on = F.element_at(F.array(*map(F.lit, ev.LOSSES)), F.ceil(F.col("step") / H).cast("int"))
+    means = rows.groupBy(trained_on.alias("trained_on")).agg(*(F.avg(m).alias(m) for m in ev.LOSSES))
+    names = spark.createDataFrame([(loss,) for loss in ev.LOSSES], "trained_on string")
+    return names.join(F.broadcast(means), "trained_on", "left").select(*ev.LOSSES, "trained_on")
 
 
 @query("nrm11_trained_gates")
