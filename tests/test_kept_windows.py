@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import blocks, grams, training
+from tidewheel.operators import blocks, gates, grams, training
 from tidewheel.operators import linear as lin
 
 
@@ -72,3 +72,22 @@ def test_newton_steps_reach_what_gradients_reach(windows):
         slow, falls = training.minimized(smooth, np.zeros((7, 2)), None, tolerance=1e-9)
         assert all(b <= a for a, b in zip(history, history[1:], strict=False)) and history[-1] <= falls[-1] * (1 + 1e-5)
         assert smooth.loss(w) == pytest.approx(history[-1]) and np.abs(smooth.gradient(w)).max() < 1e-3
+
+
+def test_gates_of_all_presets_come_from_windows_that_are_kept_once(windows, monkeypatch):
+    own = windows.withColumn("cluster_id", F.expr("case when series_id < 2 then null else series_id end"))
+    rows = gates.kept_rows(own, "cluster_id")
+    want = gates.fit_gated(windows, "grevin", rounds=2), gates.fit_gated_clusters(own, "previn", rounds=2)
+    monkeypatch.setattr(gates, "stash", None)  # nothing is written again, nor thrown away
+    w, params, history = gates.fit_gated(rows, "grevin", rounds=2)
+    assert np.allclose(w, want[0][0]) and params == pytest.approx(want[0][1]) and history == pytest.approx(want[0][2])
+    w, shared, params, history = gates.fit_gated_clusters(rows, "previn", rounds=2)
+    assert np.allclose(w, want[1][0]) and shared == pytest.approx(want[1][1]) and params.keys() == want[1][2].keys() == {2, 3} and history == pytest.approx(want[1][3])
+
+    # errors of kept rows are those of the forecasts
+    got = gates.mean_errors(rows, w, "previn", shared, params)
+    done = gates.predict_gated(own, w, "previn", shared, params).collect()
+    for key in (gates.SHARED, 2, 3):
+        e = np.array([np.subtract(r.pred, r.y) / 100 for r in done if (r.cluster_id if r.cluster_id is not None else gates.SHARED) == key])
+        assert got[key] == (pytest.approx(np.mean(e * e)), e.size)
+    assert gates.mean_errors(rows.limit(0), w, "previn", shared) == {}

@@ -33,6 +33,11 @@ def _rows(windows: DataFrame, cluster: str | None = None) -> DataFrame:
     return windows.select(key.cast("long").alias("key"), units("x").alias("x"), units("y").alias("y"), (F.col("s1").cast("double") / F.col("n") / 100).alias("m"), (1 / (std(F.col("n"), F.col("s1"), F.col("s2")) / 100 + EPS)).alias("inv"))
 
 
+def kept_rows(windows: DataFrame, cluster: str | None = None) -> DataFrame:
+    """Windows as a written table of blocks that fits and errors read, by cluster if one is named; for several fits of the same windows."""
+    return stash(grams.window_blocks(_rows(windows, cluster)))
+
+
 def terms(p: dict[str, float], w: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, inv: np.ndarray, slopes: bool = True, xw: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """(sum of squared errors, its gradient by NAMES or, without `slopes`, nothing) of windows under effective parameters. `xw` is x times the head's weights, if it is known."""
     m, more = m[:, None], inv[:, None] - 1
@@ -161,9 +166,12 @@ def fit_gated(windows: DataFrame, name: str = "grevin", free: tuple[str, ...] |
     """(head, parameters, losses): a preset's free groups (or the ones given) and a linear head, fitted in turns to the mean squared error in units.
 
     losses has the error after the first head and after each round, never rising. Frozen groups keep their start. Stops when a round gains less than `tolerance` of the
-    loss. No windows: an error. Windows that don't vary should be left out, since a gate below 1 leaves them a scale of 1 / EPS.
+    loss. No windows: an error. Windows that don't vary should be left out, since a gate below 1 leaves them a scale of 1 / EPS. `kept_rows` are read as they are, whatever their clusters.
     """
-    rows = stash(grams.window_blocks(_rows(windows)))
+    if "packed" in windows.columns:
+        w, params, history = _in_turns(windows.withColumn("key", F.lit(SHARED).cast("long")), name, free, start, rounds, tolerance)
+        return w, params[SHARED], history
+    rows = kept_rows(windows)
     w, params, history = _in_turns(rows, name, free, start, rounds, tolerance)
     discard(rows)
     return w, params[SHARED], history
@@ -175,13 +183,23 @@ def fit_gated_clusters(windows: DataFrame, name: str = "previn", cluster: str =
     Windows whose cluster is null or negative train the shared parameters, which clusters that aren't known have too; without such windows the shared ones keep their start.
     A cluster may hold most windows: its sums are added up where they are. More than MOST_CLUSTERS clusters, or no windows: an error.
     """
-    rows = stash(grams.window_blocks(_rows(windows, cluster)))
+    rows = windows if "packed" in windows.columns else kept_rows(windows, cluster)
     w, params, history = _in_turns(rows, name, free, start, rounds, tolerance)
-    discard(rows)
+    if rows is not windows:
+        discard(rows)
     shared = params.pop(SHARED, nrm.preset(name) | (start or {}))
     return w, shared, params, history
 
 
+def mean_errors(rows: DataFrame, w: np.ndarray, name: str, params: dict[str, float], own: dict[int, dict[str, float]] | None = None) -> dict[int, tuple[float, float]]:
+    """(mean squared error in units, number of targets) of each key of `kept_rows` under a head, and a cluster's own parameters or the shared ones, as `predict_gated` forecasts: one pass."""
+    keys = [r.key for r in rows.select("key").distinct().limit(MOST_CLUSTERS + 2).collect()]
+    if len(keys) > MOST_CLUSTERS + 1:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters: the driver holds their errors")
+    sums = _summed(rows, w, {k: [nrm.effective(name, (own or {}).get(k, params))] for k in keys}, False) if keys else {}
+    return {k: (float(v[0, 0] / v[0, 1]), float(v[0, 1])) for k, v in sums.items()}
+
+
 def predict_gated(windows: DataFrame, w: np.ndarray, name: str, params: dict[str, float], own: dict[int, dict[str, float]] | None = None, cluster: str = "cluster_id") -> DataFrame:
     """`windows` with pred in hundredths, by the shared parameters or a cluster's own."""
     forward, inverse = nrm.of_clusters(name, params, own, cluster) if own else nrm.gated(**nrm.effective(name, params))

@@ -143,17 +143,20 @@ def trained_gates(spark, sf_dir):
     user's id) under one head; users without a cluster have the shared ones."""
     own = F.when(F.col("series_id") % 3 > 0, F.col("series_id") % 3)
     panel = blocks.kept(src.events_hourly(spark, sf_dir))
-    train, test = (linear_windows(spark, sf_dir, s, panel).withColumn("cluster_id", own) for s in ("train", "test1"))
-    out = None
+    train, test = (gates.kept_rows(linear_windows(spark, sf_dir, s, panel).withColumn("cluster_id", own), "cluster_id") for s in ("train", "test1"))
+    out = []
     for name in ("in", "revin", "cmin", "grevin"):
         w, params, history = gates.fit_gated(train, name, rounds=3)
-        row = scored(gates.predict_gated(test, w, name, params)).agg(F.avg("mse").alias("test_mse")).select(F.lit(name).alias("preset"), F.lit(None).cast("long").alias("cluster_id"), *(F.lit(float(params[k])).alias(k) for k in gates.NAMES), F.lit(history[0]).alias("first_loss"), F.lit(history[-1]).alias("last_loss"), "test_mse")
-        out = row if out is None else out.unionByName(row)
+        errors = gates.mean_errors(test, w, name, params).values()
+        n = sum(n for _, n in errors)
+        out.append((name, None, *(float(params[k]) for k in gates.NAMES), history[0], history[-1], sum(e * n for e, n in errors) / n if n else None))
     w, shared, params, history = gates.fit_gated_clusters(train, "previn", rounds=3)
-    losses = scored(gates.predict_gated(test, w, "previn", shared, params)).groupBy(own.alias("cluster_id")).agg(F.avg("mse").alias("test_mse"))
-    table = spark.createDataFrame([(c, *(float(p[k]) for k in gates.NAMES), history[0], history[-1]) for c, p in [(None, shared), *params.items()]], "cluster_id long, " + ", ".join(f"{k} double" for k in (*gates.NAMES, "first_loss", "last_loss")))
-    rows = losses.join(F.broadcast(table.withColumnRenamed("cluster_id", "cluster")), F.col("cluster_id").eqNullSafe(F.col("cluster"))).drop("cluster")
-    return out.unionByName(rows.withColumn("preset", F.lit("previn")))
+    known = {None: shared, **params}
+    for key, (error, _) in gates.mean_errors(test, w, "previn", shared, params).items():
+        cluster = None if key == gates.SHARED else key
+        if cluster in known:
+            out.append(("previn", cluster, *(float(known[cluster][k]) for k in gates.NAMES), history[0], history[-1], error))
+    return spark.createDataFrame(out, "preset string, cluster_id long, " + ", ".join(f"{k} double" for k in (*gates.NAMES, "first_loss", "last_loss", "test_mse")))
 
 
 # Results that a run wrote --------------------------------------------------------------
