@@ -5,7 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.operators import blocks, gates, grams, training
+from tidewheel.operators import evaluate as ev
 from tidewheel.operators import linear as lin
+from tidewheel.plans import training_queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +95,29 @@ def test_gates_of_all_presets_come_from_windows_that_are_kept_once(windows, monk
         e = np.array([np.subtract(r.pred, r.y) / 100 for r in done if (r.cluster_id if r.cluster_id is not None else gates.SHARED) == key])
         assert got[key] == (pytest.approx(np.mean(e * e)), e.size)
     assert gates.mean_errors(rows.limit(0), w, "previn", shared) == {}
+
+
+def test_the_query_trains_its_heads_to_the_end(spark, monkeypatch):
+    seen = {}
+
+    def spy(train, losses, normalization, **options):
+        rows = training.normalized_windows(train, normalization).select("zx", "zy", "n", "s1", "s2").collect()
+        seen["data"], seen["heads"] = rows, whole(train, losses, normalization, **options)
+        return seen["heads"]
+
+    whole = training.fit_heads
+    monkeypatch.setattr(training, "fit_heads", spy)
+    got = {r.trained_on: r for r in training_queries.trained_losses(spark, DATA).collect()}
+    x, y = (np.array([r[c] for r in seen["data"]]) for c in ("zx", "zy"))
+    n, s1, s2 = (np.array([r[c] for r in seen["data"]], float) for c in ("n", "s1", "s2"))
+    x, deviation = np.c_[x, np.ones(len(x))], np.sqrt(n * s2 - s1 * s1) / n / 100
+    for loss in training.ABSOLUTE:
+        s = deviation + 1e-8 if loss == "mae" else (deviation + 1e-8) / np.maximum(deviation, 1e-4)
+        value = lambda w: np.mean(np.abs(x @ w - y) * s[:, None])  # noqa: B023, E731
+        least = np.linalg.lstsq(x * s[:, None], y * s[:, None], rcond=None)[0]
+        for k in range(150):  # reweighted least squares, each step of the horizon for itself
+            r = np.sqrt(s[:, None] / np.maximum(np.abs(x @ least - y), 0.8**k + 1e-6))
+            least = np.column_stack([np.linalg.lstsq(x * r[:, [h]], y[:, h] * r[:, h], rcond=None)[0] for h in range(y.shape[1])])
+        print(loss, value(seen["heads"][loss][0]), value(least))
+        assert value(seen["heads"][loss][0]) <= value(least) * 1.0005
+    assert set(got) == set(ev.LOSSES) and got["mse"].mse == min(r.mse for r in got.values())

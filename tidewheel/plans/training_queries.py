@@ -125,10 +125,10 @@ def composed_model(spark, sf_dir):
 
 @query("fam5_trained_losses")
 def trained_losses(spark, sf_dir):
-    """A head trained on each of the five losses, scored by all of them: quadratic ones from Gram matrices, absolute ones by passes over the windows."""
+    """A head trained on each of the five losses, scored by all of them: quadratic ones from Gram matrices, absolute ones by passes over the windows until their losses fall no more."""
     panel = blocks.kept(src.events_hourly(spark, sf_dir))
     train, test = linear_windows(spark, sf_dir, "train", panel), linear_windows(spark, sf_dir, "test1", panel)
-    heads = training.fit_heads(train, ev.LOSSES, "instance", floor=1e-4, rounds=8, smooth=(0.1, 0.01))
+    heads = training.fit_heads(train, ev.LOSSES, "instance", floor=1e-4)
     every = training.predict(test, np.hstack([heads[loss][0] for loss in ev.LOSSES]), "instance")  # one product: a head's steps after another's
     rows = scored(every.withColumn("y", F.flatten(F.array_repeat("y", len(ev.LOSSES)))))
     trained_on = F.element_at(F.array(*map(F.lit, ev.LOSSES)), F.ceil(F.col("step") / H).cast("int"))
